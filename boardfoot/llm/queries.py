@@ -5,9 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from boardfoot.llm.bpe import encode_decode
+from boardfoot.llm.licenses import license_report
 from boardfoot.llm.mixing import mix_sources
+from boardfoot.llm.quality import resample
+from boardfoot.llm.range_join import near_vectors
 from boardfoot.llm.surrogates import replace_pii
+from boardfoot.llm.toxicity import score_toxicity
 
 #: Stands for a secret that a deployment would pass in; the replacements depend on it.
 PII_KEY = "production-key"
@@ -21,9 +27,41 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(_table(spark, sf_dir, "documents"))
+
+
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_pii(_table(spark, sf_dir, "documents"), PII_KEY)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_mix_sources, op9_surrogates)}
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the public tokenizer files are; the path is all that this library knows of them."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def token_digests(encoded: DataFrame) -> DataFrame:
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_mix_sources, op4_importance_resampling, op5_toxicity, op7_licenses, op8_near_vectors, op9_surrogates, op10_bpe)}
 ORACLES: dict[str, str] = {}
