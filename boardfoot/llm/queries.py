@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from boardfoot.llm.bpe import encode_decode
 from boardfoot.llm.licenses import license_report
 from boardfoot.llm.mixing import mix_sources
+from boardfoot.llm.near_duplicates import near_duplicates
 from boardfoot.llm.quality import resample
 from boardfoot.llm.range_join import near_vectors
 from boardfoot.llm.surrogates import replace_pii
@@ -35,6 +36,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), k=3, num=85, den=100)
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(_table(spark, sf_dir, "documents"))
 
@@ -63,5 +68,5 @@ def token_digests(encoded: DataFrame) -> DataFrame:
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_mix_sources, op4_importance_resampling, op5_toxicity, op7_licenses, op8_near_vectors, op9_surrogates, op10_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_mix_sources, op4_importance_resampling, op5_toxicity, op6_near_duplicates, op7_licenses, op8_near_vectors, op9_surrogates, op10_bpe)}
 ORACLES: dict[str, str] = {}
