@@ -13,6 +13,7 @@ from boardfoot.llm.mixing import mix_sources
 from boardfoot.llm.near_duplicates import near_duplicates
 from boardfoot.llm.quality import resample
 from boardfoot.llm.range_join import near_vectors
+from boardfoot.llm.repeats import remove_repeats
 from boardfoot.llm.surrogates import replace_pii
 from boardfoot.llm.toxicity import score_toxicity
 
@@ -24,6 +25,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(_table(spark, sf_dir, "documents"), span=200)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -68,5 +75,5 @@ def token_digests(encoded: DataFrame) -> DataFrame:
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_mix_sources, op4_importance_resampling, op5_toxicity, op6_near_duplicates, op7_licenses, op8_near_vectors, op9_surrogates, op10_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_remove_repeats, op3_mix_sources, op4_importance_resampling, op5_toxicity, op6_near_duplicates, op7_licenses, op8_near_vectors, op9_surrogates, op10_bpe)}
 ORACLES: dict[str, str] = {}
