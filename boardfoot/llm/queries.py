@@ -11,6 +11,7 @@ from boardfoot.llm.bpe import encode_decode
 from boardfoot.llm.licenses import license_report
 from boardfoot.llm.mixing import mix_sources
 from boardfoot.llm.near_duplicates import near_duplicates
+from boardfoot.llm.nearest import nearest
 from boardfoot.llm.quality import resample
 from boardfoot.llm.range_join import near_vectors
 from boardfoot.llm.repeats import remove_repeats
@@ -31,6 +32,10 @@ def op1_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -75,5 +80,5 @@ def token_digests(encoded: DataFrame) -> DataFrame:
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_remove_repeats, op3_mix_sources, op4_importance_resampling, op5_toxicity, op6_near_duplicates, op7_licenses, op8_near_vectors, op9_surrogates, op10_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_remove_repeats, op2_nearest, op3_mix_sources, op4_importance_resampling, op5_toxicity, op6_near_duplicates, op7_licenses, op8_near_vectors, op9_surrogates, op10_bpe)}
 ORACLES: dict[str, str] = {}
