@@ -39,9 +39,9 @@ def _split(members: DataFrame, radius: float, pivots: int) -> DataFrame:
     """Members of large cells dealt to the cells of pivots, with copies across boundaries. `members` has count and size."""
     size = F.greatest(F.lit(1), F.floor(F.lit(float(1 << 40)) * pivots / F.col("count"))).cast("long")
     chosen = members.where(F.pmod(F.xxhash64("depth", "id"), F.lit(1 << 40)) < size)
-    at = chosen.groupBy("cell").agg(F.collect_list("vector").alias("pivots"))
+    at = chosen.groupBy("cell").agg(F.collect_list(F.col("vector").cast("array<float>")).alias("pivots"))
     # A cell may have got no pivot by chance; it then stays as it is, and is joined in blocks.
-    dealt = members.join(at, "cell", "left").withColumn("pivots", F.coalesce("pivots", F.array(F.col("vector"))))
+    dealt = members.join(at, "cell", "left").withColumn("pivots", F.coalesce("pivots", F.array(F.col("vector").cast("array<float>"))))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,7 +61,7 @@ def _split(members: DataFrame, radius: float, pivots: int) -> DataFrame:
                 child.append(np.array([hash((int(cell), int(k))) for k in range(len(p))], np.int64)[j])
                 home.append(j == best[i])
             take, child, home = (np.concatenate(a) for a in (take, child, home))
-            got = batch.take(pa.array(take))
+            got = batch.select(["id", "vector", "n", "home", "count"]).take(pa.array(take))
             own = pa.array(home & got.column("home").to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([pa.array(child), *[got.column(c) for c in ("id", "vector", "n")], own, got.column("count")], ["cell", "id", "vector", "n", "home", "parent"])
 
@@ -74,24 +74,29 @@ def _cell_links(table: pa.Table, threshold: float) -> pa.Table:
     ids, n = table.column("id").to_numpy(), table.column("n").to_numpy()
     x = unit(matrix(table.column("vector").combine_chunks()))
     q, d = np.flatnonzero(asks), np.flatnonzero(~asks)
-    near = x[q] @ x[d].T >= threshold
-    other = near & (ids[q][:, None] != ids[d])
-    links = other @ n[d]
-    r, c = np.flatnonzero(other.any(axis=1)), np.flatnonzero(other.any(axis=0))
-    low_q, low_d, linked, none = ids[q], ids[d], near[np.ix_(r, c)], np.iinfo(np.int64).max
-    while len(r):
-        new_q = np.minimum(low_q[r], np.where(linked, low_d[c], none).min(axis=1))
-        new_d = np.minimum(low_d[c], np.where(linked, new_q[:, None], none).min(axis=0))
-        if (new_q == low_q[r]).all() and (new_d == low_d[c]).all():
+    links, low_q, low_d = np.zeros(len(q), np.int64), ids[q], ids[d]
+    rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for s in range(0, len(q), 256):
+        near = x[q[s : s + 256]] @ x[d].T >= threshold
+        near &= ids[q[s : s + 256]][:, None] != ids[d]
+        links[s : s + 256] = near @ n[d]
+        i, j = np.nonzero(near)
+        rows.append(i + s)
+        cols.append(j)
+    rows, cols = np.concatenate(rows), np.concatenate(cols)
+    while len(rows):
+        before = low_q.copy(), low_d.copy()
+        np.minimum.at(low_q, rows, low_d[cols])
+        np.minimum.at(low_d, cols, low_q[rows])
+        if (before[0] == low_q).all() and (before[1] == low_d).all():
             break
-        low_q[r], low_d[c] = new_q, new_d
     a, b = np.concatenate([ids[q], ids[d]]), np.concatenate([low_q, low_d])
     count = np.concatenate([links, np.zeros(len(d), np.int64)])
     some = (a != b) | (count > 0)
     return pa.table({"a": a[some], "b": b[some], "links": count[some].astype(np.int64)})
 
 
-def near_vectors(rows: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cell_size: int = 1024, pivots: int = 16, max_depth: int = 8) -> DataFrame:
+def near_vectors(rows: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cell_size: int = 16_384, block: int = 4096, pivots: int = 8, max_depth: int = 8) -> DataFrame:
     """One row a vector: id, n_links (vectors linked with it), component_id and kept (id = component_id).
 
     Two rows are linked if their labels are equal and not null and their cosine is `threshold` or more. Vectors that are null,
@@ -109,7 +114,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, id_col: str = "vec_id
         now = materialize(now, "cells")
         counts = now.groupBy("cell").agg(F.count("*").alias("count"))
         counted = now.join(counts, "cell")
-        large = (F.col("count") > cell_size) & (F.col("parent").isNull() | (F.col("count") < 0.75 * F.col("parent")))
+        large = (F.col("count") > cell_size) & (F.col("parent").isNull() | (F.col("count") < 0.5 * F.col("parent")))
         large = large if depth < max_depth else F.lit(False)
         leaves.append(counted.where(~large).select("cell", "id", "vector", "n", "home", "count"))
         big = counted.where(large)
@@ -119,8 +124,8 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, id_col: str = "vec_id
     leaf = leaves[0]
     for x in leaves[1:]:
         leaf = leaf.unionByName(x)
-    # A cell that does not shrink is joined block by block; other cells are one block.
-    leaf = leaf.withColumn("blocks", F.ceil(F.col("count") / cell_size).cast("int")).withColumn("block", F.pmod(F.xxhash64(F.lit(8), "id"), F.col("blocks")).cast("int"))
+    # A cell is joined block by block, so a task holds two blocks whatever the cell.
+    leaf = leaf.withColumn("blocks", F.ceil(F.col("count") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64(F.lit(8), "id"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     asks = leaf.where("home").select("cell", F.col("block").alias("i"), every.alias("j"), "id", "vector", "n", F.lit(True).alias("asks"))
     has = leaf.select("cell", every.alias("i"), F.col("block").alias("j"), "id", "vector", "n", F.lit(False).alias("asks"))
