@@ -6,28 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boardfoot.functions import vocabulary as V
-from boardfoot.functions.text import filled, found, lookup, strip, title
+from boardfoot.functions.text import filled, found, let, lookup, strip, title
 from boardfoot.plans.shared import broadcast_if_small
 
 
 def normalize_thickness(raw: Column) -> Column:
-    low = F.lower(strip(raw))
-    out = F.coalesce(lookup(V.THICKNESS, low), found(low, r"^(\d+/\d+)", 1), F.upper(low))
-    return F.when(filled(raw).isNotNull(), out)
+    def spelled(low: Column) -> Column:
+        return F.when(low != "", F.coalesce(lookup(V.THICKNESS, low), found(low, r"^(\d+/\d+)", 1), F.upper(low)))
+
+    return let(F.lower(strip(raw)), spelled)
 
 
 def normalize_grade(raw: Column) -> Column:
-    out = F.coalesce(lookup(V.GRADES, F.lower(strip(raw))), strip(raw))
-    return F.when(filled(raw).isNotNull(), out)
+    return let(strip(raw), lambda s: F.when(s != "", F.coalesce(lookup(V.GRADES, F.lower(s)), s)))
 
 
 def normalize_species(raw: Column) -> Column:
     """Exact spelling, else the first known name that holds the text or is held by it, else title case. Blank is null."""
-    low = F.regexp_replace(F.lower(strip(raw)), ":+$", "")
     known = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in V.SPECIES.items()])
-    near = F.filter(known, lambda e: F.contains(low, e["k"]) | F.contains(e["k"], low))
-    out = F.coalesce(lookup(V.SPECIES, low), F.try_element_at(near, F.lit(1))["v"], title(strip(raw)))
-    return F.when(filled(low).isNotNull(), out)
+
+    def spelled(s: Column) -> Column:
+        return let(F.regexp_replace(F.lower(s), ":+$", ""), lambda low: F.when(low != "", F.coalesce(lookup(V.SPECIES, low), near(low), title(s))))
+
+    def near(low: Column) -> Column:
+        return F.try_element_at(F.filter(known, lambda e: F.contains(low, e["k"]) | F.contains(e["k"], low)), F.lit(1))["v"]
+
+    return let(strip(raw), spelled)
 
 
 def with_species(df: DataFrame, raw: str, out: str, max_values: int = 100_000) -> DataFrame:

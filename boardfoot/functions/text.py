@@ -22,9 +22,14 @@ def title(x: Column) -> Column:
     return F.array_join(F.transform(runs, lambda s: F.concat(F.upper(F.substring(s, 1, 1)), F.lower(F.substr(s, F.lit(2))))), "")
 
 
+def let(value: Column, body) -> Column:
+    """`body` of a value that is worked out once, however often `body` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def found(x: Column, pattern: str, group: int = 0) -> Column:
     """The first match, or null."""
-    return F.when(x.rlike(pattern), F.regexp_extract(x, pattern, group))
+    return F.when(x.rlike(pattern), F.regexp_extract(x, pattern, group))  # with a column for x, or `let`
 
 
 def lookup(table: dict[str, str], key: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from boardfoot.functions import vocabulary as V
 from boardfoot.functions.normalize import normalize_grade, normalize_species, normalize_thickness, product_string
-from boardfoot.functions.text import filled, found, strip, title
+from boardfoot.functions.text import filled, found, let, strip, title
 from boardfoot.operators.cleaning import clean_lines, is_noise
 from boardfoot.operators.scoring import classify, dedupe_rows, is_candidate, row_score
 
@@ -20,26 +20,29 @@ def header_text(x: Column) -> Column:
 
 
 def is_species_header(x: Column) -> Column:
-    t = F.upper(header_text(x))
-    low = F.regexp_replace(F.lower(t), ":+$", "")
     names = "|".join(n.replace("&", r"\&") for n in V.HEADER_NAMES)
-    words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
-    short = (F.length(t) < 50) & ~t.rlike(r"\d") & (F.size(words) <= 5) & F.arrays_overlap(words, F.array(*[F.lit(w) for w in V.HEADER_WORDS]))
-    return F.coalesce((t != "") & (low.isin(*V.SPECIES) | t.rlike(f"^(?:{names})(?: |:|$)") | short), F.lit(False))
+
+    def known(t: Column) -> Column:
+        words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
+        short = let(words, lambda w: (F.size(w) <= 5) & F.arrays_overlap(w, F.array(*[F.lit(h) for h in V.HEADER_WORDS])))
+        return (t != "") & (F.lower(t).isin(*V.SPECIES) | t.rlike(f"^(?:{names})(?: |:|$)") | ((F.length(t) < 50) & ~t.rlike(r"\d") & short))
+
+    return F.coalesce(let(F.upper(header_text(x)), known), F.lit(False))
 
 
 def split_multicolumn(x: Column) -> Column:
     """The parts of a line that holds several products side by side; else the line."""
+    several = F.regexp_count(x, F.lit(V.ANY_FRACTION)) >= 2
     parts = F.filter(F.transform(F.split(x, r"\s{3,}"), strip), lambda s: F.length(s) > 3)
-    return F.when((F.regexp_count(x, F.lit(V.ANY_FRACTION)) >= 2) & (F.size(parts) >= 2), parts).otherwise(F.array(x))
+    return let(parts, lambda p: F.when(several & (F.size(p) >= 2), p).otherwise(F.array(x)))
 
 
 def segments(lines: DataFrame) -> DataFrame:
     """(upload_id, line_no, seg, text, header): pieces of each line. A line of headers only is its first header."""
     x = F.col("text")
     parts = F.filter(F.transform(F.split(x, r"\s{3,}"), strip), lambda s: s != "")
-    heads = F.forall(parts, is_species_header) & (F.size(parts) > 0)
-    pieces = F.when(heads, F.slice(parts, 1, 1)).when(is_species_header(x), F.array(x)).otherwise(split_multicolumn(x))
+    heads = let(parts, lambda p: F.when(F.forall(p, is_species_header) & (F.size(p) > 0), F.slice(p, 1, 1)))
+    pieces = F.coalesce(heads, F.when(is_species_header(x), F.array(x)), split_multicolumn(x))
     out = lines.select("upload_id", "line_no", F.posexplode(pieces).alias("seg", "text"))
     return out.withColumn("header", F.when(is_species_header(F.col("text")), normalize_species(header_text(F.col("text")))))
 
@@ -52,21 +55,22 @@ def carry_species(rows: DataFrame, *order: str, by: tuple[str, ...] = ("upload_i
 
 def without(x: Column, value: Column) -> Column:
     """`x` without a found value, in any letter case."""
-    return F.when(filled(value).isNotNull(), F.regexp_replace(x, F.concat(F.lit(r"(?iu)\Q"), value, F.lit(r"\E")), F.lit(""))).otherwise(x)
+    return F.regexp_replace(x, F.coalesce(F.concat(F.lit(r"(?iu)\Q"), value, F.lit(r"\E")), F.lit("$^")), F.lit(""))
 
 
-def grade_parts(text: Column) -> dict[str, Column]:
-    """Length, surface, color, cut and treatment of a remainder, and as grade what is left of it."""
-    length = strip(found(text, V.LENGTH_AT_END, 1))
-    body = F.when(length.isNotNull(), strip(F.regexp_replace(text, V.LENGTH_AT_END, ""))).otherwise(text)
-    out = {"length": length, "surface": strip(found(body, V.SURFACE, 1)), "color": title(strip(found(body, V.COLOR, 1))), "cut_type": title(strip(found(body, V.CUT, 1))), "treatment": strip(found(body, V.TREATMENT, 1))}
+def with_grade_parts(df: DataFrame, text: str) -> DataFrame:
+    """`df` with length, surface, color, cut_type and treatment of column `text`, and as grade what is left of it."""
+    x = F.col(text)
+    df = df.withColumns({"length": strip(found(x, V.LENGTH_AT_END, 1)), "_body": F.when(x.rlike(V.LENGTH_AT_END), strip(F.regexp_replace(x, V.LENGTH_AT_END, ""))).otherwise(x)})
+    body = F.col("_body")
+    df = df.withColumns({"surface": strip(found(body, V.SURFACE, 1)), "color": title(strip(found(body, V.COLOR, 1))), "cut_type": title(strip(found(body, V.CUT, 1))), "treatment": strip(found(body, V.TREATMENT, 1))})
     rest = body
     for k in ("length", "color", "cut_type", "treatment"):
-        rest = without(rest, out[k])
+        rest = without(rest, F.col(k))
     for p in V.NOT_GRADE:
         rest = F.regexp_replace(rest, p, "")
     rest = strip(F.regexp_replace(strip(F.regexp_replace(rest, r"""[,"\s]+""", " ")), "^-+|-+$", ""))
-    return out | {"grade": normalize_grade(filled(rest))}
+    return df.withColumn("grade", normalize_grade(rest)).drop("_body")
 
 
 def parse_product_line(df: DataFrame, text: str = "text") -> DataFrame:
@@ -80,18 +84,21 @@ def parse_product_line(df: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("format", form)
     f = F.col("format")
     get = lambda p, g: F.regexp_extract(x, p, g)
-    tail = strip(get(V.LINE_C, 2))
-    at_end = F.regexp_replace(F.regexp_extract(tail, V.LAST_NUMBER, 1), ",", "").try_cast("double")
+    df = df.withColumn("_tail", F.when(f == "C", strip(get(V.LINE_C, 2))))
+    tail = F.col("_tail")
+    df = df.withColumn("_end", F.regexp_replace(F.regexp_extract(tail, V.LAST_NUMBER, 1), ",", "").try_cast("double"))
+    at_end = F.col("_end")
     number = F.when(f == "A", F.regexp_replace(get(V.LINE_A, 1), ",", "").try_cast("double")).when((f == "C") & (at_end > 10), at_end)
     rest = F.when(f == "A", strip(get(V.LINE_A, 3))).when(f == "D", strip(get(V.LINE_D, 3))).when(f == "B", strip(get(V.LINE_B, 3)))
     rest = rest.when(f == "C", F.when(at_end > 10, strip(F.regexp_replace(tail, V.LAST_NUMBER, ""))).otherwise(tail))
     thickness = F.when(f == "A", get(V.LINE_A, 2)).when(f == "D", get(V.LINE_D, 2)).when(f == "B", get(V.LINE_B, 2)).when(f == "C", get(V.LINE_C, 1)).when(f == "F", get(V.ANY_FRACTION, 1))
-    df = df.withColumns({"quantity_numeric": number, "rest": filled(rest), "thickness": normalize_thickness(thickness)})
+    df = df.withColumns({"quantity_numeric": number, "_rest": rest, "thickness": normalize_thickness(thickness)})
+    df = df.withColumn("_rest", filled(F.col("_rest")))
     feet = F.concat(F.format_number(F.col("quantity_numeric").cast("long"), 0), F.lit(" BF"))
     quantity = F.when(F.col("quantity_numeric").isNotNull(), feet).when(f == "D", F.concat(get(V.LINE_D, 1), F.lit(" T/L"))).when(f == "B", F.replace(F.upper(get(V.LINE_B, 1)), F.lit("TL"), F.lit("T/L")))
-    parts = grade_parts(F.col("rest"))
-    df = df.withColumns({"quantity": quantity, "description": F.when(f.isin("F", "G"), x).otherwise(F.col("rest")), **parts})
-    return df.withColumn("product", F.when(f.isNotNull(), x)).drop("rest")
+    df = with_grade_parts(df.withColumn("quantity", quantity), "_rest")
+    df = df.withColumns({"description": F.when(f.isin("F", "G"), x).otherwise(F.col("_rest")), "product": F.when(f.isNotNull(), x)})
+    return df.drop("_rest", "_tail", "_end")
 
 
 def parse_lists(lines: DataFrame) -> DataFrame:

@@ -65,15 +65,15 @@ def table_rows(cells: DataFrame) -> DataFrame:
     return out.withColumn("product", F.coalesce("product", filled(F.concat_ws(" ", "thickness", "grade")))).where("product is not null")
 
 
-def sheet_parts(text: Column) -> dict[str, Column]:
-    """Width, surface, color, treatment of a product cell, and as grade what is left."""
-    width = strip(found(text, WIDTH, 1))
-    t = strip(F.regexp_replace(text, f"(?s){WIDTH}.*$", ""))
-    surface = found(t, SURFACE, 1)
-    color = F.replace(title(found(t, COLOR, 1)), F.lit("Wht"), F.lit("White"))
+def with_sheet_parts(df: DataFrame, text: str) -> DataFrame:
+    """`df` with width, surface, color and treatment of a product cell's column `text`, and as grade what is left."""
+    x = F.col(text)
+    df = df.withColumns({"width": strip(found(x, WIDTH, 1)), "_t": strip(F.regexp_replace(x, f"(?s){WIDTH}.*$", ""))})
+    t = F.col("_t")
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, SURFACE, ""), COLOR, ""), r"""\d+["']?\s*&?\s*[Ww]""", "")
-    grade = normalize_grade(filled(strip(F.regexp_replace(rest, r"\s+", " "))))
-    return {"width": width, "surface": surface, "color": color, "treatment": found(t, TREATMENT, 1), "grade": grade}
+    grade = normalize_grade(F.regexp_replace(rest, r"\s+", " "))
+    color = F.replace(title(found(t, COLOR, 1)), F.lit("Wht"), F.lit("White"))
+    return df.withColumns({"surface": found(t, SURFACE, 1), "color": color, "treatment": found(t, TREATMENT, 1), "grade": grade}).drop("_t")
 
 
 def parse_sheet_row(df: DataFrame, product: str, quantity: str, number: str) -> DataFrame:
@@ -82,7 +82,8 @@ def parse_sheet_row(df: DataFrame, product: str, quantity: str, number: str) ->
     df = df.where((F.length(text) >= 3) & ~is_noise(text))
     feet = F.concat(F.format_number(F.col(number).cast("long"), 0), F.lit(" BF"))
     rest = F.when(text.rlike(r"^\d+/\d+\s+"), strip(F.regexp_replace(text, r"^\d+/\d+\s+", ""))).otherwise(text)
-    return df.withColumns({"thickness": normalize_thickness(found(text, r"^(\d+/\d+)\s+", 1)), "quantity": F.coalesce(feet, strip(F.col(quantity))), "quantity_numeric": F.col(number), "description": rest, **sheet_parts(rest)})
+    df = df.withColumns({"thickness": normalize_thickness(found(text, r"^(\d+/\d+)\s+", 1)), "quantity": F.coalesce(feet, strip(F.col(quantity))), "quantity_numeric": F.col(number), "description": rest})
+    return with_sheet_parts(df, "description")
 
 
 def two_column_rows(cells: DataFrame) -> DataFrame:

@@ -249,12 +249,12 @@ def x10_format_a(t):
 
 @query()
 def x11_grade_parts(t):
-    return t("fx_lines").select("upload_id", "line_no", *[c.alias(k) for k, c in lines.grade_parts(F.col("text")).items()])
+    return lines.with_grade_parts(t("fx_lines").select("upload_id", "line_no", "text"), "text")
 
 
 @query()
 def x12_sheet_parts(t):
-    return t("fx_lines").select("upload_id", "line_no", *[c.alias(k) for k, c in sheets.sheet_parts(F.col("text")).items()])
+    return sheets.with_sheet_parts(t("fx_lines").select("upload_id", "line_no", "text"), "text")
 
 
 def product_cells(t) -> DataFrame:
