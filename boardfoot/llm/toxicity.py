@@ -49,7 +49,7 @@ class Sparse:
         return np.bincount(self.col, per_row[self.row], self.width)
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 300, rate: float = 0.1, decay: float = 1e-4, least: float = 0.04, lift: float = 3.0) -> tuple[np.ndarray, np.ndarray, float]:
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 300, rate: float = 0.1, decay: float = 1e-4, least: float = 0.005, lift: float = 3.0) -> tuple[np.ndarray, np.ndarray, float]:
     """(buckets, weights, bias) by Adam on the whole sample. Only buckets in at least `least` of the positive texts, and `lift` times as common there as elsewhere, get a weight."""
     df_p, df_u = (np.bincount(np.concatenate([*x, np.zeros(0, np.int32)]), minlength=BUCKETS) for x in (positive, unlabelled))
     enough = df_p >= max(3, least * len(positive))
