@@ -157,7 +157,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(x.view(np.int64)), pa.array(keys[lot.first + row]), pa.array((lo << 8) | extra)], ["m", "x", "key", "at"])
 
     found = rows.select("key", "text").mapInArrow(occurrences, "m long, x long, key long, at long")
-    often = found.groupBy("m").agg(F.count("*").alias("total")).where("total > 1").select("m")
+    # Written first, so that the join below has a shuffle on either side and Spark can split a common anchor.
+    often = materialize(found.groupBy("m").agg(F.count("*").alias("total")).where("total > 1").select("m"), "common-anchors")
     shared = materialize(found.join(often, "m"), "anchors")
     contexts = shared.groupBy("m", "x").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.min_by("at", "key").alias("at"))
     contexts = materialize(contexts, "contexts")
