@@ -259,7 +259,7 @@ def x12_sheet_parts(t):
 
 def product_cells(t) -> DataFrame:
     """Products as worksheet cells: A species or product, G a quantity, I and N the same on the right."""
-    p = t("fx_products").where("source_row <= 40")
+    p = t("fx_products")
     row = (F.col("source_row") + 8).cast("int")
     cell = lambda col, value, number: p.select("upload_id", row.alias("row"), F.lit(col).alias("col"), value.alias("value"), number.cast("double").alias("num_value"))
     none = F.lit(None)
@@ -295,7 +295,7 @@ def a16_first_numeric_cell(t):
 
 def headed_cells(t) -> DataFrame:
     """Products as worksheets with a header in row 3 below the mill's name and address."""
-    p = t("fx_products").where("source_row <= 40")
+    p = t("fx_products")
     row = (F.col("source_row") + 3).cast("int")
     cols = ((1, "Species", "species"), (2, "Thickness", "thickness"), (3, "Grade", "grade"), (4, "Qty BF", "quantity"), (5, "Price", "color"))
     body = None
@@ -325,11 +325,12 @@ def x14_table_rows(t):
 
 @query()
 def w8_multi_species_grid(t):
-    p = t("fx_products").where("source_row <= 12 and species is not null")
+    p = t("fx_products").where("species is not null")
     n = F.col("source_row")
     key = [F.col("upload_id"), F.lit(0).alias("table_no")]
     head = p.select(*key, F.lit(0).alias("row"), (n - 1).cast("int").alias("col"), F.when(n % 4 == 1, F.concat(F.upper("species"), F.lit(": Grade"))).otherwise(F.lit("x")).alias("value"))
-    pad = p.select("upload_id").distinct().select(*key, F.lit(0).alias("row"), F.explode(F.sequence(F.lit(12), F.lit(22))).alias("col"), F.lit("x").alias("value"))
+    last = p.groupBy("upload_id").agg(F.greatest(F.max(n), F.lit(12)).cast("int").alias("last"))
+    pad = last.select(*key, F.lit(0).alias("row"), F.explode(F.sequence("last", F.col("last") + 10)).alias("col"), F.lit("x").alias("value"))
     name = F.element_at(F.array(*map(F.lit, ("Grade", "Desc", "Qty", "Length"))), ((n - 1) % 4 + 1).cast("int"))
     names = p.select(*key, F.lit(1).alias("row"), (n - 1).cast("int").alias("col"), name.alias("value"))
     data = p.select(*key, F.lit(2).alias("row"), (n - 1).cast("int").alias("col"), F.coalesce("grade", "quantity").alias("value"))
@@ -347,10 +348,11 @@ def x15_csv_field(t):
 
 @query()
 def io1_read_csv_stock_lists(t):
-    p = t("fx_products").where("upload_id % 50 = 1")
+    p = t("fx_products")
     spark = p.sparkSession
     q = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    body = F.array_join(F.array_sort(F.collect_list(F.concat_ws(",", F.lpad("source_row", 4, "0"), q("species"), F.concat(F.lit('"'), F.replace(q("thickness"), F.lit('"'), F.lit('""')), F.lit('"')), q("grade"), q("quantity")))), "\n")
+    line = F.concat_ws(",", F.lpad("source_row", 4, "0"), q("species"), F.concat(F.lit('"'), F.replace(q("thickness"), F.lit('"'), F.lit('""')), F.lit('"')), q("grade"), q("quantity"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source_row", line.alias("line")))), lambda s: s["line"]), "\n")
     files = p.groupBy("upload_id").agg(F.concat(F.lit("No,Species,Thickness,Grade,Qty\n"), body).alias("value"))
     out = f"{shared_dir(spark)}/csv-lists-{dt.datetime.now().timestamp()}"
     files.select("upload_id", "value").write.partitionBy("upload_id").option("lineSep", "\x00").text(out)
@@ -382,9 +384,8 @@ def x18_mill_from_filename(t):
     return t("fx_uploads").select("id", cleaning.mill_from_filename(F.concat(F.lit("OakRidgeLumber_"), "original_filename")).alias("mill_name"))
 
 
-def stored_replies(t) -> DataFrame:
+def stored_replies(p: DataFrame) -> DataFrame:
     """Products as replies of a language model, one an upload; some fenced, some with a comma too many."""
-    p = t("fx_products").where("source_row <= 5 and upload_id % 10 = 1")
     item = F.struct(F.coalesce("species", F.lit("null")).alias("species"), "thickness", F.coalesce("grade", F.lit("N/A")).alias("grade"), "quantity", F.col("quantity_numeric").cast("string").alias("quantity_numeric"), F.col("product").alias("raw_text"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("source_row", item.alias("p")))), lambda s: s["p"])
     body = F.to_json(F.struct(F.lit("A Mill").alias("mill_name"), listed.alias("products")))
@@ -395,12 +396,13 @@ def stored_replies(t) -> DataFrame:
 
 @query("fx_products", "SELECT upload_id, count(*) AS products FROM fx_products WHERE source_row <= 5 AND upload_id % 10 = 1 GROUP BY 1")
 def x19_parse_llm_json(t):
-    return replies.parse_replies(stored_replies(t)).select("upload_id", F.size("parsed.products").cast("long").alias("products"))
+    p = t("fx_products").where("source_row <= 5 and upload_id % 10 = 1")  # the rows that its SQL states
+    return replies.parse_replies(stored_replies(p)).select("upload_id", F.size("parsed.products").cast("long").alias("products"))
 
 
 @query()
 def x20_explode_llm_rows(t):
-    return replies.explode_replies(replies.parse_replies(stored_replies(t)))
+    return replies.explode_replies(replies.parse_replies(stored_replies(t("fx_products"))))
 
 
 @query(sql="SELECT doc_id, length(CASE WHEN length(text) > 15000 THEN concat(text[1:15000], chr(10), '[TRUNCATED]') ELSE text END) AS n, CAST(length(text) > 15000 AS INT) AS cut FROM documents")
@@ -620,7 +622,7 @@ def a11_daily_by_group(t):
 
 def page_words(t) -> DataFrame:
     """Products as words on pages, in two columns."""
-    p = t("fx_products").where("source_row <= 40 and upload_id % 10 = 1")
+    p = t("fx_products")
     side, line = F.col("source_row") % 2, F.floor(F.col("source_row") / 2)
     w = p.select("upload_id", "source_row", side.alias("side"), line.alias("line"), F.posexplode(F.split("product", " ")).alias("n", "text")).where("text <> ''")
     return w.select("upload_id", F.lit(0).alias("page"), (F.col("source_row") * 100 + F.col("n")).cast("int").alias("seq"), (F.col("side") * 300.0 + F.col("n") * 40).cast("double").alias("x0"), (F.col("line") * 12.0).cast("double").alias("top"), "text")
@@ -803,7 +805,7 @@ def _stream_dir(spark: SparkSession, df: DataFrame, files: int = 2) -> tuple[Dat
 def st1_stream_ingest(t):
     rows = t("fx_lines")
     spark = rows.sparkSession
-    stream, base = _stream_dir(spark, rows.where("upload_id % 10 = 1"), 1)
+    stream, base = _stream_dir(spark, rows, 1)
     jobs.stream_ingest(stream, f"{base}/out", f"{base}/state").awaitTermination()
     return jobs.latest_rows(spark, f"{base}/out")
 
