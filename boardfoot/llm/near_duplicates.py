@@ -3,8 +3,8 @@
 A document is the set of its word shingles, and has a signature of minwise values. A tree starts with all documents in one
 node and branches a node by some randomly chosen coordinates of the signature: documents with the same value there go to
 one child. A pair of similarity `s` shares a child with a chance that grows with `s`, while unlike documents part at once.
-Small nodes are compared exhaustively; nodes that are still large at the last level hold documents that are all alike, and
-are compared with a few of their members each. Independent trees are repeated to reach the target recall, and pairs
+Small nodes are compared exhaustively. Members of nodes that are still large at the last level are first compared with a few
+of the node each; then those that do not hang together yet are compared exhaustively on their full sets, block by block. Independent trees are repeated to reach the target recall, and pairs
 whose signatures agree enough are confirmed on the full sets. Documents with equal sets are one class from the start, so
 exact copies, however many, add nothing to any node.
 """
@@ -138,6 +138,11 @@ def _star_pairs(least: float, apart: bool):
     return pairs
 
 
+def _least(threshold: float) -> float:
+    """The share of signature values below which a pair is not looked at further: four standard deviations under `threshold`."""
+    return threshold - 4 * (threshold * (1 - threshold) / WIDTH) ** 0.5
+
+
 def grow_trees(classes: DataFrame, threshold: float, trees: int, small: int, depth: int, seed: int) -> list[tuple[DataFrame, bool]]:
     """Levels of (node, c, k): the members of nodes with two or more, and whether it is the last level."""
     rate, pick = 1 / (threshold * WIDTH), random.Random(seed)
@@ -156,6 +161,7 @@ def grow_trees(classes: DataFrame, threshold: float, trees: int, small: int, dep
         if last:
             break
         some = F.filter(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda i: F.pmod(F.xxhash64("node", i), F.lit(1 << 20)) < int(rate * (1 << 20)))
+        some = F.when(F.size(some) > 0, some).otherwise(F.array(F.pmod(F.xxhash64("node", F.lit(WIDTH)), F.lit(WIDTH)).cast("int")))
         branch = large.join(classes, "c").select("c", "node", "signature", F.explode(some).alias("i"))
         now = branch.select("c", F.xxhash64("node", "i", F.element_at("signature", F.col("i") + 1)).alias("node"))
     return levels
@@ -164,8 +170,9 @@ def grow_trees(classes: DataFrame, threshold: float, trees: int, small: int, dep
 def candidate_pairs(levels: list[tuple[DataFrame, bool]], classes: DataFrame, threshold: float, small: int, chosen: int, seed: int, parts: DataFrame | None = None) -> DataFrame:
     """(a, b): likely pairs of members of a node, from classes (c, bits). Without `parts` as few as hang a node's members together, after that (node,
     component) those between different components. Either way small nodes are compared exhaustively. A member of a large node is
-    compared with a few others of it, at the first level and at the last; in between the node is branched further."""
-    least = threshold - 4 * (threshold * (1 - threshold) / WIDTH) ** 0.5
+    compared with a few others of it, at the first level and at the last; in between the node is branched further. With `parts` the last
+    level's large nodes are left to `_crowded`."""
+    least = _least(threshold)
     apart = parts is not None
     known = classes.withColumn("part", F.lit(0).cast("long"))
     if apart:
@@ -176,7 +183,7 @@ def candidate_pairs(levels: list[tuple[DataFrame, bool]], classes: DataFrame, th
     for level, (nodes, last) in enumerate(levels):
         few = nodes.where(F.col("k") <= small).join(known, "c").groupBy("node").agg(*lists).where(mixed)
         found.append(few.mapInArrow(_node_pairs(least, apart), PAIRS))
-        if level and not last:
+        if level and (apart or not last):
             continue
         large = nodes.where(F.col("k") > small)
         share = (F.lit(float(1 << 30)) * chosen / F.col("k")).cast("long")
@@ -205,9 +212,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     return joined.select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long")
 
 
-def _links(rows: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs of classes that are links, by the full sets of their documents."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes.select("c", "rep"), "c").select("c", F.col("rep").alias("id"))
+def _sets(rows: DataFrame, classes: DataFrame, needed: DataFrame, k: int) -> DataFrame:
+    """(c, items): the full sets of the classes in `needed`."""
+    needed = needed.join(classes.select("c", "rep"), "c").select("c", F.col("rep").alias("id"))
     needed = broadcast_if_small(materialize(needed, "needed"), 1_000_000)
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,32 +226,126 @@ def _links(rows: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, num: i
 
     # An id may have several rows: the one whose set is the class's is taken, once.
     sets = rows.join(needed, "id").select("c", "text").mapInArrow(items, "c long, n long, h1 long, h2 long, items binary")
-    sets = materialize(sets.where(F.xxhash64("n", "h1", "h2") == F.col("c")).select("c", "items").dropDuplicates(["c"]), "sets")
+    return materialize(sets.where(F.xxhash64("n", "h1", "h2") == F.col("c")).select("c", "items").dropDuplicates(["c"]), "sets")
+
+
+def _links(rows: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs of classes that are links, by the full sets of their documents."""
+    sets = _sets(rows, classes, pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), k)
     return materialize(_confirmed(pairs, sets, num, den), "links")
 
 
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray], lot: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of each of `left` with each of `right`."""
+    common = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    out = np.zeros((len(left), len(right)), np.int64)
+
+    def entries(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and columns of the shared items, in order of columns."""
+        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(common, flat), max(len(common) - 1, 0))
+        fits = common[at] == flat if len(common) else np.zeros(len(flat), bool)
+        row, at = row[fits], at[fits]
+        order = np.argsort(at, kind="stable")
+        return row[order], at[order]
+
+    (lr, lc), (rr, rc) = entries(left), entries(right)
+    for start in range(0, len(common), lot):
+        dense = []
+        for n, row, at in ((len(left), lr, lc), (len(right), rr, rc)):
+            low, high = np.searchsorted(at, [start, start + lot])
+            dense.append(np.zeros((n, lot), np.float32))
+            dense[-1][row[low:high], at[low:high] - start] = 1
+        out += (dense[0] @ dense[1].T).astype(np.int64)
+    return out
+
+
+def _block_links(least: float, num: int, den: int):
+    """Links between members of two blocks, or within one, that are in different parts: a forest of them, confirmed on full sets."""
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            left, right = [], []
+            for x, y, ids, parts, at, bits, items in zip(*[b.column(c).to_pylist() for c in ("x", "y", "ids", "parts", "at", "bits", "items")]):
+                at, parts, m = np.array(at), np.array(parts, np.int64), _rows_of(bits)
+                i, j = np.flatnonzero(at == x), np.flatnonzero(at == y)
+                likely = (m[i][:, None, :] == m[j][None, :, :]).sum(axis=2) >= least * WIDTH
+                likely &= parts[i][:, None] != parts[j][None, :]
+                if x == y:
+                    likely = np.triu(likely, 1)
+                i, j, likely = i[likely.any(axis=1)], j[likely.any(axis=0)], likely[likely.any(axis=1)][:, likely.any(axis=0)]
+                if not likely.any():
+                    continue
+                sets = [np.frombuffer(s, U64) for s in items]
+                n = np.array([len(s) for s in sets])
+                both = _overlaps([sets[p] for p in i], [sets[q] for q in j])
+                root: dict[int, int] = {}
+
+                def top(part: int) -> int:
+                    while part in root:
+                        part = root[part]
+                    return part
+
+                for p, q in zip(*np.nonzero(likely & (den * both >= num * (n[i][:, None] + n[j][None, :] - both)))):
+                    low, high = sorted((top(int(parts[i[p]])), top(int(parts[j[q]]))))
+                    if low != high:
+                        root[high] = low
+                        left.append(ids[i[p]])
+                        right.append(ids[j[q]])
+            yield _as_pairs(np.array(left, np.int64), np.array(right, np.int64))
+
+    return links
+
+
+def _crowded(nodes: DataFrame, rows: DataFrame, classes: DataFrame, parts: DataFrame, k: int, num: int, den: int, small: int, block: int = 256, room: int = 1 << 22) -> DataFrame:
+    """(a, b): links between members of a large node that are in different components so far, all of them compared.
+
+    A node's members are dealt by hash to blocks of about `block` members or `room` bytes of sets. Blocks of its largest component
+    meet only the blocks of the others, so a node costs what is not joined yet times its size."""
+    known = classes.join(parts.select(F.col("node").alias("c"), "component"), "c", "left").select("c", "n", "bits", F.coalesce("component", "c").alias("part"))
+    large = nodes.where(F.col("k") > small).select("node", "c").join(known, "c")
+    sizes = large.groupBy("node", "part").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+    stats = sizes.groupBy("node").agg(F.max_by("part", "m").alias("main"), F.max("m").alias("m"), F.sum("m").alias("k"), F.max_by("w", "m").alias("w"), F.sum("w").alias("all"), F.count("*").alias("p")).where("p > 1")
+    blocks = lambda m, w: F.ceil(F.greatest(m / block, w * 8 / room, F.lit(1.0))).cast("int")
+    stats = materialize(stats.select("node", "main", blocks(F.col("m"), F.col("w")).alias("nm"), blocks(F.col("k") - F.col("m"), F.col("all") - F.col("w")).alias("ns")), "mixed-nodes")
+    if stats.isEmpty():
+        return nodes.sparkSession.createDataFrame([], PAIRS)
+    own = F.col("part") == F.col("main")
+    h = F.xxhash64(F.lit("block"), "c")
+    at = F.when(own, F.col("ns") + F.pmod(h, F.col("nm"))).otherwise(F.pmod(h, F.col("ns"))).cast("int")
+    member = large.join(stats, "node").withColumn("at", at)
+    member = materialize(member.select("node", "c", "part", "bits", "at", F.explode(F.sequence(F.lit(0), F.when(own, F.col("ns") - 1).otherwise(F.col("ns") + F.col("nm") - 1))).alias("o")), "block-members")
+    sets = _sets(rows, classes, member.select("c").distinct(), k)
+    listed = [F.collect_list(x).alias(y) for x, y in (("c", "ids"), ("part", "parts"), ("at", "at"), ("bits", "bits"), ("items", "items"))]
+    pairs = member.join(sets, "c").groupBy("node", F.least("at", "o").alias("x"), F.greatest("at", "o").alias("y")).agg(*listed)
+    with small_batches(nodes.sparkSession, 2):
+        return materialize(pairs.mapInArrow(_block_links(_least(num / den), num, den), PAIRS).distinct(), "links")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, trees: int = 12, small: int = 32, depth: int = 4, chosen: int = 8, seed: int = 6, batch: int = 500) -> DataFrame:
     """One row a document: id, n_shingles, component_id (the smallest id that links reach) and kept (id = component_id).
 
     Words are runs without white space, A-Z in lower case. Documents are linked if ``den * intersection >= num * union`` of
     their sets of distinct `k`-word shingles. Fewer than `k` words are one shingle; null, empty and blank texts have none
     and are linked with nothing. Rows with equal ids are one node. Rows without an id have component_id null and are not kept.
-    Other columns are not looked at. Python sees `batch` documents or pairs at a time. A pair is missed with a chance of about (1 - num / den / 1.4) ** trees at most.
+    Other columns are not looked at. Python sees `batch` documents or pairs at a time. A pair that meets in small nodes
+    is missed with a chance of about (1 - num / den / 1.4) ** trees at most; one of large nodes has to stay together in the branches, too.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     with small_batches(docs.sparkSession, batch):
         sketches = _sketch(rows, k).withColumn("c", F.xxhash64("n", "h1", "h2"))
         sketches = materialize(sketches, "sketches")
         some = sketches.where("n > 0 and id is not null")
-        classes = materialize(some.groupBy("c").agg(F.min("id").alias("rep"), F.first("signature").alias("signature"), F.first("bits").alias("bits")), "set-classes")
+        classes = materialize(some.groupBy("c").agg(F.min("id").alias("rep"), F.first("signature").alias("signature"), F.first("bits").alias("bits"), F.first("n").alias("n")), "set-classes")
         signatures = classes.select("c", "bits")
         levels = grow_trees(classes.select("c", "signature"), num / den, trees, small, depth, seed)
         pairs = materialize(candidate_pairs(levels, signatures, num / den, small, chosen, seed), "pairs")
         first = _links(rows, classes, pairs, k, num, den)
         parts = materialize(components(first, "a", "b"), "parts")
-        apart = materialize(candidate_pairs(levels, signatures, num / den, small, chosen, seed, parts), "pairs")
+        apart = materialize(candidate_pairs(levels, signatures, num / den, small, chosen, seed + 1, parts), "pairs")
         second = _links(rows, classes, apart, k, num, den)
-        parts = components(first.unionByName(second), "a", "b").withColumnRenamed("node", "c")
+        third = _crowded(levels[-1][0], rows, classes, parts, k, num, den, small)
+        parts = components(first.unionByName(second).unionByName(third), "a", "b").withColumnRenamed("node", "c")
     member = classes.select("c", "rep").join(parts, "c", "left").withColumn("component", F.coalesce("component", "c"))
     lowest = member.groupBy("component").agg(F.min("rep").alias("component_id"))
     found = member.join(lowest, "component").select("c", "component_id")

@@ -62,5 +62,21 @@ def test_repeated_rows_and_a_large_group(spark):
     assert [(x["component_id"], x["kept"]) for x in got if x["doc_id"] is None] == [(None, False)]
 
 
+def test_a_hub_and_its_variants(spark):
+    """Variants that link with one original each, but not with each other, are one group."""
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(base))]
+    places = r.sample([(a, b) for a in range(3, 93, 3) for b in range(3, a, 3)], 150)
+    for i, (a, b) in enumerate(places):  # each of the two costs 3 of 98 shingles, the first word one
+        c = list(base)
+        c[0], c[a], c[b] = f"x{i}", f"y{i}", f"z{i}"
+        rows.append((2 + i, " ".join(c)))
+    want = brute(rows, 3, 85, 100)
+    assert {x for _, x in want.values()} == {1}
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=3, num=85).collect()
+    assert {x["component_id"] for x in got} == {1}
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
