@@ -4,7 +4,8 @@ An entity's surrogate is a function of a secret key, the kind and the entity's c
 entity, in any document and any letter case, get the same replacement (coreference). Digits stay digits, letters stay
 letters of their case and script, punctuation stays in place (format); the names of a titled person stay feminine or
 masculine. Surrogates of all distinct entities of the corpus are compared with each other and with the entities
-themselves; those that clash are keyed again until every surrogate is distinct and no entity's own value is in use.
+themselves; those that clash are keyed again until every surrogate is distinct and no entity's own value is in use. A format
+can have fewer values than entities, so after a few attempts a surrogate grows by a keyed tail, longer with each attempt.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ PATTERNS = {
 ENDINGS = {"woman": {"latin": "a", "cyrillic": "а"}, "man": {"latin": "o", "cyrillic": "н"}}
 LATIN_CONSONANTS, LATIN_VOWELS = "bdfgklmnprstvz", "aeiou"
 CYRILLIC_CONSONANTS, CYRILLIC_VOWELS = "бвгдклмнпрст", "аеиоу"
+#: Attempts that keep an entity's length.
+KEPT = 6
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A cheap look at a text before the full pattern: no entity lacks all of these.
 HINT = r"@|\d[\d.() \-]{6}|[0-9a-fA-F]{32}|\bsk-|\bgh[pousr]_|\bAKIA|[A-Z]{2}\d\d|M(?:r|rs|s|iss|me)\b|Frau|Herr|Madame|Monsieur|Señor|Sra?\b|Госпо"
@@ -77,6 +80,23 @@ def _hex(text: Column, seed: Column) -> Column:
     return F.when(text.rlike("[A-F]"), F.upper(low)).otherwise(low)
 
 
+def _whole_secret(text: Column, seed: Column) -> Column:
+    """A keyed secret of the same head and length, of hexadecimal digits only; one without such digits would stay as it is in `_hex`."""
+    head = F.regexp_extract(text, r"^(?:sk-|gh[pousr]_|AKIA)", 0)
+    low = F.array_join(F.transform(F.sequence(F.lit(1), F.length(text) - F.length(head)), lambda i: _pick("0123456789abcdef", _byte(seed, i))), "")
+    return F.concat(head, F.when(text == F.upper(text), F.upper(low)).otherwise(low))
+
+
+def _tail(kind: Column, text: Column, seed: Column, n: Column) -> Column:
+    """What makes the surrogate of `text` longer: `n` syllables, numbers or digits; e-mails and secrets have values enough."""
+    each = lambda one: F.array_join(F.transform(F.sequence(F.lit(1), n), one), "")
+    syllables = lambda c, v: each(lambda i: F.concat(_pick(c, _byte(seed, 2 * i)), _pick(v, _byte(seed, 2 * i + 1))))
+    name = F.when(text.rlike(r"\p{IsCyrillic}$"), syllables(CYRILLIC_CONSONANTS, CYRILLIC_VOWELS)).otherwise(syllables(LATIN_CONSONANTS, LATIN_VOWELS))
+    out = F.when(kind.isin("email", "secret"), F.lit("")).when(kind.isin(*ENDINGS), name)
+    out = out.when(kind == "ip", each(lambda i: F.concat(F.lit("."), (_byte(seed, i) % 254 + 1).cast("string"))))
+    return out.otherwise(each(lambda i: (_byte(seed, i) % 10).cast("string")))
+
+
 def _digits(text: Column, seed: Column, keep: str) -> Column:
     """`text` with its digits exchanged, but for the head that matches `keep`. The i-th digit takes the i-th number, whatever stands between."""
     head = F.regexp_extract(text, keep, 0)
@@ -114,13 +134,14 @@ def surrogate(kind: Column, entity: Column, key: str, attempt: Column) -> Column
 
     whole = seed(canonical(kind, entity))
     byte = lambda i: (_byte(whole, F.lit(i)) % 254 + 1).cast("string")
-    out = F.when(kind == "email", _email(entity, whole)).when(kind == "secret", _hex(entity, whole))
+    longer = attempt >= KEPT
+    out = F.when(kind == "email", _email(entity, whole)).when((kind == "secret") & longer, _whole_secret(entity, whole)).when(kind == "secret", _hex(entity, whole))
     out = out.when(kind == "ip", F.concat_ws(".", F.lit("10"), byte(0), byte(1), byte(2)))
     out = out.when(kind == "phone", _digits(entity, whole, r"^\+\d{1,3}(?=[ .\-(])|^\+\d|^"))
     out = out.when(kind.isin("card", "ssn"), _digits(entity, whole, "^")).when(kind == "iban", _digits(entity, whole, "^[A-Z]{2}"))
     for who in ENDINGS:
         out = out.when(kind == who, _person(who, entity, seed))
-    return out
+    return F.concat(out, F.when(longer, _tail(kind, entity, F.concat(whole, F.lit("|tail")), attempt - (KEPT - 1))).otherwise(""))
 
 
 def mentions(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -134,7 +155,7 @@ def clashes(entities: DataFrame, key: str, max_attempts: int = 20) -> DataFrame:
     """(kind, canonical, attempt): the entities that need an attempt other than 0, from distinct (kind, entity).
 
     In each round those whose surrogate equals another entity's (all but the smallest) or any real entity move to their
-    next attempt. Ends when there is no clash; raises if `max_attempts` rounds do not do (a format with too few values).
+    next attempt; from attempt KEPT on surrogates grow, so a format of few values does not run out. Ends when there is no clash.
     """
     named = entities.withColumn("canonical", canonical(F.col("kind"), F.col("entity"))).groupBy("kind", "canonical").agg(F.min("entity").alias("entity"))
     now = named.withColumn("attempt", F.lit(0))

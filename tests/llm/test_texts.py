@@ -116,6 +116,14 @@ def test_surrogates_stay_distinct(spark):
     assert found.select("entity").distinct().count() == mentions(df).select("entity").distinct().count()
 
 
+def test_more_entities_than_surrogates_of_their_length(spark):
+    names = [f"Mr {a}{b}" for a in "ABCDEFGHIJKLMNOPQRSTUVWXY" for b in "abcdefgh"]  # two letters have 70 surrogates
+    old = [*names, "sk-" + "ghijklmnopqrstuv"]  # no hexadecimal digit
+    got = replace_pii(spark.createDataFrame(list(enumerate(old)), "doc_id long, text string"), "k").collect()
+    new = {r["text"] for r in got}
+    assert len(new) == len(old) and not new & set(old) and {r["n_entities"] for r in got} == {1}
+
+
 LIBRARY = Tokenizer.from_file(VOCABULARY)
 SPEC = open(VOCABULARY, encoding="utf-8").read()
 SMALL = WordBpe(SPEC, leaf=5)
