@@ -18,8 +18,10 @@ from boardfoot.llm.repeats import remove_repeats
 from boardfoot.llm.surrogates import replace_pii
 from boardfoot.llm.toxicity import score_toxicity
 
-#: Stands for a secret that a deployment would pass in; the replacements depend on it.
-PII_KEY = "production-key"
+
+def pii_key(spark: SparkSession) -> str:
+    """The secret on which replacements depend, from the session's configuration; without it a public value, fit for tests only."""
+    return spark.conf.get("spark.boardfoot.pii.key", "not-a-secret")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,7 +63,7 @@ def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_pii(_table(spark, sf_dir, "documents"), PII_KEY)
+    return replace_pii(_table(spark, sf_dir, "documents"), pii_key(spark))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,16 @@
 """Replace personal data and secrets in text by keyed surrogates of the same kind (DataFrame functions only).
 
-An entity's surrogate is a function of a secret key, the kind and the entity's canonical value, so all mentions of an
-entity, in any document and any letter case, get the same replacement (coreference). Digits stay digits, letters stay
-letters of their case and script, punctuation stays in place (format); the names of a titled person stay feminine or
-masculine. Surrogates of all distinct entities of the corpus are compared with each other and with the entities
-themselves; those that clash are keyed again until every surrogate is distinct and no entity's own value is in use. A format
-can have fewer values than entities, so after a few attempts a surrogate grows by a keyed tail, longer with each attempt.
+A text is cut into pieces: what stands between mentions, and the mentions' entities. A person's title is kept and each
+of the names is an entity of its own, so 'Mrs Ana Gold' and 'Mr Gold' share a surname before and after. An entity's
+surrogate is a function of a secret key, the kind, the entity's canonical value and an attempt, so all mentions of an
+entity, in any document, get the same replacement (coreference). Digits stay digits, letters stay letters of their case
+and script, punctuation and the prefixes of keys stay in place (format); first names stay feminine or masculine.
+
+Collision checks: surrogates of all distinct entities of the corpus are compared with each other and with the entities
+themselves; those that clash go to their next attempt until every surrogate is distinct and no entity's own value is in use.
+A format can have fewer values than entities, so after a few attempts a surrogate grows by a keyed tail, longer with
+each attempt. Only mentions are shuffled for that; a text meets the attempts of its entities by a broadcast of the few
+rows that have any, and only beyond `small` of those rows are texts with a hint of an entity shuffled.
 """
 
 from __future__ import annotations
@@ -15,27 +20,44 @@ from pyspark.sql import functions as F
 
 from boardfoot.plans.shared import materialize
 
-# What each kind of entity looks like, in the order in which they are tried at a place.
+# Titles of persons, and what each kind of entity looks like, in the order in which they are tried at a place.
+WOMAN, MAN, EITHER = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа", "Mr|Herr|Monsieur|Señor|Sr|Господин", "Dr|Prof"
+KEY_HEAD = r"sk-|gh[pousr]_|AKIA"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}@[\p{L}\p{N}\-]{1,63}(?:\.[\p{L}\p{N}\-]{1,63})*\.\p{L}{2,24}",
-    "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|sk-[A-Za-z0-9]{16,64}|gh[pousr]_[A-Za-z0-9]{20,64}|AKIA[0-9A-Z]{16})(?![\p{L}\p{N}])",
+    "key": r"(?<![\p{L}\p{N}])(?:sk-[A-Za-z0-9]{16,}|gh[pousr]_[A-Za-z0-9]{20,}|AKIA[0-9A-Z]{16})(?![\p{L}\p{N}])",
+    "hex": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![\p{L}\p{N}])",
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)",
+    "ip6": r"(?<![\p{L}\p{N}:])(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|[0-9a-fA-F]{4}(?::[0-9a-fA-F]{1,4}){1,5}::[0-9a-fA-F]{1,4})(?![\p{L}\p{N}:])",
     "ssn": r"(?<![\p{L}\p{N}\-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}\-])",
     "card": r"(?<![\p{L}\p{N}])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3})(?![\p{L}\p{N}])",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3}[ .\-]\d{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}+])\+\d{8,15}(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "woman": r"(?<![\p{L}\p{N}])(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа)\.? \p{Lu}\p{Ll}{1,20}(?: \p{Lu}\p{Ll}{1,20})?(?![\p{L}\p{N}])",
-    "man": r"(?<![\p{L}\p{N}])(?:Mr|Herr|Monsieur|Señor|Sr|Господин)\.? \p{Lu}\p{Ll}{1,20}(?: \p{Lu}\p{Ll}{1,20})?(?![\p{L}\p{N}])",
+    "person": rf"(?<![\p{{L}}\p{{N}}])(?:{WOMAN}|{MAN}|{EITHER})\.? \p{{Lu}}\p{{Ll}}{{1,20}}(?: \p{{Lu}}\p{{Ll}}{{1,20}})?(?![\p{{L}}\p{{N}}])",
 }
+#: Kinds of a person's names; they share one space of values.
+NAMES = ("woman", "man", "first", "surname")
+#: Kinds in which punctuation does not count.
+NUMBERS = ("phone", "card", "ssn", "iban")
 # Endings that mark a surrogate first name's gender, by script.
 ENDINGS = {"woman": {"latin": "a", "cyrillic": "а"}, "man": {"latin": "o", "cyrillic": "н"}}
 LATIN_CONSONANTS, LATIN_VOWELS = "bdfgklmnprstvz", "aeiou"
 CYRILLIC_CONSONANTS, CYRILLIC_VOWELS = "бвгдклмнпрст", "аеиоу"
-#: Attempts that keep an entity's length.
+LETTERS, HEX = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
+#: Attempts that keep an entity's length; from the second number on an address may leave the private network 10.
 KEPT = 6
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: A cheap look at a text before the full pattern: no entity lacks all of these.
-HINT = r"@|\d[\d.() \-]{6}|[0-9a-fA-F]{32}|\bsk-|\bgh[pousr]_|\bAKIA|[A-Z]{2}\d\d|M(?:r|rs|s|iss|me)\b|Frau|Herr|Madame|Monsieur|Señor|Sra?\b|Госпо"
+#: What every entity has some of, but for an e-mail; each pattern begins with few signs, so that a text is passed over quickly.
+HINTS = (r"\d[\d.() \-]{6}", r"(?:[MFHSDPГ](?:rs?|s|iss|me|rau|err|adame|onsieur|eñora?|ra?|осп[а-я]+|rof))\.? \p{Lu}", r"[sgA](?:k-|h[pousr]_|KIA)", r"[A-Z]{2}\d\d", r":[0-9a-fA-F]{1,4}:", r"[0-9a-fA-F]{32}")
+PIECES = "array<struct<text:string,kind:string>>"
+
+
+def hint(text: Column) -> Column:
+    """A cheap look at a text before the full pattern: no text with an entity fails it. False for null."""
+    found = F.contains(text, F.lit("@"))
+    for pattern in HINTS:
+        found = found | text.rlike(pattern)
+    return F.coalesce(found, F.lit(False))
 
 
 def kind_of(entity: Column) -> Column:
@@ -43,172 +65,176 @@ def kind_of(entity: Column) -> Column:
     return F.coalesce(*[F.when(entity.rlike(f"^(?:{p})$"), F.lit(k)) for k, p in PATTERNS.items()])
 
 
-def canonical(kind: Column, entity: Column) -> Column:
-    """What identifies an entity: letter case does not count in an e-mail or secret, nor punctuation in a number."""
-    digits = F.regexp_replace(entity, r"[^\p{L}\p{N}]", "")
-    return F.when(kind == "email", F.lower(entity)).when(kind == "secret", F.lower(entity)).when(kind.isin("phone", "card", "ssn", "iban"), F.upper(digits)).otherwise(entity)
-
-
-def _byte(text: Column, i: Column) -> Column:
-    """The i-th pseudo-random number below 65536, i from 0, of a key; a new hash for every 16."""
-    block = F.sha2(F.concat_ws("|", text, F.floor(i / 16).cast("string")), 256)
-    return F.conv(F.substr(block, (i % 16 * 4 + 1).cast("int"), F.lit(4)), 16, 10).cast("int")
-
-
-def _pick(alphabet: str, n: Column) -> Column:
-    return F.substr(F.lit(alphabet), (n % len(alphabet) + 1).cast("int"), F.lit(1))
-
-
-def _chars(text: Column, seed: Column) -> Column:
-    """`text` with each digit and letter exchanged for one of its kind, case and script."""
-
-    def one(c: Column, i: Column) -> Column:
-        n = _byte(seed, i)
+def _names(mention: Column) -> Column:
+    """The pieces of a person's mention: title, first name if there are two names, and surname."""
+    title = F.regexp_extract(mention, r"^[^ ]+ ", 0)
+    names = F.split(F.substr(mention, F.length(title) + 1), " ")
+    first = F.when(title.rlike(rf"^(?:{WOMAN})\.? $"), "woman").when(title.rlike(rf"^(?:{MAN})\.? $"), "man").otherwise("first")
+    piece = lambda t, k: F.struct(t.alias("text"), k.cast("string").alias("kind"))
+    keep = F.lit(None)
+    two = F.array(piece(title, keep), piece(names[0], first), piece(F.lit(" "), keep), piece(F.get(names, F.lit(1)), F.lit("surname")))
+    return F.when(F.size(names) == 2, two).otherwise(F.array(piece(title, keep), piece(names[0], F.lit("surname"))))
 
-        def alphabet(consonants: str, vowels: str) -> Column:
-            return F.when(i % 2 == 0, _pick(consonants, n)).otherwise(_pick(vowels, n))
 
-        lower = F.when(F.lower(c).rlike(r"^\p{IsCyrillic}$"), alphabet(CYRILLIC_CONSONANTS, CYRILLIC_VOWELS)).otherwise(alphabet(LATIN_CONSONANTS, LATIN_VOWELS))
-        return F.when(c.rlike(r"^\d$"), (n % 10).cast("string")).when(c.rlike(r"^\p{Lu}$"), F.upper(lower)).when(c.rlike(r"^\p{L}$"), lower).otherwise(c)
+def entity_pieces(text: Column) -> Column:
+    """For each mention of a text, in order, its pieces (text, kind); kind is null for what is kept."""
+    found = F.regexp_extract_all(text, F.lit(f"({ANY})"), 1)
+    kinds = F.transform(found, lambda m: F.struct(m.alias("text"), kind_of(m).alias("kind")))
+    return F.transform(kinds, lambda x: F.when(x["kind"] == "person", _names(x["text"])).otherwise(F.array(F.struct(x["text"].alias("text"), x["kind"].alias("kind")))).cast(PIECES))
 
-    return F.array_join(F.transform(F.split(text, ""), one), "")
-
-
-def _hex(text: Column, seed: Column) -> Column:
-    """`text` with hexadecimal digits exchanged; upper case if `text` has upper case."""
-    low = F.array_join(F.transform(F.split(text, ""), lambda c, i: F.when(c.rlike("^[0-9a-fA-F]$"), _pick("0123456789abcdef", _byte(seed, i))).otherwise(c)), "")
-    return F.when(text.rlike("[A-F]"), F.upper(low)).otherwise(low)
-
-
-def _whole_secret(text: Column, seed: Column) -> Column:
-    """A keyed secret of the same head and length, of hexadecimal digits only; one without such digits would stay as it is in `_hex`."""
-    head = F.regexp_extract(text, r"^(?:sk-|gh[pousr]_|AKIA)", 0)
-    low = F.array_join(F.transform(F.sequence(F.lit(1), F.length(text) - F.length(head)), lambda i: _pick("0123456789abcdef", _byte(seed, i))), "")
-    return F.concat(head, F.when(text == F.upper(text), F.upper(low)).otherwise(low))
-
-
-def _tail(kind: Column, text: Column, seed: Column, n: Column) -> Column:
-    """What makes the surrogate of `text` longer: `n` syllables, numbers or digits; e-mails and secrets have values enough."""
-    each = lambda one: F.array_join(F.transform(F.sequence(F.lit(1), n), one), "")
-    syllables = lambda c, v: each(lambda i: F.concat(_pick(c, _byte(seed, 2 * i)), _pick(v, _byte(seed, 2 * i + 1))))
-    name = F.when(text.rlike(r"\p{IsCyrillic}$"), syllables(CYRILLIC_CONSONANTS, CYRILLIC_VOWELS)).otherwise(syllables(LATIN_CONSONANTS, LATIN_VOWELS))
-    out = F.when(kind.isin("email", "secret"), F.lit("")).when(kind.isin(*ENDINGS), name)
-    out = out.when(kind == "ip", each(lambda i: F.concat(F.lit("."), (_byte(seed, i) % 254 + 1).cast("string"))))
-    return out.otherwise(each(lambda i: (_byte(seed, i) % 10).cast("string")))
 
+def canonical(kind: Column, entity: Column) -> Column:
+    """What identifies an entity: letter case does not count in an e-mail, an address or a hexadecimal secret, nor punctuation in a number."""
+    return F.when(kind.isin("email", "hex", "ip6"), F.lower(entity)).when(kind.isin(*NUMBERS), F.upper(F.regexp_replace(entity, r"[^\p{L}\p{N}]", ""))).otherwise(entity)
 
-def _digits(text: Column, seed: Column, keep: str) -> Column:
-    """`text` with its digits exchanged, but for the head that matches `keep`. The i-th digit takes the i-th number, whatever stands between."""
-    head = F.regexp_extract(text, keep, 0)
-    start = F.length(head)
-    tail = F.split(F.substr(text, start + 1, F.length(text)), "")
-    done = F.aggregate(tail, F.struct(F.lit("").alias("s"), F.lit(0).alias("i")), lambda a, c: F.when(c.rlike(r"^\d$"), F.struct(F.concat(a["s"], (_byte(seed, a["i"]) % 10).cast("string")).alias("s"), (a["i"] + 1).alias("i"))).otherwise(F.struct(F.concat(a["s"], c).alias("s"), a["i"].alias("i"))))
-    return F.concat(head, done["s"])
 
+def _number(bits: Column, i: Column) -> Column:
+    """The i-th pseudo-random number below 65536, i from 0."""
+    return F.conv(F.substr(bits, (i * 4 + 1).cast("int"), F.lit(4)), 16, 10).cast("int")
 
-def _email(text: Column, seed: Column) -> Column:
-    """The local part keeps its format; the domain is the reserved example.org, in upper case where the address is."""
-    local = F.regexp_extract(text, "^[^@]*", 0)
-    low = F.concat(F.lower(_chars(local, seed)), F.lit("."), F.substring(F.sha2(seed, 256), 1, 8), F.lit("@example.org"))
-    return F.when((text == F.upper(text)) & (text != F.lower(text)), F.upper(low)).otherwise(low)
 
+def _pick(alphabet: str, n: Column) -> Column:
+    return F.substr(F.lit(alphabet), (n % len(alphabet) + 1).cast("int"), F.lit(1))
 
-def _person(kind: str, text: Column, seed_of) -> Column:
-    """Title kept; each name part is keyed by itself, so 'Mrs Ana Gold' and 'Mrs Gold' still share a surname."""
-    parts = F.split(text, " ")
-    title, names = F.element_at(parts, 1), F.slice(parts, 2, 2)
 
-    def part(name: Column, i: Column) -> Column:
-        surrogate = _chars(name, seed_of(name))
-        ending = F.when(name.rlike(r"\p{IsCyrillic}"), F.lit(ENDINGS[kind]["cyrillic"])).otherwise(F.lit(ENDINGS[kind]["latin"]))
-        return F.when((F.size(names) == 2) & (i == 0), F.concat(surrogate, ending)).otherwise(surrogate)
+def _exchange(kind: Column, c: Column, n: Column, i: Column) -> Column:
+    """A sign of the kind, case and script of `c`, chosen by the number `n`; other signs than letters and digits stay."""
+    spoken = lambda consonants, vowels: F.when(i % 2 == 0, _pick(consonants, n)).otherwise(_pick(vowels, n))
+    small = F.lower(c)
+    plain = small.between("a", "z")
+    letter = F.when(kind.isin("hex", "ip6"), _pick(HEX, n)).when(kind.isin("key", "iban") & plain, _pick(LETTERS, n))
+    letter = letter.when(small.between("а", "ё"), spoken(CYRILLIC_CONSONANTS, CYRILLIC_VOWELS)).otherwise(spoken(LATIN_CONSONANTS, LATIN_VOWELS))
+    letter = F.when(c == small, letter).otherwise(F.upper(letter))
+    digit = F.when(kind.isin("hex", "ip6"), _pick(HEX, n)).otherwise((n % 10).cast("string"))
+    return F.when(c.between("0", "9"), digit).when(plain | c.rlike(r"^\p{L}$"), letter).when(c.rlike(r"^\p{N}$"), (n % 10).cast("string")).otherwise(c)
 
-    return F.concat_ws(" ", title, F.array_join(F.transform(names, part), " "))
 
+def _upper_hex(text: Column, new: Column) -> Column:
+    """Hexadecimal digits that came for digits take the case of the text's letters."""
+    return F.when(text.rlike("[A-F]") & ~text.rlike("[a-f]"), F.upper(new)).otherwise(F.lower(new))
 
-def surrogate(kind: Column, entity: Column, key: str, attempt: Column) -> Column:
-    """The replacement of one mention. The same key, canonical value and attempt give the same replacement."""
 
-    def seed(value: Column) -> Column:
-        return F.concat_ws("|", F.lit(key), kind, value, attempt.cast("string"))
+def surrogates(pieces: Column, key: str, attempt) -> Column:
+    """The replacements of pieces (text, kind), in order. `attempt` gives a column from a piece's kind and canonical value.
 
-    whole = seed(canonical(kind, entity))
-    byte = lambda i: (_byte(whole, F.lit(i)) % 254 + 1).cast("string")
-    longer = attempt >= KEPT
-    out = F.when(kind == "email", _email(entity, whole)).when((kind == "secret") & longer, _whole_secret(entity, whole)).when(kind == "secret", _hex(entity, whole))
-    out = out.when(kind == "ip", F.concat_ws(".", F.lit("10"), byte(0), byte(1), byte(2)))
-    out = out.when(kind == "phone", _digits(entity, whole, r"^\+\d{1,3}(?=[ .\-(])|^\+\d|^"))
-    out = out.when(kind.isin("card", "ssn"), _digits(entity, whole, "^")).when(kind == "iban", _digits(entity, whole, "^[A-Z]{2}"))
-    for who in ENDINGS:
-        out = out.when(kind == who, _person(who, entity, seed))
-    return F.concat(out, F.when(longer, _tail(kind, entity, F.concat(whole, F.lit("|tail")), attempt - (KEPT - 1))).otherwise(""))
+    Each step is an array of its own, so no part of an expression stands in it more often than it is asked for.
+    """
+    named = F.transform(pieces, lambda p: F.struct(p["text"].alias("text"), p["kind"].alias("kind"), F.when(p["kind"].isNotNull(), canonical(p["kind"], p["text"])).alias("value")))
+    tried = F.transform(named, lambda p: F.struct(p["text"].alias("text"), p["kind"].alias("kind"), p["value"].alias("value"), F.when(p["kind"].isNotNull(), attempt(p["kind"], p["value"])).alias("attempt")))
+
+    def bits(p: Column) -> Column:
+        """Pseudo-random hexadecimal digits: four for each sign, the tail and some to spare; a hash for every 16 numbers."""
+        seed = F.concat_ws("|", F.lit(key), p["kind"], p["value"], p["attempt"].cast("string"))
+        last = F.floor((F.length(p["text"]) + 2 * p["attempt"] + 16) / 16)
+        return F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), last), lambda b: F.sha2(F.concat_ws("|", seed, b.cast("string")), 256)), "")
+
+    keyed = F.transform(tried, lambda p: F.struct(p["text"].alias("text"), p["kind"].alias("kind"), p["attempt"].alias("attempt"), F.when(p["kind"].isNotNull(), bits(p)).alias("bits")))
+    return F.transform(keyed, lambda p: F.when(p["kind"].isNull(), p["text"]).otherwise(_surrogate(p["kind"], p["text"], p["attempt"], p["bits"])))
+
+
+def _surrogate(kind: Column, text: Column, attempt: Column, bits: Column) -> Column:
+    body = F.when(kind == "email", F.regexp_extract(text, "^[^@]*", 0)).otherwise(text)
+    kept = F.when(kind == "key", F.length(F.regexp_extract(text, f"^(?:{KEY_HEAD})", 0))).when(kind == "iban", 2).when((kind == "phone") & F.startswith(text, F.lit("+")), 2).otherwise(0)
+    # In a number the i-th digit takes the i-th number, whatever stands between.
+    place = lambda i: F.when(kind.isin(*NUMBERS), F.length(F.regexp_replace(F.substr(text, F.lit(1), i), r"[^\p{L}\p{N}]", ""))).otherwise(i)
+    new = F.array_join(F.transform(F.split(body, ""), lambda c, i: F.when(i < kept, c).otherwise(_exchange(kind, c, _number(bits, place(i)), i))), "")
+    # Numbers from the end of `bits` make what is not exchanged sign by sign.
+    spare = lambda i: _number(bits, (F.length(text) + i).cast("int"))
+    longer = F.greatest(attempt - (KEPT - 1), F.lit(0))
+    many = F.when(longer > 0, F.sequence(F.lit(1), longer)).otherwise(F.array().cast("array<int>"))
+    each = lambda one: F.array_join(F.transform(many, one), "")
+    syllables = lambda c, v: each(lambda i: F.concat(_pick(c, spare(2 * i)), _pick(v, spare(2 * i + 1))))
+    cyrillic = text.rlike(r"\p{IsCyrillic}")
+    tail = F.when(kind.isin(*NAMES), F.when(cyrillic, syllables(CYRILLIC_CONSONANTS, CYRILLIC_VOWELS)).otherwise(syllables(LATIN_CONSONANTS, LATIN_VOWELS)))
+    tail = tail.when(kind.isin("email", "hex", "key"), each(lambda i: _pick(HEX, spare(i)))).when(kind == "ip6", F.lit("")).otherwise(each(lambda i: (spare(i) % 10).cast("string")))
+    ending = F.lit("")
+    for who, by_script in ENDINGS.items():
+        ending = F.when(kind == who, F.when(cyrillic, by_script["cyrillic"]).otherwise(by_script["latin"])).otherwise(ending)
+    octet = lambda i: (_number(bits, F.lit(i)) % 254 + 1).cast("string")
+    network = F.when(attempt < 2, F.lit("10")).otherwise((_number(bits, F.lit(3)) % 223 + 1).cast("string"))
+    email = F.concat(F.lower(new), tail, F.lit("."), F.substr(bits, F.length(bits) - 7, F.lit(8)), F.lit("@example.org"))
+    out = F.when(kind == "email", F.when((text == F.upper(text)) & (text != F.lower(text)), F.upper(email)).otherwise(email))
+    out = out.when(kind == "ip", F.concat_ws(".", network, octet(0), octet(1), octet(2))).when(kind.isin("hex", "ip6"), _upper_hex(text, F.concat(new, tail)))
+    return out.when((kind == "key") & (text == F.upper(text)), F.concat(new, F.upper(tail))).otherwise(F.concat(new, tail, ending))
 
 
 def mentions(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(kind, entity): every mention of an entity."""
-    text = F.col(text_col)
-    found = docs.where(text.rlike(HINT)).select(F.explode(F.regexp_extract_all(text, F.lit(f"({ANY})"), 1)).alias("entity"))
-    return found.select(kind_of(F.col("entity")).alias("kind"), "entity")
+    """(row, kind, entity): every entity that a text mentions; row is a hash of the text."""
+    text = F.col(f"`{text_col}`")
+    found = docs.where(hint(text)).select(F.xxhash64(text).alias("row"), F.explode(F.flatten(entity_pieces(text))).alias("p"))
+    return found.where("p.kind is not null").select("row", F.col("p.kind").alias("kind"), F.col("p.text").alias("entity"))
 
 
-def clashes(entities: DataFrame, key: str, max_attempts: int = 20) -> DataFrame:
-    """(kind, canonical, attempt): the entities that need an attempt other than 0, from distinct (kind, entity).
+def clashes(entities: DataFrame, key: str, most: int = 60) -> DataFrame:
+    """(kind, canonical, attempt): the entities that need an attempt other than 0, from (kind, entity).
 
-    In each round those whose surrogate equals another entity's (all but the smallest) or any real entity move to their
-    next attempt; from attempt KEPT on surrogates grow, so a format of few values does not run out. Ends when there is no clash.
+    In a round each waiting entity has a surrogate. It is settled unless an entity of the corpus or a settled surrogate
+    has that value; of several with one value the smallest entity is. The others wait for the next round, whose
+    surrogates are other ones, and longer ones from attempt KEPT on. Names of all kinds share one space of values.
     """
     named = entities.withColumn("canonical", canonical(F.col("kind"), F.col("entity"))).groupBy("kind", "canonical").agg(F.min("entity").alias("entity"))
-    now = named.withColumn("attempt", F.lit(0))
-    moved = None
-    for _ in range(max_attempts):
-        made = now.withColumn("new", surrogate(F.col("kind"), F.col("entity"), key, F.col("attempt")))
-        made = made.withColumn("value", canonical(F.col("kind"), F.col("new")))
-        made = materialize(made, "surrogates")
-        owner = made.groupBy("kind", "value").agg(F.min("canonical").alias("owner"), F.count("*").alias("k")).where("k > 1").drop("k")
-        shared = made.join(owner, ["kind", "value"]).where("canonical <> owner").select("kind", "canonical")
-        real = made.select("kind", F.col("canonical").alias("value"))
-        own = made.join(real, ["kind", "value"], "left_semi").select("kind", "canonical")
-        bad = materialize(shared.unionByName(own).distinct(), "clashes")
-        if bad.isEmpty():
-            moved = made
-            break
-        now = made.drop("new", "value").join(bad.withColumn("again", F.lit(1)), ["kind", "canonical"], "left")
-        now = now.select("kind", "canonical", "entity", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"))
-    if moved is None:
-        raise RuntimeError(f"surrogates still clash after {max_attempts} attempts")
-    return moved.where("attempt > 0").select("kind", "canonical", "attempt")
-
-
-def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    space = lambda kind: F.when(kind.isin(*NAMES), "name").otherwise(kind).alias("space")
+    real = named.select(space(F.col("kind")), F.col("canonical").alias("value"), F.lit(None).cast("string").alias("owner"))
+    waiting, taken, moved = named, real, None
+    new = surrogates(F.array(F.struct(F.col("entity").alias("text"), "kind")), key, lambda kind, value: F.col("attempt"))[0]
+    for attempt in range(most):
+        made = waiting.withColumn("attempt", F.lit(attempt)).withColumn("new", new)
+        made = materialize(made.select("kind", "canonical", "entity", space(F.col("kind")), canonical(F.col("kind"), F.col("new")).alias("value")), "surrogates")
+        asks = made.select("space", "value", F.concat_ws("|", "kind", "canonical").alias("owner"))
+        owner = taken.unionByName(asks).groupBy("space", "value").agg(F.min("owner").alias("owner"), F.count("*").alias("n"), F.count("owner").alias("k"))
+        lost = owner.where("n > 1").select("space", "value", F.when(F.col("n") == F.col("k"), F.col("owner")).alias("owner"))
+        mine = F.concat_ws("|", "kind", "canonical")
+        made = made.join(lost.withColumn("shared", F.lit(True)), ["space", "value"], "left")
+        made = materialize(made.select("kind", "canonical", "entity", "space", "value", (F.col("shared").isNull() | F.coalesce(F.col("owner") == mine, F.lit(False))).alias("settled")), "settled")
+        waiting = made.where(~F.col("settled")).select("kind", "canonical", "entity")
+        if attempt:
+            later = made.where("settled").select("kind", "canonical", F.lit(attempt).alias("attempt"))
+            moved = later if moved is None else moved.unionByName(later)
+        if waiting.isEmpty():
+            return moved if moved is not None else waiting.select("kind", "canonical", F.lit(0).alias("attempt"))
+        taken = taken.unionByName(made.where("settled").select("space", "value", F.lit(None).cast("string").alias("owner")))
+    raise RuntimeError(f"surrogates still clash after {most} attempts")
+
+
+def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", small: int = 200_000) -> DataFrame:
     """`docs` with surrogates in `text_col` and a column n_entities (int): mentions replaced.
 
     Null stays null and an empty text empty, each with 0 entities; a text without entities is returned as it is. Repeated
-    rows get the same text. Other columns are kept whatever their names, but for one named n_entities, which is replaced.
+    rows get the same text. An empty table gives an empty one. Other columns are kept whatever their names, but for one
+    named n_entities, which is replaced. The attempts of up to `small` rows are broadcast.
     """
-    if "n_entities" in docs.columns:
-        docs = docs.drop("n_entities")
-    moved = clashes(materialize(mentions(docs, text_col).distinct(), "entities"), key)
-    text = F.col(text_col)
-    found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(f"({ANY})"), 1))
+    name = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    docs = docs.drop("n_entities")
+    found = materialize(mentions(docs, text_col), "mentions")
+    moved = clashes(found.select("kind", "entity").distinct(), key)
+    text = name(text_col)
+    some = hint(text)
     if moved.isEmpty():
-        attempt = lambda kind, m: F.lit(0)
-        rows = docs
-    else:  # Only documents that mention a moved entity are joined; an entity of a very common text is one row a document.
-        attempt = lambda kind, m: F.coalesce(F.try_element_at(F.col("__moved"), F.concat_ws("|", kind, canonical(kind, m))), F.lit(0))
-        tagged = docs.withColumn("__row", F.xxhash64(text))
-        named = tagged.where(text.rlike(HINT)).select("__row", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({ANY})"), 1))).alias("m")).distinct()
-        named = named.withColumn("kind", kind_of(F.col("m"))).withColumn("canonical", canonical(F.col("kind"), F.col("m")))
-        by_text = named.join(moved, ["kind", "canonical"]).select("__row", F.concat_ws("|", "kind", "canonical").alias("k"), "attempt").distinct()
-        by_text = by_text.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("k", "attempt"))).alias("__moved"))
-        rows = tagged.join(by_text, "__row", "left")
-
-    def put(m: Column) -> Column:
-        kind = kind_of(m)
-        return surrogate(kind, m, key, attempt(kind, m))
-
+        return _rewritten(docs, docs.columns, text_col, some, key, lambda kind, value: F.lit(0), name)
+    column, row = "moved", "row"
+    while {column, row} & {c.lower() for c in docs.columns}:
+        column, row = f"_{column}", f"_{row}"
+    # An entity of a very common text is one row a text.
+    by_text = found.distinct().withColumn("canonical", canonical(F.col("kind"), F.col("entity"))).join(moved, ["kind", "canonical"])
+    by_text = by_text.select(F.col("row").alias(row), F.concat_ws("|", "kind", "canonical").alias("k"), "attempt").distinct()
+    by_text = materialize(by_text.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("k", "attempt"))).alias(column)), "attempts")
+    attempt = lambda kind, value: F.coalesce(F.try_element_at(F.col(column), F.concat_ws("|", kind, value)), F.lit(0))
+    if by_text.limit(small + 1).count() <= small:
+        rows = docs.withColumn(row, F.xxhash64(text)).join(F.broadcast(by_text), row, "left")
+        return _rewritten(rows, docs.columns, text_col, some, key, attempt, name)
+    hinted = docs.where(some).withColumn(row, F.xxhash64(text)).join(by_text, row, "left")
+    rest = docs.where(~some).select("*", F.lit(0).alias("n_entities"))
+    return _rewritten(hinted, docs.columns, text_col, some, key, attempt, name).unionByName(rest)
+
+
+def _rewritten(rows: DataFrame, columns: list[str], text_col: str, some: Column, key: str, attempt, name) -> DataFrame:
+    """`rows` with the texts that `some` marks rewritten, and n_entities."""
+    text = name(text_col)
+    found = F.when(some, entity_pieces(text))
     gaps = F.split(text, ANY, -1)
-    new = F.array_join(F.zip_with(gaps, F.array_append(F.transform(found, put), F.lit("")), lambda g, m: F.concat(g, m)), "")
+    kept = lambda g: F.array(F.struct(g.alias("text"), F.lit(None).cast("string").alias("kind"))).cast(PIECES)
+    pieces = F.flatten(F.zip_with(gaps, found, lambda g, p: F.concat(kept(g), F.coalesce(p, F.array().cast(PIECES)))))
     some = F.coalesce(F.size(found) > 0, F.lit(False))
-    changed = F.when(some, new).otherwise(text).alias(text_col)
+    changed = F.when(some, F.array_join(surrogates(pieces, key, attempt), "")).otherwise(text).alias(text_col)
     count = F.when(some, F.size(found)).otherwise(0).cast("int").alias("n_entities")
-    return rows.select(*[changed if c == text_col else F.col(f"`{c}`") for c in docs.columns], count)
+    return rows.select(*[changed if c == text_col else name(c) for c in columns], count)

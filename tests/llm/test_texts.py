@@ -14,7 +14,6 @@ from boardfoot.llm.bpe import WordBpe, encode_decode
 from boardfoot.llm.licenses import PHRASES, TEMPLATES, license_report
 from boardfoot.llm.mixing import mix_sources
 from boardfoot.llm.quality import kth_largest, resample
-from boardfoot.llm.surrogates import mentions, replace_pii
 from boardfoot.llm.toxicity import score_toxicity
 
 DIR = "/root/testdata/sf0.01"
@@ -95,35 +94,6 @@ def test_licences(spark):
     assert got[4]["labels"] == "bsd" and 0.8 <= got[4]["score"] <= 1
 
 
-def test_surrogates(spark):
-    text = "Ann@Mail.example.com ann@mail.EXAMPLE.com +1 (017) 555-7713 4111111111111111 Mrs Ana Gold, Mrs Gold, Mr Ivo Gold 1.2.3.4 token 04dbebab91ab85687d33eeaaf9ac699e1188f962"
-    df = spark.createDataFrame([(1, text, "k"), (2, None, "k"), (3, "", "k"), (4, "clean 12 text v1.2", "k"), (5, "call +1 (017) 555-7713", "k")], "doc_id long, text string, key string")
-    out = {r["doc_id"]: r for r in replace_pii(df, "secret").collect()}
-    assert (out[2]["text"], out[3]["text"], out[4]["text"]) == (None, "", "clean 12 text v1.2")
-    new = out[1]["text"].split(" ")
-    assert new[0].lower() == new[1].lower() and new[0].lower().endswith("@example.org")
-    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", " ".join(new[2:5])) and out[5]["text"].endswith(" ".join(new[2:5]))
-    assert re.fullmatch(r"\d{16}", new[5]) and re.fullmatch(r"[0-9a-f]{40}", new[-1])
-    assert new[6] == "Mrs" and new[7].endswith("a") and new[8].rstrip(",") == new[10].rstrip(",")
-    assert "Gold" not in out[1]["text"] and "1.2.3.4" not in out[1]["text"]
-    assert replace_pii(df, "other").where("doc_id = 1").first()["text"] != out[1]["text"]
-
-
-def test_surrogates_stay_distinct(spark):
-    rows = [(i, f"ring 12 555-{i:04d} now") for i in range(3000)]  # a format of few values: many clash at first
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = mentions(replace_pii(df, "k"))
-    assert found.select("entity").distinct().count() == mentions(df).select("entity").distinct().count()
-
-
-def test_more_entities_than_surrogates_of_their_length(spark):
-    names = [f"Mr {a}{b}" for a in "ABCDEFGHIJKLMNOPQRSTUVWXY" for b in "abcdefgh"]  # two letters have 70 surrogates
-    old = [*names, "sk-" + "ghijklmnopqrstuv"]  # no hexadecimal digit
-    got = replace_pii(spark.createDataFrame(list(enumerate(old)), "doc_id long, text string"), "k").collect()
-    new = {r["text"] for r in got}
-    assert len(new) == len(old) and not new & set(old) and {r["n_entities"] for r in got} == {1}
-
-
 LIBRARY = Tokenizer.from_file(VOCABULARY)
 SPEC = open(VOCABULARY, encoding="utf-8").read()
 SMALL = WordBpe(SPEC, leaf=5)
