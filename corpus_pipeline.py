@@ -9,7 +9,7 @@ from boardfoot.llm.bpe import encode_decode
 from boardfoot.llm.mixing import mix_sources
 from boardfoot.llm.near_duplicates import near_duplicates
 from boardfoot.llm.quality import resample
-from boardfoot.llm.queries import PII_KEY, token_digests, tokenizer_path
+from boardfoot.llm.queries import pii_key, token_digests, tokenizer_path
 from boardfoot.llm.surrogates import replace_pii
 from boardfoot.plans.shared import broadcast_if_small, materialize
 
@@ -32,7 +32,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with surrogates for personal data; n_chars follows the new text."""
-    return replace_pii(docs, PII_KEY).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return replace_pii(docs, pii_key(spark)).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
