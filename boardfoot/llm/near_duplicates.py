@@ -3,15 +3,16 @@
 A document is the set of its word shingles, and has a signature of minwise values. A tree starts with all documents in one
 node and branches a node by some randomly chosen coordinates of the signature: documents with the same value there go to
 one child. A pair of similarity `s` shares a child with a chance that grows with `s`, while unlike documents part at once.
-Small nodes are compared exhaustively. Members of nodes that are still large at the last level are first compared with a few
-of the node each; then those that do not hang together yet are compared exhaustively on their full sets, block by block. Independent trees are repeated to reach the target recall, and pairs
-whose signatures agree enough are confirmed on the full sets. Documents with equal sets are one class from the start, so
-exact copies, however many, add nothing to any node.
+Which coordinates a node takes depends on its path alone, so the first levels of all trees are worked out in the scan.
+Of nodes with the same members one is kept. Small nodes are compared exhaustively. Members of a large node are first
+compared with the member that is nearest to what most of the node have in common; large nodes that do not hang together
+then are branched further, and what is left of them at the last level is compared exhaustively on full sets, block by
+block. Trees are independent and repeated to reach the target recall. Likely pairs are confirmed on the full sets.
+Documents with equal sets are one class from the start, so exact copies, however many, add nothing to any node.
 """
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,7 @@ WIDTH = 64
 _random = np.random.default_rng(17)
 _ODD = _random.integers(0, 1 << 31, WIDTH, np.uint32) * np.uint32(2) + np.uint32(1)
 _XOR = _random.integers(0, (1 << 32) - 1, WIDTH, np.uint32)
+_COORDINATE = _random.integers(0, 1 << 63, WIDTH, U64)
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -62,23 +64,47 @@ def signature(items: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sketch(rows: DataFrame, k: int) -> DataFrame:
-    """(id, n, h1, h2, signature, bits): size and two sums of hashes identify a set; bits are 16 of each minwise value."""
+def children(owner: np.ndarray, node: np.ndarray, values: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and child of each branch: a node takes each coordinate with the chance `rate`, but one at least."""
+    at, out = [owner[:0]], [node[:0]]
+    for s in range(0, len(node), 4096):
+        who, path = owner[s : s + 4096], node[s : s + 4096]
+        draw = mix(path[:, None] ^ _COORDINATE)
+        take = draw < U64(int(rate * float(1 << 63)) * 2)
+        take[np.arange(len(path)), draw.argmin(axis=1)] = True
+        p, i = np.nonzero(take)
+        at.append(who[p])
+        out.append(mix(path[p] * U64(0xD1342543DE82EF95) + _COORDINATE[i] + values[who[p], i].astype(U64)))
+    return np.concatenate(at), np.concatenate(out)
+
+
+def _sketch(rows: DataFrame, k: int, trees: int, depth: int, rate: float) -> DataFrame:
+    """(id, n, h1, h2, bits, nodes): size and two sums of hashes identify a set; bits are 8 of each minwise value; nodes are
+    the set's paths after `depth` levels."""
+    roots = mix(np.arange(1, trees + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, h1, h2, values, bits = [], [], [], [], []
+            n, h1, h2, values = [], [], [], []
             for s in shingle_sets(b.column("text"), k):
                 n.append(len(s))
                 sums = _sums(s)
                 h1.append(sums[0])
                 h2.append(sums[1])
-                values.append(signature(s).view(np.int32) if len(s) else None)
-                bits.append((values[-1] >> 8).astype(np.uint16).tobytes() if len(s) else None)
+                values.append(signature(s))
+            values = np.array(values, np.uint32).reshape(-1, WIDTH)
+            some = np.flatnonzero(np.array(n) > 0)
+            owner, node = np.repeat(some, trees), np.tile(roots, len(some))
+            for _ in range(depth):
+                owner, node = children(owner, node, values, rate)
+            order = np.argsort(owner, kind="stable")
+            at = np.searchsorted(owner[order], np.arange(len(n) + 1))
+            nodes = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(node[order].view(np.int64)))
+            bits = [(v >> 8).astype(np.uint8).tobytes() for v in values]
             h1, h2 = (pa.array(np.array(h, U64).view(np.int64)) for h in (h1, h2))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), h1, h2, pa.array(values, pa.list_(pa.int32())), pa.array(bits, pa.binary())], ["id", "n", "h1", "h2", "signature", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), h1, h2, pa.array(bits, pa.binary()), nodes], ["id", "n", "h1", "h2", "bits", "nodes"])
 
-    return rows.mapInArrow(sketch, "id long, n long, h1 long, h2 long, signature array<int>, bits binary")
+    return rows.mapInArrow(sketch, "id long, n long, h1 long, h2 long, bits binary, nodes array<long>")
 
 
 PAIRS = "a long, b long"
@@ -89,7 +115,12 @@ def _as_pairs(left: list, right: list) -> pa.RecordBatch:
 
 
 def _rows_of(bits: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(bits), np.uint16).reshape(-1, WIDTH)
+    return np.frombuffer(b"".join(bits), np.uint8).reshape(-1, WIDTH)
+
+
+def _least(threshold: float) -> float:
+    """The share of signature values below which a pair is not looked at further: four standard deviations under `threshold`."""
+    return threshold - 4 * (threshold * (1 - threshold) / WIDTH) ** 0.5
 
 
 def _node_pairs(least: float, apart: bool):
@@ -116,84 +147,65 @@ def _node_pairs(least: float, apart: bool):
     return pairs
 
 
-def _star_pairs(least: float, apart: bool):
-    """A member of a large node with the likest of the node's chosen members, or with `apart` with the likest of each other part."""
+def _counted(members: DataFrame) -> DataFrame:
+    """(node, c, part, k) of (node, c, part): nodes with two parts or more. Of several nodes with the same members one is kept."""
+    sums = [F.bit_xor(F.xxhash64(F.lit(i), "c")).alias(f"x{i}") for i in (1, 2)]
+    counts = members.groupBy("node").agg(F.count("*").alias("k"), *sums, F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
+    kept = materialize(counts.groupBy("k", "x1", "x2").agg(F.min("node").alias("node")).select("node", "k"), "node-counts")
+    return materialize(members.join(kept, "node"), "nodes")
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _small_pairs(nodes: DataFrame, classes: DataFrame, small: int, least: float, apart: bool) -> DataFrame:
+    """(a, b): likely pairs within small nodes (node, c, part, k), which are compared exhaustively."""
+    lists = [F.collect_list(x).alias(y) for x, y in (("c", "ids"), ("part", "parts"), ("bits", "bits"))]
+    few = nodes.where(F.col("k") <= small).join(classes.select("c", "bits"), "c").groupBy("node").agg(*lists)
+    return few.mapInArrow(_node_pairs(least, apart), PAIRS).distinct()
+
+
+def _head_pairs(large: DataFrame, classes: DataFrame, least: float, sample: int = 64) -> DataFrame:
+    """(a, b): each member of a large node with the node's head, if that is likely. The head is the member nearest to the
+    values that are most common among about `sample` members."""
+    bits = classes.select("c", "bits")
+    chance = (F.lit(float(1 << 30)) * sample / F.col("k")).cast("long")
+    some = large.where(F.pmod(F.xxhash64(F.lit(6), "node", "c"), F.lit(1 << 30)) < chance).join(bits, "c").groupBy("node").agg(F.collect_list("bits").alias("bits"))
+
+    def usual(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            left, right = [], []
-            for c, part, sig, ids, parts, others in zip(*[b.column(x).to_pylist() for x in ("c", "part", "own", "ids", "parts", "bits")]):
-                same = (_rows_of(others) == _rows_of([sig])).sum(axis=1)
-                same[np.array(ids, np.int64) == c] = -1
-                parts = np.array(parts, np.int64)
-                if apart:
-                    same[parts == part] = -1
-                likely = np.flatnonzero(same >= least * WIDTH)
-                best = likely[np.lexsort((-same[likely], parts[likely]))]
-                for p in best[np.unique(parts[best], return_index=True)[1]]:
-                    left.append(c)
-                    right.append(ids[p])
-            yield _as_pairs(np.array(left, np.int64), np.array(right, np.int64))
+            most = []
+            for sig in b.column("bits").to_pylist():
+                m = _rows_of(sig)
+                most.append(bytes(int(np.bincount(m[:, i]).argmax()) for i in range(WIDTH)))
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(most, pa.binary())], ["node", "usual"])
 
-    return pairs
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            same = (_rows_of(b.column("usual").to_pylist()) == _rows_of(b.column("bits").to_pylist())).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("c"), pa.array(same.astype(np.int64))], ["node", "c", "same"])
 
+    usual_of = materialize(some.mapInArrow(usual, "node long, usual binary"), "usual")
+    scored = large.select("node", "c").join(usual_of, "node").join(bits, "c").select("node", "c", "usual", "bits").mapInArrow(agree, "node long, c long, same long")
+    heads = materialize(scored.groupBy("node").agg(F.max_by("c", F.struct("same", F.xxhash64("c"))).alias("head")), "heads")
+    pairs = large.select("node", "c").join(heads, "node").where("c <> head").select("c", "head").distinct()
 
-def _least(threshold: float) -> float:
-    """The share of signature values below which a pair is not looked at further: four standard deviations under `threshold`."""
-    return threshold - 4 * (threshold * (1 - threshold) / WIDTH) ** 0.5
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = (_rows_of(b.column("x").to_pylist()) == _rows_of(b.column("y").to_pylist())).sum(axis=1) >= least * WIDTH
+            yield _as_pairs(b.column("c").to_numpy()[good], b.column("head").to_numpy()[good])
 
+    pairs = pairs.join(bits.withColumnRenamed("bits", "x"), "c").join(bits.select(F.col("c").alias("head"), F.col("bits").alias("y")), "head")
+    return pairs.select("c", "head", "x", "y").mapInArrow(likely, PAIRS).distinct()
 
-def grow_trees(classes: DataFrame, threshold: float, trees: int, small: int, depth: int, seed: int) -> list[tuple[DataFrame, bool]]:
-    """Levels of (node, c, k): the members of nodes with two or more, and whether it is the last level."""
-    rate, pick = 1 / (threshold * WIDTH), random.Random(seed)
-    paths = []
-    for tree in range(trees):
-        some = [i for i in range(WIDTH) if pick.random() < rate] or [pick.randrange(WIDTH)]
-        paths += [(tree, i) for i in some]
-    start = F.explode(F.array(*[F.xxhash64(F.lit(t), F.lit(i), F.col("signature")[i]) for t, i in paths]))
-    now, levels = classes.select("c", start.alias("node")), []
-    for level in range(depth):
-        counts = materialize(now.groupBy("node").agg(F.count("*").alias("k")).where("k > 1"), "node-counts")
-        now = materialize(now.join(counts, "node"), "nodes")
-        large = now.where(F.col("k") > small)
-        last = level == depth - 1 or large.isEmpty()
-        levels.append((now, last))
-        if last:
-            break
-        some = F.filter(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda i: F.pmod(F.xxhash64("node", i), F.lit(1 << 20)) < int(rate * (1 << 20)))
-        some = F.when(F.size(some) > 0, some).otherwise(F.array(F.pmod(F.xxhash64("node", F.lit(WIDTH)), F.lit(WIDTH)).cast("int")))
-        branch = large.join(classes, "c").select("c", "node", "signature", F.explode(some).alias("i"))
-        now = branch.select("c", F.xxhash64("node", "i", F.element_at("signature", F.col("i") + 1)).alias("node"))
-    return levels
-
-
-def candidate_pairs(levels: list[tuple[DataFrame, bool]], classes: DataFrame, threshold: float, small: int, chosen: int, seed: int, parts: DataFrame | None = None) -> DataFrame:
-    """(a, b): likely pairs of members of a node, from classes (c, bits). Without `parts` as few as hang a node's members together, after that (node,
-    component) those between different components. Either way small nodes are compared exhaustively. A member of a large node is
-    compared with a few others of it, at the first level and at the last; in between the node is branched further. With `parts` the last
-    level's large nodes are left to `_crowded`."""
-    least = _least(threshold)
-    apart = parts is not None
-    known = classes.withColumn("part", F.lit(0).cast("long"))
-    if apart:
-        known = classes.join(parts.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("part", F.coalesce("component", "c")).drop("component")
-    lists = [F.collect_list(x).alias(y) for x, y in (("c", "ids"), ("part", "parts"), ("bits", "bits"))]
-    mixed = F.size(F.array_distinct("parts")) > 1 if apart else F.lit(True)
-    found = []
-    for level, (nodes, last) in enumerate(levels):
-        few = nodes.where(F.col("k") <= small).join(known, "c").groupBy("node").agg(*lists).where(mixed)
-        found.append(few.mapInArrow(_node_pairs(least, apart), PAIRS))
-        if level and (apart or not last):
-            continue
-        large = nodes.where(F.col("k") > small)
-        share = (F.lit(float(1 << 30)) * chosen / F.col("k")).cast("long")
-        heads = large.where(F.pmod(F.xxhash64(F.lit(seed), "node", "c"), F.lit(1 << 30)) < share).join(known, "c")
-        heads = materialize(heads.groupBy("node").agg(*lists), "heads")
-        found.append(large.join(heads, "node").join(known.withColumnRenamed("bits", "own"), "c").select("c", "part", "own", "ids", "parts", "bits").mapInArrow(_star_pairs(least, apart), PAIRS))
-    pairs = found[0]
-    for x in found[1:]:
-        pairs = pairs.unionByName(x)
-    return pairs.distinct()
+
+def _branched(large: DataFrame, classes: DataFrame, rate: float) -> DataFrame:
+    """(node, c, part): the children of large nodes."""
+
+    def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            owner, node = children(np.arange(b.num_rows), b.column("node").to_numpy().view(U64), _rows_of(b.column("bits").to_pylist()), rate)
+            at = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), b.column("c").take(at), b.column("part").take(at)], ["node", "c", "part"])
+
+    return large.join(classes.select("c", "bits"), "c").select("node", "c", "part", "bits").mapInArrow(branch, "node long, c long, part long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -297,13 +309,12 @@ def _block_links(least: float, num: int, den: int):
     return links
 
 
-def _crowded(nodes: DataFrame, rows: DataFrame, classes: DataFrame, parts: DataFrame, k: int, num: int, den: int, small: int, block: int = 256, room: int = 1 << 22) -> DataFrame:
+def _crowded(nodes: DataFrame, rows: DataFrame, classes: DataFrame, k: int, num: int, den: int, block: int = 256, room: int = 1 << 22) -> DataFrame:
     """(a, b): links between members of a large node that are in different components so far, all of them compared.
 
     A node's members are dealt by hash to blocks of about `block` members or `room` bytes of sets. Blocks of its largest component
     meet only the blocks of the others, so a node costs what is not joined yet times its size."""
-    known = classes.join(parts.select(F.col("node").alias("c"), "component"), "c", "left").select("c", "n", "bits", F.coalesce("component", "c").alias("part"))
-    large = nodes.where(F.col("k") > small).select("node", "c").join(known, "c")
+    large = nodes.select("node", "c", "part").join(classes.select("c", "n", "bits"), "c")
     sizes = large.groupBy("node", "part").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
     stats = sizes.groupBy("node").agg(F.max_by("part", "m").alias("main"), F.max("m").alias("m"), F.sum("m").alias("k"), F.max_by("w", "m").alias("w"), F.sum("w").alias("all"), F.count("*").alias("p")).where("p > 1")
     blocks = lambda m, w: F.ceil(F.greatest(m / block, w * 8 / room, F.lit(1.0))).cast("int")
@@ -322,30 +333,47 @@ def _crowded(nodes: DataFrame, rows: DataFrame, classes: DataFrame, parts: DataF
         return materialize(pairs.mapInArrow(_block_links(_least(num / den), num, den), PAIRS).distinct(), "links")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, trees: int = 12, small: int = 32, depth: int = 4, chosen: int = 8, seed: int = 6, batch: int = 500) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, trees: int = 6, small: int = 32, depth: int = 3, further: int = 3, batch: int = 500) -> DataFrame:
     """One row a document: id, n_shingles, component_id (the smallest id that links reach) and kept (id = component_id).
 
     Words are runs without white space, A-Z in lower case. Documents are linked if ``den * intersection >= num * union`` of
     their sets of distinct `k`-word shingles. Fewer than `k` words are one shingle; null, empty and blank texts have none
     and are linked with nothing. Rows with equal ids are one node. Rows without an id have component_id null and are not kept.
-    Other columns are not looked at. Python sees `batch` documents or pairs at a time. A pair that meets in small nodes
-    is missed with a chance of about (1 - num / den / 1.4) ** trees at most; one of large nodes has to stay together in the branches, too.
+    An empty table gives an empty one. Other columns are not looked at. Python sees `batch` documents or pairs at a time. Trees have `depth` levels,
+    and up to `further` more where nodes are large. A tree misses a pair of similarity 0.8 with a chance of about 0.3 in
+    `depth` levels and 0.4 in all, so `trees` of them miss it with one of about 0.001 to 0.004; likelier pairs less.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rate, least = den / num / WIDTH, _least(num / den)
     with small_batches(docs.sparkSession, batch):
-        sketches = _sketch(rows, k).withColumn("c", F.xxhash64("n", "h1", "h2"))
+        sketches = _sketch(rows, k, trees, depth, rate).withColumn("c", F.xxhash64("n", "h1", "h2"))
         sketches = materialize(sketches, "sketches")
         some = sketches.where("n > 0 and id is not null")
-        classes = materialize(some.groupBy("c").agg(F.min("id").alias("rep"), F.first("signature").alias("signature"), F.first("bits").alias("bits"), F.first("n").alias("n")), "set-classes")
-        signatures = classes.select("c", "bits")
-        levels = grow_trees(classes.select("c", "signature"), num / den, trees, small, depth, seed)
-        pairs = materialize(candidate_pairs(levels, signatures, num / den, small, chosen, seed), "pairs")
-        first = _links(rows, classes, pairs, k, num, den)
-        parts = materialize(components(first, "a", "b"), "parts")
-        apart = materialize(candidate_pairs(levels, signatures, num / den, small, chosen, seed + 1, parts), "pairs")
-        second = _links(rows, classes, apart, k, num, den)
-        third = _crowded(levels[-1][0], rows, classes, parts, k, num, den, small)
-        parts = components(first.unionByName(second).unionByName(third), "a", "b").withColumnRenamed("node", "c")
+        classes = materialize(some.groupBy("c").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("nodes").alias("nodes")), "set-classes")
+        nodes = _counted(classes.select(F.explode("nodes").alias("node"), "c", F.col("c").alias("part")))
+        large = nodes.where(F.col("k") > small)
+        pairs = _small_pairs(nodes, classes, small, least, False)
+        crowds = not large.isEmpty()
+        if crowds:
+            pairs = pairs.unionByName(_head_pairs(large, classes, least)).distinct()
+        found = _links(rows, classes, materialize(pairs, "pairs"), k, num, den)
+        parts = materialize(components(found, "a", "b"), "parts")
+        # What is still apart: likely pairs of small nodes, children of large nodes, and blocks of those at the last level.
+        known = parts.select(F.col("node").alias("c"), "component")
+        now = nodes.drop("part").join(known, "c", "left").withColumn("part", F.coalesce("component", "c")).drop("component", "k")
+        now = _counted(now)
+        apart = _small_pairs(now, classes, small, least, True)
+        large = now.where(F.col("k") > small)
+        for _ in range(further if crowds else 0):
+            if large.isEmpty():
+                break
+            now = _counted(_branched(large, classes, rate))
+            apart = apart.unionByName(_small_pairs(now, classes, small, least, True))
+            large = now.where(F.col("k") > small)
+        found = found.unionByName(_links(rows, classes, materialize(apart.distinct(), "pairs"), k, num, den))
+        if crowds:
+            found = found.unionByName(_crowded(large, rows, classes, k, num, den))
+        parts = components(found, "a", "b").withColumnRenamed("node", "c")
     member = classes.select("c", "rep").join(parts, "c", "left").withColumn("component", F.coalesce("component", "c"))
     lowest = member.groupBy("component").agg(F.min("rep").alias("component_id"))
     found = member.join(lowest, "component").select("c", "component_id")
