@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: The characters that the tokenizer's patterns call white space.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
@@ -281,12 +282,12 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
         return pa.Table.from_batches([_encoded(pa.RecordBatch.from_arrays([table.column(c).combine_chunks().slice(0, 1) for c in ("id", "n")], ["id", "n"]), [ids], bpe)])
 
     cut_names = ["id", "key", "n", "part", "special", "no", "text"]
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
+    arrow_id = to_arrow_type(rows.schema["id"].dataType)
     cut_types = [arrow_id, pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.string()]
     schema = f"id {id_type}, n bigint, ids array<int>, decoded string"
     short = rows.where(F.length("text") <= spread).select("id", F.lit(1).cast("long").alias("n"), "text").mapInArrow(whole, schema)
     long = rows.where(F.length("text") > spread).groupBy("id", "text").agg(F.count("*").alias("n"))
-    long = long.select("id", F.concat_ws("|", F.col("id").cast("string"), F.sha2("text", 256)).alias("key"), "n", "text")
+    long = long.select("id", F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("id").isNull().cast("string"), F.sha2("text", 256)).alias("key"), "n", "text")
     pieces = long.mapInArrow(cut, f"id {id_type}, key string, n bigint, part int, special boolean, no int, text string")
     pieces = pieces.repartition("key", "part", "no").mapInArrow(encode_pieces, f"id {id_type}, key string, n bigint, part int, special boolean, no int, text string, starts array<int>, stops array<int>, counts array<int>, ids array<int>")
     long = pieces.groupBy("key").applyInArrow(concatenate, schema).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("copy")

@@ -99,14 +99,14 @@ def _class_copies(classes: DataFrame, dual: DataFrame, cap: float, passes: int)
     return materialize(c.drop("target"), "copies")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(5.0, 2.0, 1.0), total: float = 1.5, cap: float = 2.0, tolerance: float = 1e-9, max_steps: int = 60, passes: int = 3, deal: int = 200) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(5.0, 2.0, 1.0), total: float = 1.5, cap: float = 2.0, tolerance: float = 1e-9, max_steps: int = 60, passes: int = 3, deal: int = 200, row_col: str | None = None) -> DataFrame:
     """One row a document: id, size, source_size, target and taken (words the mix takes, repeats counted).
 
     `taken` is a whole number of copies times `size`, at most `cap` copies. Null or blank texts have size 0 and nothing is
     taken; a null source is a source; repeated ids are documents of their own; an empty table gives an empty table; other
-    columns are not looked at. The same rows give the same result whatever their order or partitions.
+    columns are not looked at, but for `row_col`: it tells rows apart, ends ties, and is returned too. The same rows give the same result whatever their order or partitions.
     """
-    sizes = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
+    sizes = materialize(docs.select(F.col(id_col).alias("id"), (F.col(row_col) if row_col else F.lit(None).cast("long")).alias("row"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
     classes = materialize(sizes.groupBy("source", "size").agg(F.count("*").alias("n")), "classes")
     targets = materialize(source_targets(classes.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, total, cap), "targets")
     wordy = classes.where("size > 0")
@@ -116,14 +116,14 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plan = copies.select("source", "size", F.floor(F.col("copies") / F.col("n")).alias("base"), (F.col("copies") % F.col("n")).alias("extra"), F.ceil(F.col("n") / deal).cast("long").alias("buckets"))
     d = sizes.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.size") == F.col("p.size")), "left")
     d = d.select("d.*", F.coalesce("base", F.lit(0)).alias("base"), F.coalesce("extra", F.lit(0)).alias("extra"), F.coalesce("buckets", F.lit(1)).alias("buckets"))
-    even = d.where("extra = 0").select("id", "source", "size", "base")
+    even = d.where("extra = 0").select("id", "row", "source", "size", "base")
     dealt = d.where("extra > 0").withColumn("bucket", F.pmod(F.xxhash64(F.lit(11), "id"), F.col("buckets")))
     counts = dealt.groupBy("source", "size", "bucket").agg(F.count("*").alias("k"))
     behind = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("behind", F.coalesce(F.sum("k").over(behind), F.lit(0))).drop("k")
     same = F.col("t.source").eqNullSafe(F.col("k.source")) & (F.col("t.size") == F.col("k.size")) & (F.col("t.bucket") == F.col("k.bucket"))
     dealt = dealt.alias("t").join(counts.alias("k"), same).select("t.*", "behind").repartition("source", "size", "bucket")
-    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy(F.xxhash64(F.lit(12), "id"), "id")) + F.col("behind")
-    dealt = dealt.select("id", "source", "size", (F.col("base") + (rank <= F.col("extra")).cast("long")).alias("base"))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy(F.xxhash64(F.lit(12), "id"), "id", "row")) + F.col("behind")
+    dealt = dealt.select("id", "row", "source", "size", (F.col("base") + (rank <= F.col("extra")).cast("long")).alias("base"))
     out = even.unionByName(dealt).alias("o").join(targets.alias("g"), F.col("o.source").eqNullSafe(F.col("g.source")))
-    return out.select(F.col("o.id").alias(id_col), "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("base") * F.col("size")).cast("long").alias("taken"))
+    return out.select(F.col("o.id").alias(id_col), "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("base") * F.col("size")).cast("long").alias("taken"), *([F.col("row").alias(row_col)] if row_col else []))

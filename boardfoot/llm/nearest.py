@@ -85,7 +85,7 @@ def nearest(rows: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id"
     if not n:
         return spark.createDataFrame([], schema)
     share = int(min(1.0, sample / n) * (1 << 30))
-    chosen = fit.where(F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(1 << 30)) <= share).limit(sample).toArrow()
+    chosen = fit.where(F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(1 << 30)) <= share * 1.2).orderBy(F.xxhash64(F.lit(2), "id"), "id").limit(sample).toArrow()
     x = unit(matrix(chosen.column("vector").combine_chunks())) if chosen.num_rows else None
     if x is None:
         x = unit(matrix(fit.limit(1).toArrow().column("vector").combine_chunks()))
@@ -153,6 +153,10 @@ def nearest(rows: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id"
     few = rough.withColumn("r", F.row_number().over(by_rough)).where(F.col("r") <= rerank).select("query_id", "id").distinct()
     few = few.join(fit, "id").join(queries.select(F.col("id").alias("query_id"), F.col("vector").alias("query")), "query_id")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    # Scaled by a power of two, which changes no digit, so that squares neither overflow nor vanish.
+    power = lambda v: F.pow(F.lit(2.0), -F.floor(F.log2(F.greatest(F.array_max(F.transform(v, F.abs)), F.lit(2.0**-1000)))))
+    scaled = lambda v: F.transform(v, lambda x: x * power(F.col(v)))
+    few = few.select("query_id", "id", scaled("query").alias("query"), scaled("vector").alias("vector"))
     score = dot("query", "vector") / (F.sqrt(dot("query", "query")) * F.sqrt(dot("vector", "vector")))
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = few.select("query_id", "id", score.alias("score")).withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +52,7 @@ def ngram_counts(rows: DataFrame, target_ids: list, buckets: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for b in batches:
-            chosen = np.isin(b.column("id").to_numpy(zero_copy_only=False), ids.value)
+            chosen = pc.is_in(b.column("id").cast(pa.int64()), pa.array(ids.value)).to_numpy(zero_copy_only=False)
             for lot in texts(b.column("text")):
                 bucket, row = grams(lot, buckets)
                 raw += np.bincount(bucket, minlength=buckets)
@@ -93,16 +94,16 @@ def kth_largest(df: DataFrame, column: str, k: int, least: int = 4096) -> float
     raise RuntimeError("the k-th value was not found")
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", k: int | None = None, buckets: int = 10_000, max_target: int = 20_000, prior: float = 10.0, seed: int = 4) -> DataFrame:
-    """One row a document: id, log_weight, sample_key (log_weight plus noise) and kept.
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", k: int | None = None, buckets: int = 10_000, max_target: int = 20_000, prior: float = 10.0, seed: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row a document: id, log_weight, sample_key (log_weight plus noise), kept, and the columns that `carry` names.
 
     The target model is fitted on at most `max_target` ids labelled 1, chosen by the hash of the id; the raw model counts
     all documents. `prior` n-grams a bucket, dealt as in the raw text, stand in for target text not seen. `k` is how many are kept; by default as many as the target model makes likelier than the raw one does
     (log_weight >= 0). Documents that tie with the k-th are kept too, so repeated rows fare alike. Null and empty texts
     have log_weight 0, as there is nothing against them; without labelled documents all are kept. Ids are whole numbers.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    id_type = rows.schema["id"].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*carry).alias("carried") if carry else F.lit(None).cast("int").alias("carried"))
+    id_type, carried_type = rows.schema["id"].dataType.simpleString(), rows.schema["carried"].dataType.simpleString()
     good = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
     good_ids = [r[0] for r in good.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(max_target).collect()]
     counts = ngram_counts(rows, good_ids, buckets).collect()  # at most `buckets` rows
@@ -120,12 +121,12 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             for lot in texts(b.column("text")):
                 bucket, row = grams(lot, buckets)
                 weight[lot.first : lot.first + lot.rows] = np.bincount(row, shared.value[bucket], lot.rows)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(weight)], ["id", "log_weight"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("carried"), pa.array(weight)], ["id", "carried", "log_weight"])
 
-    keys = rows.mapInArrow(weigh, f"id {id_type}, log_weight double")
+    keys = rows.mapInArrow(weigh, f"id {id_type}, carried {carried_type}, log_weight double")
     keys = materialize(keys.withColumn("sample_key", F.col("log_weight") + gumbel(F.col("id"), seed)), "sample-keys")
     if k is None:
         k = keys.where("log_weight >= 0").count()
     least = kth_largest(keys, "sample_key", min(k, keys.count()))
     kept = F.col("sample_key") >= F.lit(least) if least is not None else F.lit(False)
-    return keys.select(F.col("id").alias(id_col), "log_weight", "sample_key", kept.alias("kept"))
+    return keys.select(F.col("id").alias(id_col), "log_weight", "sample_key", kept.alias("kept"), *(["carried.*"] if carry else []))

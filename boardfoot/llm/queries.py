@@ -29,44 +29,54 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document without the bytes that a repeated string of 200 bytes covers."""
     found = remove_repeats(_table(spark, sf_dir, "documents"), span=200)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest of each vector whose id is divisible by 50."""
     return nearest(_table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document."""
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
 def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether importance resampling keeps each document."""
     return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's toxicity."""
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's group at a similarity of 0.85 of 3-word shingles."""
     return near_duplicates(_table(spark, sf_dir, "documents"), k=3, num=85, den=100)
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's licence phrases and templates."""
     return license_report(_table(spark, sf_dir, "documents"))
 
 
 def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's links within its label at a cosine of 0.98."""
     return near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
 def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with surrogates for personal data and secrets."""
     return replace_pii(_table(spark, sf_dir, "documents"), pii_key(spark))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's token ids and of what they decode to."""
     return token_digests(encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path()))
 
 

@@ -3,7 +3,7 @@
 Unit vectors with cosine c lie ``sqrt(2 - 2c)`` apart. In every cell (at first a label) some vectors become pivots; a vector's
 home is the cell of its nearest pivot. By the triangle inequality a neighbour of a vector of cell i cannot lie in cell j
 unless ``(d_j**2 - d_i**2) / (2 * d(p_i, p_j)) <= radius``, so only vectors near a boundary are copied across it. Cells
-are split until they are small or stop shrinking, and each is joined by itself. Equal vectors are one vector with a count.
+are split until they are small or a split does not halve them, and each is joined by itself. Equal vectors are one vector with a count.
 """
 
 from __future__ import annotations
@@ -96,7 +96,7 @@ def _cell_links(table: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"a": a[some], "b": b[some], "links": count[some].astype(np.int64)})
 
 
-def near_vectors(rows: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cell_size: int = 16_384, block: int = 4096, pivots: int = 8, max_depth: int = 8) -> DataFrame:
+def near_vectors(rows: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cell_size: int = 256, block: int = 4096, pivots: int = 8, max_depth: int = 8) -> DataFrame:
     """One row a vector: id, n_links (vectors linked with it), component_id and kept (id = component_id).
 
     Two rows are linked if their labels are equal and not null and their cosine is `threshold` or more. Vectors that are null,

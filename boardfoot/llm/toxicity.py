@@ -80,14 +80,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """One row a document: id, held_out, score (0 to 1) and predicted (score >= threshold).
 
     Learns from at most `max_positive` toxic texts and `max_unlabelled` texts without regard to labels, both of rows that
-    are not held out and both chosen by the hash of their id; the prior is the share of toxic labels among such rows. Null
-    and empty texts get the model's bias as score. Without a toxic label every score is 0. Repeated ids are scored each;
+    are not held out and both chosen by the hash of their id (12,000 unlabelled texts hold some hundreds of toxic ones at the shares seen here, enough to weigh words that 1 in 200 toxic texts has); the prior is the share of toxic labels among such rows. Null
+    and empty texts get the model's bias as score. Without a toxic text to learn from (no such label, or no document of its id) every score is 0; if all
+    labels are toxic the prior is 0.99. An empty table gives an empty one. Repeated ids are scored each;
     a label whose id is repeated counts as toxic if one of its rows is. Other columns are not looked at.
     """
     known = labels.where(~held_out_rows(F.col(id_col)) & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("y"))
     n_known, n_toxic = known.agg(F.count("*"), F.sum(F.expr("y = 1").cast("long"))).first()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
+    model = np.zeros(0, np.int64), np.zeros(0), -np.inf
     if n_toxic:
         toxic = known.where("y = 1").select(id_col).orderBy(F.xxhash64(F.lit(5), id_col), id_col).limit(max_positive)
         toxic_ids = [r[0] for r in toxic.collect()]  # at most max_positive ids
@@ -104,9 +106,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         got = sample.mapInArrow(features, "u boolean, p boolean, buckets array<int>").limit(max_positive + 2 * max_unlabelled).toArrow()
         u, p = got.column("u").to_numpy(), got.column("p").to_numpy()
         lists = [np.asarray(x.values, np.int32) for x in got.column("buckets")]
-        model = fit_nnpu([x for x, k in zip(lists, p) if k], [x for x, k in zip(lists, u) if k], n_toxic / n_known, steps)
-    else:
-        model = np.zeros(0, np.int64), np.zeros(0), -np.inf
+        positive, unlabelled = ([x for x, k in zip(lists, marks) if k] for marks in (p, u))
+        if positive and unlabelled:
+            model = fit_nnpu(positive, unlabelled, min(0.99, max(0.0001, n_toxic / n_known)), steps)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS weights
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
