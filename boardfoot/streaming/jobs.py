@@ -58,21 +58,41 @@ SCHEMA = "id long, ip string, allowed int, wait int"
 
 
 def rate_limit(attempts: DataFrame) -> DataFrame:
-    """Verdicts on attempts (id, ip, t in seconds, failed). Each depends on those before it from the same ip, so an ip is one group."""
-    return attempts.groupBy("ip").applyInPandas(lambda key, rows: _replay(key[0], rows, [])[0], SCHEMA)
+    """Verdicts on attempts (id, ip, t in seconds, failed). Each depends on those before it from the same ip, so an ip's
+    attempts pass one task in order, a batch at a time."""
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The rows of some ips, one ip after another in order of time; only an ip's recorded attempts go from batch to batch."""
+        last, times = None, []
+        for batch in batches:
+            out = []
+            for ip, rows in batch.groupby("ip", sort=False, dropna=False):
+                same = ip == last or (pd.isna(ip) and last is pd.NA)
+                done, times = _replay(None if pd.isna(ip) else ip, rows, times if same else [])
+                last = pd.NA if pd.isna(ip) else ip
+                out.append(done)
+            if out:
+                yield pd.concat(out)
+
+    return attempts.select("id", "ip", "t", "failed").repartition("ip").sortWithinPartitions("ip", "t", "id").mapInPandas(replay, SCHEMA)
 
 
 def stream_rate_limit(attempts: DataFrame) -> DataFrame:
-    """The same on a stream in order of time; an ip's state is its recorded attempts, and ends when it is quiet."""
+    """The same on a stream in order of time; an ip's state is its recorded attempts, and ends when it is quiet. Attempts over
+    10 minutes behind the newest are dropped."""
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         times = list(state.get[0]) if state.exists else []
-        rows, times = _replay(key[0], pd.concat(frames), times)
+        arrived = pd.concat(frames)
+        rows, times = _replay(key[0], arrived, times)
         state.update((times,))
-        state.setTimeoutDuration(600_000)
+        state.setTimeoutTimestamp(max(int(arrived["t"].max() * 1000), state.getCurrentWatermarkMs()) + 600_000)
         yield rows
 
-    return attempts.groupBy("ip").applyInPandasWithState(step, SCHEMA, "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    # Event time, not the clock, ends a quiet state: with the clock a query that takes what is there would never stop. A
+    # millisecond is added because Spark drops what is not later than its first watermark, time 0.
+    timed = attempts.withColumn("at", F.timestamp_millis((F.col("t") * 1000).cast("long") + 1)).withWatermark("at", "10 minutes")
+    return timed.groupBy("ip").applyInPandasWithState(step, SCHEMA, "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
