@@ -196,12 +196,12 @@ def _head_pairs(large: DataFrame, classes: DataFrame, least: float, sample: int
     return pairs.select("c", "head", "x", "y").mapInArrow(likely, PAIRS).distinct()
 
 
-def _branched(large: DataFrame, classes: DataFrame, rate: float) -> DataFrame:
-    """(node, c, part): the children of large nodes."""
+def _branched(large: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, c, part): the children of large nodes, by one coordinate each, so that there are no more members than before."""
 
     def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            owner, node = children(np.arange(b.num_rows), b.column("node").to_numpy().view(U64), _rows_of(b.column("bits").to_pylist()), rate)
+            owner, node = children(np.arange(b.num_rows), b.column("node").to_numpy().view(U64), _rows_of(b.column("bits").to_pylist()), 0.0)
             at = pa.array(owner)
             yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), b.column("c").take(at), b.column("part").take(at)], ["node", "c", "part"])
 
@@ -333,7 +333,7 @@ def _crowded(nodes: DataFrame, rows: DataFrame, classes: DataFrame, k: int, num:
         return materialize(pairs.mapInArrow(_block_links(_least(num / den), num, den), PAIRS).distinct(), "links")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, trees: int = 6, small: int = 32, depth: int = 3, further: int = 3, batch: int = 500) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, trees: int = 6, small: int = 32, depth: int = 3, further: int = 2, batch: int = 500) -> DataFrame:
     """One row a document: id, n_shingles, component_id (the smallest id that links reach) and kept (id = component_id).
 
     Words are runs without white space, A-Z in lower case. Documents are linked if ``den * intersection >= num * union`` of
@@ -341,7 +341,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and are linked with nothing. Rows with equal ids are one node. Rows without an id have component_id null and are not kept.
     An empty table gives an empty one. Other columns are not looked at. Python sees `batch` documents or pairs at a time. Trees have `depth` levels,
     and up to `further` more where nodes are large. A tree misses a pair of similarity 0.8 with a chance of about 0.3 in
-    `depth` levels and 0.4 in all, so `trees` of them miss it with one of about 0.001 to 0.004; likelier pairs less.
+    `depth` levels and 0.43 in all, so `trees` of them miss it with one of about 0.001 to 0.006; likelier pairs less.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rate, least = den / num / WIDTH, _least(num / den)
@@ -367,7 +367,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for _ in range(further if crowds else 0):
             if large.isEmpty():
                 break
-            now = _counted(_branched(large, classes, rate))
+            now = _counted(_branched(large, classes))
             apart = apart.unionByName(_small_pairs(now, classes, small, least, True))
             large = now.where(F.col("k") > small)
         found = found.unionByName(_links(rows, classes, materialize(apart.distinct(), "pairs"), k, num, den))
