@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boardfoot.llm.text_arrays import ALNUM, NOT_SPACE, U64, Texts, mix, texts
-from boardfoot.plans.shared import materialize
+from boardfoot.plans.shared import materialize, small_batches
 
 REPEAT, ROW_START, MERGE = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F), U64(0xA0761D6478BD642F)
 
@@ -94,19 +94,21 @@ def kth_largest(df: DataFrame, column: str, k: int, least: int = 4096) -> float
     raise RuntimeError("the k-th value was not found")
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", k: int | None = None, buckets: int = 10_000, max_target: int = 20_000, prior: float = 10.0, seed: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", k: int | None = None, buckets: int = 10_000, max_target: int = 20_000, prior: float = 10.0, seed: int = 4, carry: tuple[str, ...] = (), batch: int = 500) -> DataFrame:
     """One row a document: id, log_weight, sample_key (log_weight plus noise), kept, and the columns that `carry` names.
 
     The target model is fitted on at most `max_target` ids labelled 1, chosen by the hash of the id; the raw model counts
     all documents. `prior` n-grams a bucket, dealt as in the raw text, stand in for target text not seen. `k` is how many are kept; by default as many as the target model makes likelier than the raw one does
     (log_weight >= 0). Documents that tie with the k-th are kept too, so repeated rows fare alike. Null and empty texts
     have log_weight 0, as there is nothing against them; without labelled documents all are kept. Ids are whole numbers.
+    Repeated ids are documents of their own. An empty table gives an empty one. Python sees `batch` documents at a time.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*carry).alias("carried") if carry else F.lit(None).cast("int").alias("carried"))
     id_type, carried_type = rows.schema["id"].dataType.simpleString(), rows.schema["carried"].dataType.simpleString()
     good = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
     good_ids = [r[0] for r in good.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(max_target).collect()]
-    counts = ngram_counts(rows, good_ids, buckets).collect()  # at most `buckets` rows
+    with small_batches(docs.sparkSession, batch):
+        counts = ngram_counts(rows, good_ids, buckets).collect()  # at most `buckets` rows
     raw, target = np.ones(buckets), np.zeros(buckets)
     for bucket, r, t in counts:
         raw[bucket] += r
@@ -124,7 +126,8 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("carried"), pa.array(weight)], ["id", "carried", "log_weight"])
 
     keys = rows.mapInArrow(weigh, f"id {id_type}, carried {carried_type}, log_weight double")
-    keys = materialize(keys.withColumn("sample_key", F.col("log_weight") + gumbel(F.col("id"), seed)), "sample-keys")
+    with small_batches(docs.sparkSession, batch):
+        keys = materialize(keys.withColumn("sample_key", F.col("log_weight") + gumbel(F.col("id"), seed)), "sample-keys")
     if k is None:
         k = keys.where("log_weight >= 0").count()
     least = kth_largest(keys, "sample_key", min(k, keys.count()))

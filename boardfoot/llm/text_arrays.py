@@ -74,7 +74,7 @@ class Texts:
         return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
-def texts(column: pa.Array, size: int = 2_000_000) -> Iterator[Texts]:
+def texts(column: pa.Array, size: int = 400_000) -> Iterator[Texts]:
     """The rows of a string column in lots of about `size` bytes; null is an empty text. A lot has one row at least."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
     _, offsets, data = column.buffers()
