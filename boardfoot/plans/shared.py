@@ -53,6 +53,12 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def lower_batches(spark: SparkSession, rows: int) -> None:
+    """Lower the session's Arrow batches to at most `rows` rows, for a frame of long texts that runs after its query has returned."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, str(min(rows, int(spark.conf.get(name)))))
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Mark `df` for broadcast only if it has at most `max_rows` rows; beyond that Spark shuffles it.
 
