@@ -48,7 +48,7 @@ class WordBpe:
     `leaf`: symbols of a word up to which it is merged directly; `known`: words kept with their ids.
     """
 
-    def __init__(self, spec: str, leaf: int = 64, known: int = 500_000) -> None:
+    def __init__(self, spec: str, leaf: int = 64, known: int = 100_000) -> None:
         d = json.loads(spec)
         model = d["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"]
@@ -200,7 +200,7 @@ def _bpe(spec) -> WordBpe:
     return _loaded[key]
 
 
-def _rows(batches: Iterator[pa.RecordBatch], text: str, chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def _rows(batches: Iterator[pa.RecordBatch], text: str, chars: int = 500_000) -> Iterator[pa.RecordBatch]:
     """The batches, cut where their texts pass `chars` characters."""
     for batch in batches:
         sizes = np.cumsum(np.diff(np.frombuffer(batch.column(text).cast(pa.large_string()).buffers()[1], np.int64)[batch.column(text).offset :][: batch.num_rows + 1]))

@@ -17,6 +17,7 @@ from boardfoot.llm.range_join import near_vectors
 from boardfoot.llm.repeats import remove_repeats
 from boardfoot.llm.surrogates import replace_pii
 from boardfoot.llm.toxicity import score_toxicity
+from boardfoot.plans.shared import lower_batches
 
 
 def pii_key(spark: SparkSession) -> str:
@@ -77,6 +78,7 @@ def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of each document's token ids and of what they decode to."""
+    lower_batches(spark, 500)
     return token_digests(encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
