@@ -17,7 +17,7 @@ from boardfoot.llm.near_duplicates import near_duplicates
 from boardfoot.llm.quality import resample
 from boardfoot.llm.queries import pii_key, token_digests, tokenizer_path
 from boardfoot.llm.surrogates import replace_pii
-from boardfoot.plans.shared import broadcast_if_small, materialize
+from boardfoot.plans.shared import broadcast_if_small, lower_batches, materialize
 
 #: Rows up to which a list of documents to drop or repeat is broadcast (16 bytes each); beyond, Spark shuffles.
 SMALL = 1_000_000
@@ -75,6 +75,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row's token count and digests of its ids and of what they decode to; a null text has no ids."""
+    lower_batches(spark, 500)
     return token_digests(encode_decode(docs, tokenizer_path()))
 
 
