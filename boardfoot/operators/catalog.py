@@ -131,6 +131,11 @@ def upload_summary(uploads: DataFrame, rows: DataFrame) -> DataFrame:
     return out.select("id", F.when(F.col("row_count") > 0, "parsed").otherwise("failed").alias("status"), F.coalesce("row_count", F.lit(0)).alias("row_count"), F.coalesce("parsing_confidence", F.lit(0.0)).alias("parsing_confidence"))
 
 
+def upload_products(products: DataFrame) -> DataFrame:
+    """An upload's products numbered from 1 in the order of their source rows, ties by id."""
+    return products.withColumn("place", F.row_number().over(Window.partitionBy("upload_id").orderBy("source_row", "id")))
+
+
 def suggest(products: DataFrame, asked: DataFrame, n: int = 10) -> DataFrame:
     """For each query (id, query): the first `n` species, grades and thicknesses that hold its text, in order.
 

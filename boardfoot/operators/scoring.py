@@ -54,14 +54,24 @@ def row_score(c: dict[str, Column]) -> Column:
     return F.round(clamp(score), 3)
 
 
+#: The note of a row for review, and the warnings of a file's report.
+REVIEW_NOTE = " [needs review]"
+REJECTED = " rows rejected as non-inventory (contact info, addresses, junk text, etc.)"
+FLAGGED = " rows flagged for manual review (low confidence)"
+
+
 def classify(confidence: Column) -> Column:
     return F.when(confidence >= V.ACCEPT, "accept").when(confidence >= V.REVIEW, "review").otherwise("reject")
 
 
 def split_by_class(rows: DataFrame, include_review: bool = True) -> DataFrame:
-    """Rows with their class; without review, rows for review are rejected."""
+    """Rows with their class; without review, rows for review are rejected, with it their notes say so."""
     kind = classify(F.col("confidence"))
-    return rows.withColumn("class", kind if include_review else F.when(kind == "review", "reject").otherwise(kind))
+    if not include_review:
+        return rows.withColumn("class", F.when(kind == "review", "reject").otherwise(kind))
+    old = F.col("notes") if "notes" in rows.columns else F.lit(None).cast("string")
+    notes = F.when(kind == "review", F.concat(F.coalesce(old, F.lit("")), F.lit(REVIEW_NOTE))).otherwise(old)
+    return rows.withColumn("class", kind).withColumn("notes", notes)
 
 
 def warnings(c: dict[str, Column]) -> Column:
@@ -86,9 +96,11 @@ def dedupe_rows(rows: DataFrame) -> DataFrame:
 
 
 def parse_report(rows: DataFrame) -> DataFrame:
-    """Per file: raw rows and those of each class."""
+    """Per file: raw rows, those of each class, and warnings on rejected rows and rows for review."""
     kind = classify(F.col("confidence"))
-    return rows.groupBy("upload_id").agg(F.count("*").alias("raw"), *[F.count_if(kind == k).alias(k) for k in ("accept", "review", "reject")])
+    per = rows.groupBy("upload_id").agg(F.count("*").alias("raw"), *[F.count_if(kind == k).alias(k) for k in ("accept", "review", "reject")])
+    said = [F.when(F.col(k) > 0, F.concat(F.col(k).cast("string"), F.lit(text))) for k, text in (("reject", REJECTED), ("review", FLAGGED))]
+    return per.withColumn("warnings", F.array_compact(F.array(*said)))
 
 
 #: Rows that a strategy needs before it counts, in the order of preference on ties.

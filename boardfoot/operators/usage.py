@@ -51,9 +51,9 @@ def activity_by_type(activity: DataFrame) -> DataFrame:
     return activity.groupBy("action").agg(F.count("*").alias("n"))
 
 
-def daily_counts(events: DataFrame, when: str, now, days: int = 30) -> DataFrame:
-    """Rows a calendar day, from `days` days back."""
-    return events.where(F.col(when) >= now - F.expr(f"INTERVAL {days} DAYS")).groupBy(F.to_date(when).alias("day")).agg(F.count("*").alias("n"))
+def daily_counts(events: DataFrame, when: str, now, *by: str, days: int = 30) -> DataFrame:
+    """Rows a calendar day (and value of the columns `by`), from `days` days back."""
+    return events.where(F.col(when) >= now - F.expr(f"INTERVAL {days} DAYS")).groupBy(*by, F.to_date(when).alias("day")).agg(F.count("*").alias("n"))
 
 
 def activity_with_users(activity: DataFrame, users: DataFrame, n: int = 500) -> DataFrame:

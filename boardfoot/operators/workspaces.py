@@ -27,6 +27,11 @@ def pending_invitations(invitations: DataFrame, groups: DataFrame, now) -> DataF
     return invitations.where((F.col("status") == "pending") & (F.col("expires_at") > now)).join(active, "group_id").select("id", F.lower("email").alias("email"), "group_id", "group_name", "slug")
 
 
+def invitations_newest(invitations: DataFrame, when: str) -> DataFrame:
+    """A group's invitations numbered from 1, newest first by `when`, ties by larger id."""
+    return invitations.withColumn("place", F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc(when), F.desc("id"))))
+
+
 def expire_invitations(invitations: DataFrame, now) -> DataFrame:
     """Invitations with the pending ones past their time marked so."""
     late = (F.col("status") == "pending") & (F.col("expires_at") < now)

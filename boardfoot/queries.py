@@ -12,7 +12,7 @@ from boardfoot import sql_text as S
 from boardfoot.functions import normalize as N
 from boardfoot.functions import vocabulary as V
 from boardfoot.operators import catalog, cleaning, layout, lines, replies, scoring, search, sheets, usage, workspaces
-from boardfoot.sources.csv_lists import csv_rows, read_csv_cells
+from boardfoot.sources.csv_lists import csv_rows, list_cells
 from boardfoot.sources.views import view, with_views
 from boardfoot.plans.shared import materialize, shared_dir
 from boardfoot.streaming import jobs
@@ -123,8 +123,13 @@ def f10_classify_rows(t):
     return t("fx_products").select("id", scoring.classify(F.col("confidence")).alias("class"))
 
 
-@query("fx_products", "SELECT id, CASE WHEN confidence >= 0.7e0 THEN 'accept' ELSE 'reject' END AS class FROM fx_products")
+@query("fx_products", "SELECT id, CASE WHEN confidence >= 0.7e0 THEN 'accept' WHEN confidence >= 0.4e0 THEN 'review' ELSE 'reject' END AS class, CASE WHEN confidence >= 0.4e0 AND confidence < 0.7e0 THEN ' [needs review]' END AS notes FROM fx_products")
 def f11_split_by_class(t):
+    return scoring.split_by_class(t("fx_products").drop("notes")).select("id", "class", "notes")
+
+
+@query("fx_products", "SELECT id, CASE WHEN confidence >= 0.7e0 THEN 'accept' ELSE 'reject' END AS class FROM fx_products")
+def f11_split_without_review(t):
     return scoring.split_by_class(t("fx_products"), include_review=False).select("id", "class")
 
 
@@ -267,7 +272,7 @@ def product_cells(t) -> DataFrame:
     return left.unionByName(cell(7, F.col("quantity"), F.col("quantity_numeric"))).unionByName(cell(9, F.col("product"), none)).unionByName(cell(14, F.col("quantity"), F.col("quantity_numeric")))
 
 
-CELLS_SQL = """, cells AS (SELECT upload_id, CAST(source_row + 8 AS INT) AS "row", c AS "col", CASE c WHEN 1 THEN CASE WHEN source_row % 4 = 1 THEN species ELSE product END WHEN 9 THEN product ELSE quantity END AS value, CASE WHEN c IN (7, 14) THEN quantity_numeric END AS num_value FROM fx_products, (VALUES (1), (7), (9), (14)) k(c) WHERE source_row <= 40) """
+CELLS_SQL = """, cells AS (SELECT upload_id, CAST(source_row + 8 AS INT) AS "row", c AS "col", CASE c WHEN 1 THEN CASE WHEN source_row % 4 = 1 THEN species ELSE product END WHEN 9 THEN product ELSE quantity END AS value, CASE WHEN c IN (7, 14) THEN quantity_numeric END AS num_value FROM fx_products, (VALUES (1), (7), (9), (14)) k(c)) """
 
 
 @query()
@@ -349,15 +354,11 @@ def x15_csv_field(t):
 @query()
 def io1_read_csv_stock_lists(t):
     p = t("fx_products")
-    spark = p.sparkSession
     q = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     line = F.concat_ws(",", F.lpad("source_row", 4, "0"), q("species"), F.concat(F.lit('"'), F.replace(q("thickness"), F.lit('"'), F.lit('""')), F.lit('"')), q("grade"), q("quantity"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source_row", line.alias("line")))), lambda s: s["line"]), "\n")
-    files = p.groupBy("upload_id").agg(F.concat(F.lit("No,Species,Thickness,Grade,Qty\n"), body).alias("value"))
-    out = f"{shared_dir(spark)}/csv-lists-{dt.datetime.now().timestamp()}"
-    files.select("upload_id", "value").write.partitionBy("upload_id").option("lineSep", "\x00").text(out)
-    cells = read_csv_cells(spark, f"{out}/*/*.txt").withColumn("value", F.replace("value", F.lit("\x00"), F.lit("")))
-    return csv_rows(cells).withColumn("file", F.regexp_extract("file", "upload_id=([0-9]+)", 1))
+    files = p.groupBy(F.col("upload_id").cast("string").alias("file")).agg(F.concat(F.lit("No,Species,Thickness,Grade,Qty\n"), body).alias("value"))
+    return csv_rows(list_cells(materialize(files, "csv-lists")))
 
 
 @query("fx_lines", "SELECT upload_id, line_no, unnest(CASE WHEN len(regexp_extract_all(text, '\\b[0-9]+/[0-9]\\b')) >= 2 AND len(p) >= 2 THEN p ELSE [text] END) AS segment FROM (SELECT upload_id, line_no, text, list_filter(list_transform(regexp_split_to_array(text, '\\s{3,}'), lambda s: " + S.strip("s") + "), lambda s: length(s) > 3) AS p FROM (SELECT upload_id, line_no, concat(text, CASE WHEN line_no % 2 = 0 THEN '    5/4 FAS 300''' ELSE '' END) AS text FROM fx_lines))")
@@ -394,10 +395,9 @@ def stored_replies(p: DataFrame) -> DataFrame:
     return p.groupBy("upload_id").agg(body.alias("body")).select("upload_id", text.alias("reply"))
 
 
-@query("fx_products", "SELECT upload_id, count(*) AS products FROM fx_products WHERE source_row <= 5 AND upload_id % 10 = 1 GROUP BY 1")
+@query("fx_products", "SELECT upload_id, count(*) AS products FROM fx_products GROUP BY 1")
 def x19_parse_llm_json(t):
-    p = t("fx_products").where("source_row <= 5 and upload_id % 10 = 1")  # the rows that its SQL states
-    return replies.parse_replies(stored_replies(p)).select("upload_id", F.size("parsed.products").cast("long").alias("products"))
+    return replies.parse_replies(stored_replies(t("fx_products"))).select("upload_id", F.size("parsed.products").cast("long").alias("products"))
 
 
 @query()
@@ -593,9 +593,9 @@ def u3_union_strategies(t):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("upload_id", "method").agg(F.count("*").alias("n"))
 
 
-@query("fx_products", "SELECT upload_id, count(*) AS raw, count(*) FILTER (confidence >= 0.7e0) AS accept, count(*) FILTER (confidence >= 0.4e0 AND confidence < 0.7e0) AS review, count(*) FILTER (confidence < 0.4e0) AS reject FROM fx_products GROUP BY 1")
+@query("fx_products", "SELECT *, concat_ws('; ', CASE WHEN reject > 0 THEN concat(reject, ' rows rejected as non-inventory (contact info, addresses, junk text, etc.)') END, CASE WHEN review > 0 THEN concat(review, ' rows flagged for manual review (low confidence)') END) AS warnings FROM (SELECT upload_id, count(*) AS raw, count(*) FILTER (confidence >= 0.7e0) AS accept, count(*) FILTER (confidence >= 0.4e0 AND confidence < 0.7e0) AS review, count(*) FILTER (confidence < 0.4e0) AS reject FROM fx_products GROUP BY 1)")
 def a8_parse_report(t):
-    return scoring.parse_report(t("fx_products"))
+    return scoring.parse_report(t("fx_products")).withColumn("warnings", F.array_join("warnings", "; "))
 
 
 @query("fx_users fx_sessions fx_uploads fx_products fx_mills fx_searches", f"SELECT count(*) AS users, count(*) FILTER (is_active = 1) AS active, count(*) FILTER (role = 'admin') AS admins, count(*) FILTER (is_suspended = 1) AS suspended, count(*) FILTER (created_at >= {NOW_SQL} - INTERVAL 30 DAY) AS new_users, (SELECT count(*) FROM {LIVE}) AS live_sessions, (SELECT count(*) FROM fx_uploads) AS uploads, (SELECT count(*) FROM fx_products) AS products, (SELECT count(*) FROM fx_mills) AS mills, (SELECT count(*) FROM fx_searches) AS searches FROM fx_users")
@@ -616,8 +616,7 @@ def a11_daily_registrations(t):
 
 @query("fx_activity", f"SELECT group_id, CAST(created_at AS DATE) AS day, count(*) AS n FROM fx_activity WHERE created_at >= {NOW_SQL} - INTERVAL 30 DAY GROUP BY 1, 2")
 def a11_daily_by_group(t):
-    a = t("fx_activity").where(F.col("created_at") >= now() - F.expr("INTERVAL 30 DAYS"))
-    return a.groupBy("group_id", F.to_date("created_at").alias("day")).agg(F.count("*").alias("n"))
+    return usage.daily_counts(t("fx_activity"), "created_at", now(), "group_id")
 
 
 def page_words(t) -> DataFrame:
@@ -679,6 +678,16 @@ def k5_uploads_newest(t):
     return t("fx_uploads").select("id", "uploaded_at").orderBy(*catalog.newest("uploaded_at", "id")).limit(100)
 
 
+@query("fx_products", "SELECT upload_id, id, row_number() OVER (PARTITION BY upload_id ORDER BY source_row, id) AS place FROM fx_products")
+def k5_upload_products(t):
+    return catalog.upload_products(t("fx_products")).select("upload_id", "id", F.col("place").cast("long").alias("place"))
+
+
+@query("fx_invitations", "SELECT group_id, id, row_number() OVER (PARTITION BY group_id ORDER BY expires_at DESC, id DESC) AS place FROM fx_invitations")
+def k5_invitations_newest(t):
+    return workspaces.invitations_newest(t("fx_invitations"), "expires_at").select("group_id", "id", F.col("place").cast("long").alias("place"))
+
+
 @query("fx_products", "SELECT upload_id, 1 - least(min(CASE WHEN confidence >= 0.7e0 THEN 0 ELSE 1 END), 1) AS has_accepted, count(*) AS kept FROM fx_products WHERE confidence >= 0.4e0 GROUP BY 1")
 def u1_combine_accepted(t):
     p = t("fx_products")
@@ -717,12 +726,17 @@ def q2_bm25_search(t):
     return search.bm25_search(asked(t), t("fx_products"), SEARCHED)
 
 
-WORD_HITS = "SELECT t.query_id, p.id, count(*) AS tf FROM (SELECT query_id, group_id, query FROM (" + ASKED + ") WHERE query = 'fas') t JOIN (SELECT group_id, id, unnest(regexp_extract_all(lower(value), '[a-z0-9]+')) AS token FROM (" + " UNION ALL ".join(f"SELECT group_id, id, {c} AS value FROM fx_products" for c in SEARCHED) + ")) p ON p.group_id = t.group_id AND p.token = 'fas' GROUP BY 1, 2"
+ASKED_WORDS = f"SELECT query_id, group_id, regexp_extract_all(lower(query), '[a-z0-9]+') AS words FROM ({ASKED})"
+PLACES = " UNION ALL ".join(f"SELECT group_id, id, {i} AS col, regexp_extract_all(lower({c}), '[a-z0-9]+') AS words FROM fx_products" for i, c in enumerate(SEARCHED))
+PHRASE_HITS = f"""SELECT query_id, id, count(*) AS tf FROM (SELECT q.query_id, p.id, p.col, p.pos - q.off AS at, len(any_value(q.words)) AS m, count(*) AS k
+FROM (SELECT query_id, group_id, words, unnest(words) AS token, generate_subscripts(words, 1) AS off FROM ({ASKED_WORDS})) q
+JOIN (SELECT group_id, id, col, unnest(words) AS token, generate_subscripts(words, 1) AS pos FROM ({PLACES})) p ON p.group_id = q.group_id AND p.token = q.token
+GROUP BY 1, 2, 3, 4) WHERE k = m GROUP BY 1, 2"""
 
 
-@query("fx_products fx_searches", WORD_HITS)
+@query("fx_products fx_searches", PHRASE_HITS)
 def j13_term_postings(t):
-    terms = asked(t).where("query = 'fas'").select("query_id", "group_id", F.lit(0).alias("term_no"), F.col("query").alias("term"))
+    terms = asked(t).select("query_id", "group_id", F.lit(0).alias("term_no"), F.col("query").alias("term"))
     return search.term_postings(terms, search.build_postings(t("fx_products"), SEARCHED, stem=False), stem=False).select("query_id", "id", "tf")
 
 

@@ -12,9 +12,14 @@ from boardfoot.operators.sheets import csv_field
 
 
 def read_csv_cells(spark: SparkSession, path: str) -> DataFrame:
-    """(file, source_row, col, header, value) of every filled cell. Rows are counted from 0 below the header; quoted commas stay in
-    their cell; a file is read whole, as lists are small."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", r"\r?\n").alias("lines"))
+    """The cells of the files at `path`; a file is read whole, as lists are small."""
+    return list_cells(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value"))
+
+
+def list_cells(files: DataFrame) -> DataFrame:
+    """(file, source_row, col, header, value) of every filled cell of lists (file, value), from files of their own or, as many
+    small files are slow to read, from a table of lists. Rows are counted from 0 below the header; quoted commas stay in their cell."""
+    files = files.select("file", F.split("value", r"\r?\n").alias("lines"))
     cells = lambda line: F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r""",((?:"(?:[^"]|"")*"|[^,]*))"""), 1)
     bare = lambda x: F.replace(F.regexp_replace(strip(x), '^"|"$', ""), F.lit('""'), F.lit('"'))
     rows = files.select("file", F.col("lines")[0].alias("head"), F.posexplode(F.slice("lines", F.lit(2), F.size("lines"))).alias("source_row", "line")).where("line <> ''")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from boardfoot.functions import normalize as N
 from boardfoot.functions.stemming import porter_stem
 from boardfoot.operators import cleaning, layout, lines, replies, scoring, search, sheets
+from boardfoot.sources import csv_lists
 from boardfoot.streaming import jobs
 
 GOLDEN = json.loads((Path(__file__).parent / "golden" / "lines.json").read_text())
@@ -101,3 +102,15 @@ def test_csv_field(spark):
 def test_mill_from_filename(spark):
     df = spark.createDataFrame([("OakRidge Stock List 1-2-2024.pdf",), ("abcdef0123456789abcdef.xlsx",), ("Hill_Mill_20240102.csv",)], "f string")
     assert [r[0] for r in df.select(cleaning.mill_from_filename(F.col("f"))).collect()] == ["Oak Ridge", None, "Hill Mill"]
+
+
+def test_csv_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Species,Thickness,Grade,"Qty (BF)",Product\r\nCherry,4/4,FAS,"1,200",\r\n\r\nAsh,8/4,#1C,call,"8/4 Ash, kiln dried"\r\n')
+    cells = csv_lists.read_csv_cells(spark, str(tmp_path))
+    got = {r["source_row"]: r for r in csv_lists.csv_rows(cells).collect()}
+    assert {k: (r["species"], r["thickness"], r["quantity"], r["quantity_numeric"], r["product"]) for k, r in got.items()} == {
+        0: ("Cherry", "4/4", "1,200 BF", 1200.0, "4/4 FAS"),
+        2: ("Ash", "8/4", "call", None, "8/4 Ash, kiln dried"),
+    }
+    tables = spark.createDataFrame([("a", (tmp_path / "a.csv").read_text())], "file string, value string")
+    assert csv_lists.list_cells(tables).drop("file").exceptAll(cells.drop("file")).count() == 0
