@@ -15,6 +15,7 @@ from boardfoot.llm.nearest import nearest
 from boardfoot.llm.quality import resample
 from boardfoot.llm.range_join import near_vectors
 from boardfoot.llm.repeats import remove_repeats
+from boardfoot.llm.sql import ORACLES as _SQL
 from boardfoot.llm.surrogates import replace_pii
 from boardfoot.llm.toxicity import score_toxicity
 from boardfoot.plans.shared import lower_batches
@@ -95,4 +96,4 @@ def token_digests(encoded: DataFrame) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_remove_repeats, op2_nearest, op3_mix_sources, op4_importance_resampling, op5_toxicity, op6_near_duplicates, op7_licenses, op8_near_vectors, op9_surrogates, op10_bpe)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(_SQL)
