@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boardfoot.operators.search import containing
+
 SORTABLE = ("id", "species", "thickness", "grade", "mill_name", "quantity_numeric", "confidence", "created_at")
 
 
@@ -142,7 +144,8 @@ def suggest(products: DataFrame, asked: DataFrame, n: int = 10) -> DataFrame:
     Distinct values are few beside products, and are what the queries are compared with.
     """
     values = products.unpivot([], ["species", "grade", "thickness"], "facet", "value").select("value").where(F.col("value").isNotNull()).distinct()
-    hits = asked.select("query").distinct().join(values, F.contains(F.lower("value"), F.lower("query")))
+    queries = asked.select("query", F.lower("query").alias("pattern")).distinct()
+    hits = queries.join(containing(queries, values), "pattern").select("query", "value")
     rank = F.row_number().over(Window.partitionBy("query").orderBy("value"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= n)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from boardfoot.functions.stemming import stem_tokens
 from boardfoot.functions.text import filled, strip
-from boardfoot.plans.shared import broadcast_if_small
+from boardfoot.plans.shared import broadcast_if_small, materialize
 
 # Words that stand for each other, in order.
 SYNONYMS = {
@@ -34,6 +34,7 @@ SMALL_WORDS = ("the", "and", "for", "all", "with", "any")
 LIKE_COLUMNS = ("product", "product_normalized", "species", "grade", "description")
 WORD_COLUMNS = (*LIKE_COLUMNS, "thickness", "mill_name")
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+LEAST_LIKENESS = 0.4
 
 
 def expand_query(query: Column) -> Column:
@@ -85,16 +86,36 @@ def term_postings(terms: DataFrame, postings: DataFrame, stem: bool = True) -> D
     return whole.groupBy("query_id", "term_no", "group_id", "id").agg(F.count("*").alias("tf"))
 
 
+def long_values(products: DataFrame, columns, *keep: str) -> DataFrame:
+    """(group_id, id, keep, col, value) of the columns that are filled; values as they are."""
+    return products.unpivot(["group_id", "id", *keep], list(columns), "col", "value").where(F.col("value").isNotNull())
+
+
+def phrase_counts(phrases: DataFrame, values: DataFrame, stem: bool = True) -> DataFrame:
+    """(phrase, value, n): in how many places of each distinct value a phrase's words follow each other."""
+    p = phrases.select("phrase").distinct().select("phrase", F.posexplode(tokens(F.col("phrase"))).alias("off", "token"))
+    size = p.groupBy("phrase").agg(F.count("*").alias("m"))
+    v = values.select("value").distinct().select("value", F.posexplode(tokens(F.col("value"))).alias("pos", "token"))
+    hits = stemmed(p, stem).join(stemmed(v, stem), "token").groupBy("phrase", "value", (F.col("pos") - F.col("off")).alias("at")).agg(F.count("*").alias("k"))
+    return hits.join(broadcast_if_small(size, 200_000), "phrase").where("k = m").groupBy("phrase", "value").agg(F.count("*").alias("n"))
+
+
 def bm25_search(queries: DataFrame, products: DataFrame, columns: tuple[str, ...], limit: int = 100, stem: bool = True) -> DataFrame:
     """(query_id, id, score): products that hold a term's phrase, by BM25 over the group's products; a product has the score
-    of its first term. The top 2 * limit of each term count."""
-    postings = build_postings(products, columns, stem)
-    lengths = postings.groupBy("group_id", "id").agg(F.count("*").alias("dl"))
-    totals = products.groupBy("group_id").agg(F.count("*").alias("docs"))
-    totals = totals.join(lengths.groupBy("group_id").agg(F.sum("dl").alias("words")), "group_id").select("group_id", "docs", (F.col("words") / F.col("docs")).alias("avgdl"))
-    tf = term_postings(query_terms(queries), postings, stem)
+    of its first term. The top 2 * limit of each term count.
+
+    Phrases are looked for once in each distinct value; products meet only the values that some term of their group is in.
+    """
+    words = sum((F.coalesce(F.size(tokens(F.col(c))), F.lit(0)) for c in columns), F.lit(0))
+    sized = products.select("group_id", "id", *columns, words.alias("dl"))
+    totals = sized.groupBy("group_id").agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
+    terms = query_terms(queries).select("query_id", "group_id", "term_no", fts_phrase(F.col("term")).alias("phrase"))
+    wanted = terms.join(phrase_counts(terms, long_values(products, columns), stem), "phrase").select("query_id", "term_no", "group_id", "value", "n")
+    wanted = broadcast_if_small(materialize(wanted, "phrases"), 200_000)
+    tf = long_values(sized, columns, "dl").join(wanted, ["group_id", "value"]).groupBy("query_id", "term_no", "group_id", "id").agg(F.sum("n").alias("tf"), F.first("dl").alias("dl"))
+    tf = materialize(tf, "term-hits")
     df = tf.groupBy("query_id", "term_no").agg(F.count("*").alias("df"))
-    j = tf.join(df, ["query_id", "term_no"]).join(lengths, ["group_id", "id"]).join(totals, "group_id")
+    j = tf.join(df, ["query_id", "term_no"]).join(totals, "group_id")
     idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     top = Window.partitionBy("query_id", "term_no").orderBy(F.desc("score"), "id")
@@ -102,17 +123,45 @@ def bm25_search(queries: DataFrame, products: DataFrame, columns: tuple[str, ...
     return j.groupBy("query_id", "id").agg(F.min_by("score", "term_no").alias("score"))
 
 
+def grams(x: Column, n: Column) -> Column:
+    """The different runs of `n` signs in a text; of none, the empty text."""
+    return F.when(n == 0, F.array(F.lit(""))).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), lambda i: F.substr(x, i, n))))
+
+
+def containing(patterns: DataFrame, values: DataFrame) -> DataFrame:
+    """(pattern, value): values (in any letter case) that hold a pattern (in small letters).
+
+    Each pattern meets only the values with its rarest run of three signs (of one or two, if it has no more), and is looked
+    for in those.
+    """
+    p = patterns.select("pattern").where(F.col("pattern").isNotNull()).distinct()
+    p = p.select("pattern", F.explode(grams(F.col("pattern"), F.least(F.lit(3), F.length("pattern")))).alias("gram"))
+    low = F.lower("value")
+    runs = F.flatten(F.array(*[F.when(F.length(low) >= n, grams(low, F.lit(n))).otherwise(F.array().cast("array<string>")) for n in range(4)]))
+    v = materialize(values.select("value").where(F.col("value").isNotNull()).distinct(), "values").select("value", F.explode(runs).alias("gram"))
+    v = v.join(broadcast_if_small(p.select("gram").distinct(), 200_000), "gram", "left_semi")
+    rarest = p.join(v.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left").groupBy("pattern").agg(F.min_by("gram", F.coalesce("n", F.lit(0))).alias("gram"))
+    return v.join(broadcast_if_small(rarest, 200_000), "gram").where(F.contains(low, F.col("pattern"))).select("pattern", "value")
+
+
+def like_match(queries: DataFrame, products: DataFrame, columns: tuple[str, ...] = LIKE_COLUMNS) -> DataFrame:
+    """(query_id, pattern, id): products with a pattern of (query_id, group_id, pattern) inside a column, each once."""
+    columns = [c for c in columns if c in products.columns]
+    values = long_values(products, columns)
+    wanted = materialize(queries.join(containing(queries, values), "pattern"), "patterns")
+    return values.join(broadcast_if_small(wanted, 200_000), ["group_id", "value"]).select("query_id", "pattern", "id").distinct()
+
+
 def partial_search(queries: DataFrame, products: DataFrame, limit: int = 100) -> DataFrame:
     """(query_id, id): products with the query or one of its first terms inside a column, or all its important words. The
-    first 2 * limit ids of each pattern count. Queries are a stated set; they are compared with all products of their group."""
-    columns = [c for c in LIKE_COLUMNS if c in products.columns]
+    first 2 * limit ids of each pattern count."""
     q = queries.select("query_id", "group_id", F.explode(F.array_distinct(F.concat(F.array(F.lower("query")), F.slice(expand_query(F.col("query")), 1, 5)))).alias("pattern"))
-    inside = lambda cols, word: F.lit(False) if not cols else F.coalesce(F.contains(F.lower(cols[0]), word), F.lit(False)) | inside(cols[1:], word)
-    hits = products.join(broadcast_if_small(q, 200_000), "group_id").where(inside(columns, F.col("pattern"))).select("query_id", "pattern", "id")
-    wide = [c for c in WORD_COLUMNS if c in products.columns]
+    hits = like_match(q, products)
     important = F.filter(F.split(F.lower("query"), r"\s+"), lambda w: (F.length(w) > 2) & ~w.isin(*SMALL_WORDS))
-    words = queries.select("query_id", "group_id", important.alias("words")).where(F.size("words") >= 2)
-    both = products.join(broadcast_if_small(words, 200_000), "group_id").where(F.forall("words", lambda w: inside(wide, w))).select("query_id", F.lit("\n all words").alias("pattern"), "id")
+    words = queries.select("query_id", "group_id", F.array_distinct(important).alias("words"), F.size(important).alias("size")).where("size >= 2")
+    each = like_match(words.select("query_id", "group_id", F.explode("words").alias("pattern")), products, WORD_COLUMNS)
+    held = each.groupBy("query_id", "id").agg(F.count("*").alias("k")).join(broadcast_if_small(words.select("query_id", F.size("words").alias("size")), 200_000), "query_id")
+    both = held.where("k = size").select("query_id", F.lit("\n all words").alias("pattern"), "id")
     rank = F.row_number().over(Window.partitionBy("query_id", "pattern").orderBy("id"))
     return hits.unionByName(both).withColumn("r", rank).where(F.col("r") <= 2 * limit).select("query_id", "id").distinct()
 
@@ -123,35 +172,47 @@ def likeness(query: str, value: str) -> Column:
 
 
 def _ratios(query: pd.Series, value: pd.Series) -> pd.Series:
+    match, last = SequenceMatcher(None), None
+
     def one(q: str, v: str) -> float:
-        ratio = SequenceMatcher(None, q, v).ratio()
-        return max(ratio, 0.6) if any(len(w) > 2 and w in v for w in q.split()) else ratio
+        nonlocal last
+        if v != last:
+            match.set_seq2(v)  # this counts the value's letters, so values come sorted
+            last = v
+        match.set_seq1(q)
+        return max(match.ratio(), 0.6) if any(len(w) > 2 and w in v for w in q.split()) else match.ratio() if match.quick_ratio() >= LEAST_LIKENESS else 0.0
 
-    return pd.Series([one(q, v) for q, v in zip(query, value)])
+    return pd.Series([one(q, v) for q, v in zip(query, value)], dtype="float64")
 
 
-def fuzzy_search(queries: DataFrame, products: DataFrame, limit: int = 100, least: float = 0.4) -> DataFrame:
-    """(query_id, id, score): products with a column like the query. Only distinct values are compared, and only those whose
-    length lets the ratio reach `least`, or that hold a word of the query."""
+def fuzzy_search(queries: DataFrame, products: DataFrame, limit: int = 100, least: float = LEAST_LIKENESS) -> DataFrame:
+    """(query_id, id, score): products with a column like the query. Only distinct pairs of texts are compared, and only those
+    whose length lets the ratio reach `least`, or that hold a word of the query. `least` is not below LEAST_LIKENESS."""
     columns = [c for c in LIKE_COLUMNS if c in products.columns]
-    values = products.unpivot(["group_id", "id"], columns, "col", "value").where(F.col("value").isNotNull()).select("group_id", "id", F.lower("value").alias("value")).distinct()
+    values = long_values(products, columns).select("group_id", "id", F.lower("value").alias("value"))
     q = queries.select("query_id", "group_id", F.lower("query").alias("query"))
     texts, asked = values.select("group_id", "value").distinct(), q.select("group_id", "query").distinct()
     la, lb = F.length("query"), F.length("value")
     able = 2 * F.least(la, lb) >= least * (la + lb)
     word = F.exists(F.split("query", r"\s+"), lambda w: (F.length(w) > 2) & F.contains(F.col("value"), w))
-    like = texts.join(broadcast_if_small(asked, 200_000), "group_id").where(able | word).withColumn("score", likeness("query", "value")).where(F.col("score") >= least)
-    best = values.join(like, ["group_id", "value"]).join(q, ["group_id", "query"]).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    pairs = texts.join(broadcast_if_small(asked, 200_000), "group_id").where(able | word).select("query", "value").distinct().sortWithinPartitions("value")
+    like = pairs.withColumn("score", likeness("query", "value")).where(F.col("score") >= least)
+    wanted = broadcast_if_small(materialize(like.join(q, "query").select("query_id", "group_id", "value", "score"), "likeness"), 200_000)
+    best = values.join(wanted, ["group_id", "value"]).groupBy("query_id", "id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return best.withColumn("r", rank).where(F.col("r") <= 2 * limit).drop("r")
 
 
+def full_queries(found: DataFrame, limit: int) -> DataFrame:
+    """The queries with `limit` products or more."""
+    return found.groupBy("query_id").agg(F.count_distinct("id").alias("n")).where(F.col("n") >= limit).select("query_id")
+
+
 def merge_tiers(exact: DataFrame, partial: DataFrame, fuzzy: DataFrame | None, limit: int = 100) -> DataFrame:
     """(query_id, id, tier, score): each product in its first tier; likeness only for queries with fewer than `limit` so far."""
     found = exact.select("query_id", "id", F.lit(1).alias("tier"), "score").unionByName(partial.select("query_id", "id", F.lit(2).alias("tier"), F.lit(0.5).alias("score")))
     if fuzzy is not None:
-        full = found.groupBy("query_id").agg(F.count_distinct("id").alias("n")).where(F.col("n") >= limit)
-        found = found.unionByName(fuzzy.join(full, "query_id", "left_anti").select("query_id", "id", F.lit(3).alias("tier"), "score"))
+        found = found.unionByName(fuzzy.join(full_queries(found, limit), "query_id", "left_anti").select("query_id", "id", F.lit(3).alias("tier"), "score"))
     return found.groupBy("query_id", "id").agg(F.min("tier").alias("tier"), F.min_by("score", "tier").alias("score"))
 
 
@@ -163,6 +224,11 @@ def page_results(found: DataFrame, limit: int = 100, offset: int = 0) -> DataFra
 
 
 def search(queries: DataFrame, products: DataFrame, columns: tuple[str, ...], limit: int = 100, offset: int = 0, stem: bool = True, fuzzy: bool = True) -> DataFrame:
-    exact = bm25_search(queries, products, columns, limit, stem)
-    like = fuzzy_search(queries, products, limit) if fuzzy else None
-    return page_results(merge_tiers(exact, partial_search(queries, products, limit), like, limit), limit, offset)
+    """All tiers merged, a page of them. Likeness is worked out only for queries that the other tiers leave below `limit`."""
+    exact = materialize(bm25_search(queries, products, columns, limit, stem), "exact")
+    partial = materialize(partial_search(queries, products, limit), "partial")
+    like = None
+    if fuzzy:
+        full = full_queries(exact.select("query_id", "id").unionByName(partial), limit)
+        like = fuzzy_search(materialize(queries.join(full, "query_id", "left_anti"), "short-queries"), products, limit)
+    return page_results(merge_tiers(exact, partial, like, limit), limit, offset)

@@ -721,9 +721,15 @@ def q1_token_counts(t):
     return search.build_postings(t("fx_products"), SEARCHED, stem=False).groupBy("group_id", "token").agg(F.count("*").alias("n"))
 
 
+def stored(t) -> tuple[DataFrame, DataFrame]:
+    """The queries asked and the products with what search reads of them, as tables: each tier reads them again."""
+    columns = ["group_id", "id", *dict.fromkeys((*SEARCHED, *(c for c in search.WORD_COLUMNS if c in t("fx_products").columns)))]
+    return materialize(asked(t), "asked"), materialize(t("fx_products").select(*columns), "searched")
+
+
 @query()
 def q2_bm25_search(t):
-    return search.bm25_search(asked(t), t("fx_products"), SEARCHED)
+    return search.bm25_search(*stored(t), SEARCHED)
 
 
 ASKED_WORDS = f"SELECT query_id, group_id, regexp_extract_all(lower(query), '[a-z0-9]+') AS words FROM ({ASKED})"
@@ -754,42 +760,41 @@ SELECT q.query_id, chr(10), p.id FROM (SELECT query_id, group_id, list_filter(st
 
 @query("fx_products fx_searches", LIKE)
 def q3_partial_search(t):
-    return search.partial_search(asked(t), t("fx_products"))
+    return search.partial_search(*stored(t))
 
 
 @query("fx_products fx_searches", f"SELECT q.query_id, p.id FROM ({ASKED}) q JOIN fx_products p ON p.group_id = q.group_id AND {_inside(('product', 'species', 'grade'), 'lower(q.query)')}")
 def j14_like_match(t):
-    q, p = asked(t), t("fx_products")
-    inside = F.contains(F.lower("product"), F.lower("query")) | F.coalesce(F.contains(F.lower("species"), F.lower("query")), F.lit(False)) | F.coalesce(F.contains(F.lower("grade"), F.lower("query")), F.lit(False))
-    return p.join(q, "group_id").where(inside).select("query_id", "id")
+    q = asked(t).select("query_id", "group_id", F.lower("query").alias("pattern"))
+    return search.like_match(q, t("fx_products"), ("product", "species", "grade")).select("query_id", "id")
 
 
 @query()
 def q4_fuzzy_search(t):
-    return search.fuzzy_search(asked(t), t("fx_products"))
+    return search.fuzzy_search(*stored(t))
 
 
 @query()
 def u2_merge_search_tiers(t):
-    q, p = asked(t), t("fx_products")
+    q, p = stored(t)
     return search.merge_tiers(search.bm25_search(q, p, SEARCHED), search.partial_search(q, p), search.fuzzy_search(q, p))
 
 
 @query()
 def q5_search(t):
-    return search.search(asked(t), t("fx_products"), SEARCHED)
+    return search.search(*stored(t), SEARCHED)
 
 
 @query("fx_products fx_searches", f"SELECT query_id, id, rank, total FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM ({LIKE})) WHERE rank BETWEEN 11 AND 60")
 def k4_page_results(t):
-    found = search.partial_search(asked(t), t("fx_products")).select("query_id", "id", F.lit(2).alias("tier"), F.lit(0.5).alias("score"))
+    found = search.partial_search(*stored(t)).select("query_id", "id", F.lit(2).alias("tier"), F.lit(0.5).alias("score"))
     return search.page_results(found, 50, 10).select("query_id", "id", F.col("rank").cast("long").alias("rank"), "total")
 
 
 @query("fx_products fx_searches", f"SELECT s.id, s.user_id, s.query, coalesce(n, 0) AS result_count FROM fx_searches s JOIN ({ASKED}) a ON a.group_id = s.group_id AND a.query = s.query LEFT JOIN (SELECT query_id, count(*) AS n FROM ({LIKE}) GROUP BY 1) r ON r.query_id = a.query_id")
 def q6_log_searches(t):
     s = t("fx_searches")
-    found = search.partial_search(asked(t), t("fx_products"))
+    found = search.partial_search(*stored(t))
     results = s.join(asked(t), ["group_id", "query"]).join(found.groupBy("query_id").agg(F.count("*").alias("n")), "query_id").select("id", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k"))
     return usage.log_searches(None, s, results).select("id", "user_id", "query", "result_count")
 
