@@ -380,7 +380,17 @@ def a6_file_metadata(t):
     return cleaning.file_metadata(t("fx_lines"), t("fx_uploads"))
 
 
-@query()
+def _mill_sql(x: str) -> str:
+    """`mill_from_filename` as SQL."""
+    gone = lambda x, p, to="": f"regexp_replace({x}, '{p}', '{to}', 'g')"
+    for p in (r"(?i)\.[a-z]+$", r"(?i)[\s_-]*(?:stock\s*(?:list|sheet)|send\s*out\s*inventory|inventory|kd|send\s*out|cam|stocklist)\b.*$", r"[\s_-]*\d{1,2}[-/]\d{1,2}[-/]\d{2,4}\s*$", r"(?i)[\s_-]*(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)\w*\s*\d{2,4}\s*$", r"[\s_-]*\d{6,8}\s*$"):
+        x = gone(x, p)
+    x = S.strip(gone(gone(x, "([a-z])([A-Z])", r"\1 \2"), "[_-]+", " "))
+    x = S.strip(gone(S.strip(gone(x, r"(?i)\b(Send Out|SendOut|Inventory|Stock)\b")), r"\s{2,}", " "))
+    return f"SELECT id, CASE WHEN length(n) > 3 AND NOT regexp_matches(replace(n, ' ', ''), '^[0-9a-f]{{20,}}$') THEN n END AS mill_name FROM (SELECT id, {x} AS n FROM fx_uploads)"
+
+
+@query("fx_uploads", _mill_sql("concat('OakRidgeLumber_', original_filename)"))
 def x18_mill_from_filename(t):
     return t("fx_uploads").select("id", cleaning.mill_from_filename(F.concat(F.lit("OakRidgeLumber_"), "original_filename")).alias("mill_name"))
 
@@ -627,7 +637,12 @@ def page_words(t) -> DataFrame:
     return w.select("upload_id", F.lit(0).alias("page"), (F.col("source_row") * 100 + F.col("n")).cast("int").alias("seq"), (F.col("side") * 300.0 + F.col("n") * 40).cast("double").alias("x0"), (F.col("line") * 12.0).cast("double").alias("top"), "text")
 
 
-@query()
+BOUNDS = """SELECT upload_id, list_reduce(list_transform(xs, lambda x: [x]), lambda acc, l: CASE WHEN l[1] - acc[-1] > 45 THEN list_concat(acc, l) ELSE acc END) AS bounds
+FROM (SELECT upload_id, list(DISTINCT x ORDER BY x) AS xs FROM (SELECT upload_id, line, round_even(min(side * 300e0 + n * 40) / 30, 0) * 30 AS x
+FROM (SELECT upload_id, source_row % 2 AS side, source_row // 2 AS line, unnest(words) AS text, generate_subscripts(words, 1) - 1 AS n FROM (SELECT upload_id, source_row, string_split(product, ' ') AS words FROM fx_products)) WHERE text <> '' GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@query("fx_products", BOUNDS)
 def a14_column_boundaries(t):
     return layout.column_boundaries(layout.word_lines(page_words(t)))
 
