@@ -642,9 +642,10 @@ FROM (SELECT upload_id, list(DISTINCT x ORDER BY x) AS xs FROM (SELECT upload_id
 FROM (SELECT upload_id, source_row % 2 AS side, source_row // 2 AS line, unnest(words) AS text, generate_subscripts(words, 1) - 1 AS n FROM (SELECT upload_id, source_row, string_split(product, ' ') AS words FROM fx_products)) WHERE text <> '' GROUP BY 1, 2) GROUP BY 1)"""
 
 
-@query("fx_products", BOUNDS)
+@query("fx_products", f"SELECT upload_id, unnest(bounds) AS bound, generate_subscripts(bounds, 1) - 1 AS place FROM ({BOUNDS})")
 def a14_column_boundaries(t):
-    return layout.column_boundaries(layout.word_lines(page_words(t)))
+    found = layout.column_boundaries(layout.word_lines(page_words(t)))
+    return found.select("upload_id", F.posexplode("bounds").alias("place", "bound")).withColumn("place", F.col("place").cast("long"))
 
 
 @query()
