@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: str | None = None
@@ -65,3 +65,23 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     Counts at most ``max_rows + 1`` rows, so the check itself is cheap on a large frame.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def numbered(df: DataFrame, order: list[Column | str], name: str, first: int = 0) -> DataFrame:
+    """`df` with each row's place in `order` as the long column `name`, counted from `first` without gaps.
+
+    Rows are dealt by range, so that no task sorts more than its share, and written with their place in their partition. What
+    comes before a partition is the sum of the counts of those before it: one number a partition is all the driver gets, and
+    all that is broadcast. Rows that are equal in `order` are numbered in any order; name enough columns to tell them apart.
+    An empty frame gives an empty one.
+    """
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id())
+    rows = materialize(rows, "numbered")
+    part = F.shiftright(name, 33)
+    starts, before = [], first
+    for p, n in sorted(map(tuple, rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())):
+        starts.append((p, before - (p << 33)))
+        before += n
+    shift = f"{name}_shift"
+    table = df.sparkSession.createDataFrame(starts, f"p long, {shift} long")
+    return rows.join(F.broadcast(table), part == F.col("p")).withColumn(name, F.col(name) + F.col(shift)).drop("p", shift)
