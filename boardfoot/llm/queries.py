@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from boardfoot.llm.bpe import encode_decode
 from boardfoot.llm.licenses import license_report
+from boardfoot.llm.manifest import lower_ascii, manifest, proof_digest
 from boardfoot.llm.mixing import mix_sources
 from boardfoot.llm.near_duplicates import near_duplicates
 from boardfoot.llm.nearest import nearest
+from boardfoot.llm.order_minhash import against_next, fingerprint, likeness
+from boardfoot.llm.periods import digest_runs, periodic_runs, planted_period
 from boardfoot.llm.quality import resample
 from boardfoot.llm.range_join import near_vectors
 from boardfoot.llm.repeats import remove_repeats
@@ -83,6 +86,25 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's leaf, its proof and what the proof gives, where every fifth document's text has been put in small letters."""
+    fifth = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    found = manifest(_table(spark, sf_dir, "documents"), tampered={"text": lower_ascii(F.col("text"))}, where=fifth)
+    return found.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's periodic runs of words, with runs planted in every tenth document."""
+    return digest_runs(periodic_runs(_table(spark, sf_dir, "documents"), edit=planted_period))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's fingerprint, that of its edited text, and how alike they and the next document's are."""
+    found = against_next(_table(spark, sf_dir, "documents"))
+    own, edited = F.col("signature"), F.col("edited_signature")
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(own).alias("fingerprint"), fingerprint(edited).alias("edited_fingerprint"), likeness(own, edited).alias("near_edited"), likeness(own, F.col("next_signature")).alias("near_next"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """Where the public tokenizer files are; the path is all that this library knows of them."""
     import public_tokenizers
@@ -95,5 +117,5 @@ def token_digests(encoded: DataFrame) -> DataFrame:
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_remove_repeats, op2_nearest, op3_mix_sources, op4_importance_resampling, op5_toxicity, op6_near_duplicates, op7_licenses, op8_near_vectors, op9_surrogates, op10_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_remove_repeats, op2_nearest, op3_mix_sources, op4_importance_resampling, op5_toxicity, op6_near_duplicates, op7_licenses, op8_near_vectors, op9_surrogates, op10_bpe, op11_manifest, op12_periodic_runs, op13_fingerprints)}
 ORACLES: dict[str, str] = dict(_SQL)
