@@ -72,7 +72,7 @@ def ordered_items(hs: Column, mask: Column) -> Column:
 
 
 def signature(text: Column, k: int = 3, slots: int = 64) -> Column:
-    """A text's `slots` (a power of two) hashes, of 32 bits; an empty array for a text without words, null for null."""
+    """A text's `slots` (a power of two) hashes, as ints; an empty array for a text without words, null for null."""
     bits = 64 - (slots.bit_length() - 1)
 
     def fill(hs: Column, mask: Column, s: Column) -> Column:
@@ -81,7 +81,7 @@ def signature(text: Column, k: int = 3, slots: int = 64) -> Column:
         slot = lambda j: F.shiftright(F.get(s, j), bits).cast("int") + slots // 2
         heads = F.filter(F.sequence(F.lit(0), n - 1), lambda j: ~F.shiftright(F.get(s, j), bits).eqNullSafe(F.shiftright(F.get(s, j - 1), bits)))
         place = lambda j: _place(F.get(s, j % n), mask)
-        pair = lambda a, b: F.xxhash64(F.get(hs, F.least(a, b)), F.get(hs, F.greatest(a, b))).bitwiseAND(F.lit(0xFFFFFFFF))
+        pair = lambda a, b: F.shiftright(F.xxhash64(F.get(hs, F.least(a, b)), F.get(hs, F.greatest(a, b))), 32).cast("int")
 
         def spread(at: Column) -> Column:
             parts = F.transform(at, lambda j, t: F.array_repeat(pair(place(j), place(j + 1)), slot(j) - F.coalesce(slot(F.get(at, t - 1)), F.lit(-1))))
@@ -90,12 +90,12 @@ def signature(text: Column, k: int = 3, slots: int = 64) -> Column:
         return _let(heads, spread)
 
     some = lambda hs: _let(_mask(F.size(hs)), lambda mask: _let(ordered_items(hs, mask), lambda s: fill(hs, mask, s)))
-    return _let(kmers(text, k), lambda hs: F.when(F.size(hs) > 0, some(hs)).otherwise(F.array().cast("array<bigint>")))
+    return _let(kmers(text, k), lambda hs: F.when(F.size(hs) > 0, some(hs)).otherwise(F.array().cast("array<int>")))
 
 
 def fingerprint(sign: Column) -> Column:
     """A signature as text: 8 hexadecimal digits a slot; the empty text for a text without words."""
-    return F.array_join(F.transform(sign, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+    return F.array_join(F.transform(sign, lambda x: F.lpad(F.lower(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -123,7 +123,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, slots: int = 64) -> DataFrame:
     """One row a document: id, text, n_chars, edited (its text with the last half, rounded down, replaced by as much from the start of
-    the next document's, or all of it), their signatures, and next_signature.
+    the next document's, or all of it), their signatures, next_id and next_signature.
 
     Next is by descending id, after the last the first; alone, a document is next to itself. Rows of one id follow each other by a
     hash of their text, null ids come last. Null texts are empty. An empty table gives an empty one; other columns have no effect.
@@ -139,10 +139,11 @@ def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = materialize(order.drop("n").join(before, "place").drop("place"), "links")
 
     key = ["file", "row"]
-    signed = rows.withColumn("signature", signature(F.col("text"), k, slots)).join(links, key)
-    sent = signed.select(F.col("to.file").alias("file"), F.col("to.row").alias("row"), F.substr("text", F.lit(1), F.col("wanted")).alias("head"), F.col("signature").alias("next_signature"))
-    both = signed.drop("wanted", "to").join(sent, key)
+    # Both uses read the same columns, so that Spark signs and shuffles the documents once.
+    signed = rows.withColumn("signature", signature(F.col("text"), k, slots)).repartition(*key)
+    sent = signed.join(links, key).select(F.col("to.file").alias("file"), F.col("to.row").alias("row"), F.substr("text", F.lit(1), F.col("wanted")).alias("head"), F.col("id").alias("next_id"), F.col("signature").alias("next_signature"))
+    both = signed.join(sent, key)
     n = F.char_length("text")
     edited = F.concat(F.substr("text", F.lit(1), n - F.floor(n / 2).cast("int")), F.col("head"))
-    out = both.select(F.col("id").alias(id_col), F.col("text").alias(text_col), n.cast("long").alias("n_chars"), edited.alias("edited"), "signature", "next_signature")
+    out = both.select(F.col("id").alias(id_col), F.col("text").alias(text_col), n.cast("long").alias("n_chars"), edited.alias("edited"), "signature", "next_id", "next_signature")
     return out.withColumn("edited_signature", signature(F.col("edited"), k, slots))

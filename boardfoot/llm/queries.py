@@ -102,7 +102,7 @@ def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and how alike they and the next document's are."""
     found = against_next(_table(spark, sf_dir, "documents"))
     own, edited = F.col("signature"), F.col("edited_signature")
-    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(own).alias("fingerprint"), fingerprint(edited).alias("edited_fingerprint"), likeness(own, edited).alias("near_edited"), likeness(own, F.col("next_signature")).alias("near_next"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(own).alias("fingerprint"), fingerprint(edited).alias("edited_fingerprint"), likeness(own, edited).alias("near_edited"), likeness(own, F.col("next_signature")).alias("near_next"), "next_id")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

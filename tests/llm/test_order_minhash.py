@@ -39,7 +39,7 @@ def plain(text, k=3, slots=64):
     for b in range(slots):
         turned = sorted(items, key=lambda x: (x[0] - (b - slots // 2) * width) % (1 << 64))
         two = sorted((turned[0], turned[1 % len(turned)]), key=lambda x: x[1])
-        out.append(chain(*(struct.pack("<q", x[2]) for x in two)) & 0xFFFFFFFF)
+        out.append(chain(*(struct.pack("<q", x[2]) for x in two)) >> 32)
     return out
 
 
@@ -87,7 +87,7 @@ def test_next_documents(spark):
         new = edited(r[1], n[1])
         s, e, t = plain(r[1]), plain(new), plain(n[1])
         like = lambda x, y: 1.0 if not x and not y else 0.0 if not x or not y else sum(p == q for p, q in zip(x, y)) / 64
-        text = lambda x: "".join(f"{v:08x}" for v in x)
+        text = lambda x: "".join(f"{v & 0xFFFFFFFF:08x}" for v in x)
         want[r[0]] = (r[0], len(r[1]), new, text(s), text(e), like(s, e), like(s, t))
     assert {r["doc_id"]: tuple(r) for r in check(spark, rows)} == want
 
@@ -103,5 +103,5 @@ def test_odd_rows(spark):
 
 
 def test_no_words_are_alike(spark):
-    df = spark.createDataFrame([([], [], 1.0), ([], [1], 0.0), ([1, 2], [1, 3], 0.5)], "a array<long>, b array<long>, want double")
+    df = spark.createDataFrame([([], [], 1.0), ([], [1], 0.0), ([1, 2], [1, 3], 0.5)], "a array<int>, b array<int>, want double")
     assert all(r["got"] == pytest.approx(r["want"]) for r in df.withColumn("got", likeness(F.col("a"), F.col("b"))).collect())
