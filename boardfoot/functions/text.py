@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def strip(x: Column) -> Column:
-    """Without white space at either end."""
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    """Without white space at either end; what a pattern calls white space, at less cost than a pattern."""
+    return F.btrim(x, F.lit(" \t\n\x0b\f\r"))
 
 
 def filled(x: Column) -> Column:

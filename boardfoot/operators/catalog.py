@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boardfoot.operators.search import containing
+from boardfoot.plans.shared import materialize, numbered
 
 SORTABLE = ("id", "species", "thickness", "grade", "mill_name", "quantity_numeric", "confidence", "created_at")
 
@@ -29,9 +30,38 @@ def list_products(products: DataFrame, group_id=None, upload_id=None, mill=None,
         tests.append(F.col("is_reviewed") == 0)
     for t in tests:
         products = products.where(t)
+    return products.orderBy(*_order(sort, descending)).offset(offset).limit(limit), products.agg(F.count("*").alias("total"))
+
+
+def _order(sort: str, descending: bool) -> list[Column]:
+    """An order over a whitelisted column, ties by id."""
+    column = sort if sort in SORTABLE else "id"
+    return [F.desc_nulls_last(column) if descending else F.asc_nulls_first(column), F.asc("id")]
+
+
+def products_after(products: DataFrame, last: dict | None, sort: str = "id", descending: bool = False, limit: int = 100) -> DataFrame:
+    """The page behind the row `last` (its id and sort column; None: the first page). However deep, a page is a filter and the
+    first `limit` of what it leaves: no rows before it are sorted, shuffled or counted."""
     column = sort if sort in SORTABLE else "id"
-    order = F.desc_nulls_last(column) if descending else F.asc_nulls_first(column)
-    return products.orderBy(order, "id").offset(offset).limit(limit), products.agg(F.count("*").alias("total"))
+    if last is not None:
+        x, v = F.col(column), F.lit(last[column])
+        if last[column] is None:
+            beyond = (x.isNull() & (F.col("id") > last["id"])) | (x.isNotNull() & F.lit(not descending))
+        else:
+            further = (x < v) | x.isNull() if descending else x > v
+            beyond = further | ((x == v) & (F.col("id") > last["id"]))
+        products = products.where(beyond)
+    return products.orderBy(*_order(sort, descending)).limit(limit)
+
+
+def placed_products(products: DataFrame, sort: str = "id", descending: bool = False) -> DataFrame:
+    """All products with their place (from 0) in an order, written in that order: any page is a range of places, and the files
+    outside it are skipped by their bounds."""
+    return materialize(numbered(products, _order(sort, descending), "place").sortWithinPartitions("place"), "placed")
+
+
+def page_at(placed: DataFrame, offset: int, limit: int = 100) -> DataFrame:
+    return placed.where(F.col("place").between(offset, offset + limit - 1))
 
 
 def review_queue(products: DataFrame, least: float = 0.5) -> DataFrame:
@@ -62,34 +92,51 @@ def mills_with_counts(mills: DataFrame, products: DataFrame) -> DataFrame:
     return mills.join(counts, mills.id == counts.mill_id, "left").select("id", "group_id", "name", F.coalesce("products", F.lit(0)).alias("products"))
 
 
+#: What is known of a mill besides its name.
+CONTACT = ("location", "phone", "email", "contact_name")
+
+
 def upsert_mills(mills: DataFrame, seen: DataFrame) -> DataFrame:
     """`mills` with a row for each (group, trimmed name) in `seen` that they lack; new ids follow the largest there is.
 
-    `seen`: group_id, name and upload_id; names are cut at 100 characters and blank ones left out. New mills are few, so
-    they are numbered in one task.
+    `seen`: group_id, name, upload_id and what is known of CONTACT; names are cut at 100 characters and blank ones left out. A new
+    mill has the contact fields of its first upload, null ones too, and its number by first upload, group and name; mills that are
+    there stay as they are. Only distinct names are joined, and new mills are numbered without a task that sees all of them.
     """
+    told = [c for c in CONTACT if c in seen.columns]
     name = F.substring(F.trim("name"), 1, 100)
-    new = seen.select("group_id", name.alias("name"), "upload_id").where(F.col("name") != "").groupBy("group_id", "name").agg(F.min("upload_id").alias("first_upload"))
-    new = new.join(mills.select("group_id", "name"), ["group_id", "name"], "left_anti")
-    top = mills.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    number = F.row_number().over(Window.orderBy("first_upload", "group_id", "name"))
-    return mills.select("id", "group_id", "name").unionByName(new.crossJoin(F.broadcast(top)).select((F.col("top") + number).alias("id"), "group_id", "name"))
+    of_first = F.min(F.struct("upload_id", *told)).alias("first")
+    new = seen.select("group_id", name.alias("name"), "upload_id", *told).where(F.col("name") != "").groupBy("group_id", "name").agg(of_first)
+    new = new.join(mills.select("group_id", "name"), ["group_id", "name"], "left_anti").select("group_id", "name", "first.*")
+    top = mills.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    new = numbered(new, ["upload_id", "group_id", "name"], "id", top + 1)
+    columns = ["id", "group_id", "name", *told]
+    return mills.select(*[c for c in columns if c in mills.columns]).unionByName(new.select(*columns), allowMissingColumns=True)
 
 
-def bulk_update(products: DataFrame, changes: DataFrame) -> DataFrame:
-    """Products after changes (id, group_id, action, mill): review, flag, unflag, delete or set_mill. A group's changes are refused
-    whole if one of its ids is not in the group; one id has one change."""
+def accepted_changes(products: DataFrame, changes: DataFrame) -> DataFrame:
+    """The changes (id, group_id, action, mill) of groups all of whose ids are products (id, group_id) of theirs."""
     known = changes.join(products.select("id", "group_id"), ["id", "group_id"], "left_semi")
     asked = changes.groupBy("group_id").agg(F.count("*").alias("asked"))
     fine = known.groupBy("group_id").agg(F.count("*").alias("found")).join(asked, "group_id").where("found = asked").select("group_id")
-    c = known.join(fine, "group_id", "left_semi").select("id", "action", "mill")
-    out = products.join(c, "id", "left").where(F.coalesce(F.col("action") != "delete", F.lit(True)))
+    return known.join(fine, "group_id", "left_semi").select("id", "action", "mill")
+
+
+def apply_changes(products: DataFrame, changes: DataFrame) -> DataFrame:
+    """Products after changes (id, action, mill): review, flag, unflag, delete or set_mill."""
+    out = products.join(changes, "id", "left").where(F.coalesce(F.col("action") != "delete", F.lit(True)))
     reviewed = F.when(F.col("action") == "review", 1).otherwise(F.col("is_reviewed"))
     flagged = F.when(F.col("action") == "flag", 1).when(F.col("action") == "unflag", 0).otherwise(F.col("is_flagged"))
     mill = F.when(F.col("action") == "set_mill", F.col("mill")).otherwise(F.col("mill_name"))
     return out.withColumns({"is_reviewed": reviewed, "is_flagged": flagged, "mill_name": mill}).select(*products.columns)
 
 
+def bulk_update(products: DataFrame, changes: DataFrame) -> DataFrame:
+    """Products after changes (id, group_id, action, mill): review, flag, unflag, delete or set_mill. A group's changes are refused
+    whole if one of its ids is not in the group; one id has one change."""
+    return apply_changes(products, accepted_changes(products, changes))
+
+
 def delete_uploads(uploads: DataFrame, products: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Uploads and products without those of the uploads (id, group_id) in `gone`."""
     gone = gone.join(uploads, ["id", "group_id"], "left_semi").select("id", "group_id")

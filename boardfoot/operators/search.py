@@ -114,6 +114,12 @@ def bm25_search(queries: DataFrame, products: DataFrame, columns: tuple[str, ...
     wanted = broadcast_if_small(materialize(wanted, "phrases"), 200_000)
     tf = long_values(sized, columns, "dl").join(wanted, ["group_id", "value"]).groupBy("query_id", "term_no", "group_id", "id").agg(F.sum("n").alias("tf"), F.first("dl").alias("dl"))
     tf = materialize(tf, "term-hits")
+    return rank_terms(tf, totals, limit)
+
+
+def rank_terms(tf: DataFrame, totals: DataFrame, limit: int) -> DataFrame:
+    """(query_id, id, score) by BM25 from (query_id, term_no, group_id, id, tf, dl): of each term the best 2 * limit, of a product
+    found by several terms the score of the first."""
     df = tf.groupBy("query_id", "term_no").agg(F.count("*").alias("df"))
     j = tf.join(df, ["query_id", "term_no"]).join(totals, "group_id")
     idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
@@ -185,17 +191,47 @@ def _ratios(query: pd.Series, value: pd.Series) -> pd.Series:
     return pd.Series([one(q, v) for q, v in zip(query, value)], dtype="float64")
 
 
+#: Parts into which the values of one group and length are dealt, so that a large group is many tasks.
+PARTS = 16
+
+
+def letters(text: Column) -> Column:
+    """A text's letters, each with how often it stood before: two texts share as many of these as their letter counts have in
+    common, which bounds what any matching of them can pair."""
+    signs = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.transform(signs, lambda c, i: F.concat(c, F.size(F.filter(F.slice(signs, F.lit(1), i), lambda x: x == c)).cast("string")))
+
+
+def like_candidates(asked: DataFrame, texts: DataFrame, least: float = LEAST_LIKENESS) -> DataFrame:
+    """(query, value): the pairs of one group whose letters let the ratio reach `least`, or whose value holds a word of the query.
+
+    Values meet the queries of their group whose length is near enough, by bands of length; the letters that two texts share then
+    bound their ratio exactly from above. Values that hold a word come from the index of runs of signs (`containing`).
+    """
+    band = lambda n: F.floor(F.log2(F.greatest(n, F.lit(1)))).cast("int")
+    n = F.length("query")
+    far = (2 - least) / least
+    q = asked.select("query").distinct().select("query", letters(F.col("query")).alias("ql"), n.alias("qn"))
+    q = q.join(asked.distinct(), "query").withColumn("band", F.explode(F.sequence(band(F.floor(n / far)), band(F.ceil(n * far)))))
+    q = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    n = F.length("value")
+    v = texts.select("value").distinct().select("value", letters(F.col("value")).alias("vl"), n.alias("vn"))
+    v = texts.join(v, "value").withColumns({"band": band(F.col("vn")), "part": F.pmod(F.hash("value"), F.lit(PARTS))})
+    near = v.join(broadcast_if_small(q, 200_000), ["group_id", "band", "part"])
+    near = near.where(2 * F.size(F.array_intersect("ql", "vl")) >= least * (F.col("qn") + F.col("vn")))
+    words = asked.select("group_id", "query", F.explode(F.filter(F.split("query", r"\s+"), lambda w: F.length(w) > 2)).alias("pattern")).distinct()
+    held = words.join(containing(words, texts), "pattern").join(texts, ["group_id", "value"])
+    return near.select("query", "value").unionByName(held.select("query", "value")).distinct()
+
+
 def fuzzy_search(queries: DataFrame, products: DataFrame, limit: int = 100, least: float = LEAST_LIKENESS) -> DataFrame:
-    """(query_id, id, score): products with a column like the query. Only distinct pairs of texts are compared, and only those
-    whose length lets the ratio reach `least`, or that hold a word of the query. `least` is not below LEAST_LIKENESS."""
+    """(query_id, id, score): products with a column like the query. Only distinct pairs of texts are compared, and of these only
+    `like_candidates`. `least` is not below LEAST_LIKENESS."""
     columns = [c for c in LIKE_COLUMNS if c in products.columns]
     values = long_values(products, columns).select("group_id", "id", F.lower("value").alias("value"))
     q = queries.select("query_id", "group_id", F.lower("query").alias("query"))
-    texts, asked = values.select("group_id", "value").distinct(), q.select("group_id", "query").distinct()
-    la, lb = F.length("query"), F.length("value")
-    able = 2 * F.least(la, lb) >= least * (la + lb)
-    word = F.exists(F.split("query", r"\s+"), lambda w: (F.length(w) > 2) & F.contains(F.col("value"), w))
-    pairs = texts.join(broadcast_if_small(asked, 200_000), "group_id").where(able | word).select("query", "value").distinct().sortWithinPartitions("value")
+    texts, asked = materialize(values.select("group_id", "value").distinct(), "like-texts"), materialize(q.select("group_id", "query").distinct(), "like-queries")
+    pairs = like_candidates(asked, texts, least).repartition("value").sortWithinPartitions("value")
     like = pairs.withColumn("score", likeness("query", "value")).where(F.col("score") >= least)
     wanted = broadcast_if_small(materialize(like.join(q, "query").select("query_id", "group_id", "value", "score"), "likeness"), 200_000)
     best = values.join(wanted, ["group_id", "value"]).groupBy("query_id", "id").agg(F.max("score").alias("score"))
@@ -223,6 +259,16 @@ def page_results(found: DataFrame, limit: int = 100, offset: int = 0) -> DataFra
     return found.withColumns({"rank": F.row_number().over(order), "total": total}).where(F.col("rank").between(offset + 1, offset + limit))
 
 
+def results_after(found: DataFrame, last: DataFrame, limit: int = 100) -> DataFrame:
+    """The next `limit` results of each query behind the last one seen (query_id, tier, score, id); of queries without one, the
+    first. What was seen is filtered away, so a deep page costs what the first does."""
+    seen = last.select("query_id", F.col("tier").alias("t"), F.col("score").alias("s"), F.col("id").alias("i"))
+    j = found.join(broadcast_if_small(seen, 200_000), "query_id", "left")
+    beyond = (F.col("tier") > F.col("t")) | ((F.col("tier") == F.col("t")) & ((F.col("score") < F.col("s")) | ((F.col("score") == F.col("s")) & (F.col("id") > F.col("i")))))
+    order = Window.partitionBy("query_id").orderBy("tier", F.desc("score"), "id")
+    return j.where(F.col("t").isNull() | beyond).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("t", "s", "i", "rank")
+
+
 def search(queries: DataFrame, products: DataFrame, columns: tuple[str, ...], limit: int = 100, offset: int = 0, stem: bool = True, fuzzy: bool = True) -> DataFrame:
     """All tiers merged, a page of them. Likeness is worked out only for queries that the other tiers leave below `limit`."""
     exact = materialize(bm25_search(queries, products, columns, limit, stem), "exact")

@@ -18,6 +18,7 @@ SURFACE = r"(?i)\b(15/16|13/16|S2S|S4S|RGH|Rough)\b"
 COLOR = r"(?i)\b(White|Brown|Red|Natural|Sap|Heart|Calico|Wht)\b"
 TREATMENT = r"(?i)\b(Wormy|Ambrosia|Stained|Steamed|Rustic|PG)\b"
 MILL = r"(?i)(hardwood|lumber|sawmill|wood|forest|valley|timber)"
+MILL_H = "(?i)(hardwood|lumber|sawmill|wood|forest)"
 
 
 def is_species_cell(x: Column) -> Column:
@@ -105,30 +106,24 @@ def first_numeric_cell(cells: DataFrame) -> DataFrame:
 
 
 def sheet_mill_info(cells: DataFrame, head: int = 12) -> DataFrame:
-    """(upload_id, mill_name, email, phone, location) of the cells above the header: the first name, the last of the others."""
-    top = cells.join(find_header_row(cells), "upload_id", "left").where(F.col("row") <= F.coalesce("header_row", F.lit(head)))
+    """(upload_id, mill_name, email, phone, location) of a sheet's head: the first name, the last of the others.
+
+    Two-column sheets name their mill in column H of rows 1 to 8 and tell no location; their other cells are products. Other
+    sheets tell all in the cells above the header.
+    """
     v, at = F.col("value"), F.struct("row", "col")
-    name = v.rlike(MILL) | ((F.col("row") == 1) & (F.length(v) > 4))
     last = lambda p: F.max_by(v, F.when(v.rlike(p), at))
-    return top.groupBy("upload_id").agg(F.min_by(v, F.when(name, at)).alias("mill_name"), last("@").alias("email"), last(r"\d{3}[-.\s]\d{4}").alias("phone"), last(r"[A-Z]{2}\s+\d{5}").alias("location"))
+    layout = detect_layout(cells)
+    marked = cells.where(filled(strip(v)).isNotNull()).join(layout, "upload_id").join(find_header_row(cells), "upload_id", "left")
+    two = F.col("layout") == "two_column"
+    top = marked.where(F.when(two, (F.col("col") == 8) & (F.col("row") <= 8)).otherwise(F.col("row") <= F.coalesce("header_row", F.lit(head))))
+    named = F.when(two, v.rlike(MILL_H) | (F.col("row") <= 2)).otherwise(v.rlike(MILL) | ((F.col("row") == 1) & (F.length(v) > 4)))
+    phone = F.max_by(v, F.when(v.rlike(r"\d{3}[-.\s]\d{4}") | (two & v.rlike(r"\d{3}[-.\s]\d{3}")), at))
+    place = F.max_by(v, F.when(~two & v.rlike(r"[A-Z]{2}\s+\d{5}"), at))
+    return top.groupBy("upload_id").agg(F.min_by(v, F.when(named, at)).alias("mill_name"), last("@").alias("email"), phone.alias("phone"), place.alias("location"))
 
 
 def csv_field(header: Column) -> Column:
     """The field that a CSV header names, by the first word that fits."""
     low = F.lower(header)
     return F.coalesce(*[F.when(low.rlike(p.replace("|bft|board feet", "")), F.lit(k)) for k, p in HEADERS])
-
-
-def multi_species_grid(grid: DataFrame, least: int = 10, width: int = 7) -> DataFrame:
-    """Tables (upload_id, table_no, row, col, value) whose first row has SPECIES: Grade cells: a row for each such group and
-    data row, from the next `width` columns (grade, desc, qty, length by their headers in the second row)."""
-    key = ["upload_id", "table_no"]
-    top = grid.where("row = 0")
-    wide = top.groupBy(*key).agg(F.count("*").alias("k")).where(F.col("k") >= least).select(*key)
-    starts = top.join(wide, key).where(F.col("value").rlike(r"^[A-Z][A-Z &\-]+:")).select(*key, F.col("col").alias("start"), normalize_species(found(F.col("value"), "^([^:]+)", 1)).alias("species"))
-    names = grid.where("row = 1").select(*key, "col", F.lower("value").alias("name"))
-    field = F.when(F.col("name").rlike("grade"), "grade").when(F.col("name").rlike("desc"), "description").when(F.col("name").rlike("qty|bf"), "quantity").when(F.col("name").rlike("length"), "length")
-    span = starts.join(names, key).where((F.col("col") >= F.col("start")) & (F.col("col") < F.col("start") + width)).select(*key, "start", "species", "col", field.alias("field")).where("field is not null")
-    data = grid.where("row > 1").join(span, [*key, "col"])
-    rows = data.groupBy(*key, "row", "start", "species").agg(*[F.max(F.when(F.col("field") == f, filled(strip(F.col("value"))))).alias(f) for f in ("grade", "description", "quantity", "length")])
-    return rows.where(F.coalesce("grade", "description", "quantity").isNotNull())

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boardfoot.functions.normalize import slugify
+from boardfoot.plans.shared import broadcast_if_small, materialize, numbered
 
 
 def user_groups(memberships: DataFrame, groups: DataFrame) -> DataFrame:
@@ -80,14 +80,81 @@ def top_members(memberships: DataFrame, fact: DataFrame, n: int = 10) -> DataFra
     return j.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
+#: Up to so many new workspaces (some 20 bytes each) are broadcast to the facts they own; beyond, Spark shuffles those facts.
+SMALL = 200_000
+# How a workspace made for a user is named and described.
+WORKSPACE, DESCRIPTION = "'s Workspace", "Auto-created personal workspace"
+
+
+def email_slug(email: Column) -> Column:
+    """The part of an address before @ in small letters, all but a-z and 0-9 as single dashes; 'workspace' if nothing is left."""
+    s = F.regexp_replace(F.lower(F.regexp_extract(email, "^[^@]*", 0)), "[^a-z0-9]+", "-")
+    return F.coalesce(F.nullif(F.regexp_replace(s, "^-+|-+$", ""), F.lit("")), F.lit("workspace"))
+
+
+def unique_slugs(wanted: DataFrame, taken: DataFrame, key: str = "id", base: str = "base") -> DataFrame:
+    """(key, slug): for each row of `wanted` (key, base) a slug of its own that is not in `taken` (slug).
+
+    All ask for their base; of those that ask for one slug the smallest key gets it, if it is free. The others go on to
+    base-key, then base-key-2, base-key-3, ... Who asks and what is taken meet in joins on the slug, so a base that very many
+    share costs no task more than its share; nearly all are served in the first two rounds.
+    """
+    asking, served, k = materialize(wanted.select(key, base), "asking"), [], 0
+    taken = taken.select("slug").where("slug is not null").distinct()
+    while not asking.isEmpty():
+        slug = F.concat_ws("-", *[F.col(base), F.col(key).cast("string"), F.lit(str(k))][: 1 + min(k, 2)])
+        asked = asking.withColumn("slug", slug)
+        first = asked.groupBy("slug").agg(F.min(key).alias(key)).join(taken, "slug", "left_anti")
+        got = materialize(first.select(key, "slug"), "slugs")
+        served.append(got)
+        taken = taken.unionByName(got.select("slug"))
+        asking = materialize(asking.join(got.select(key), key, "left_anti"), "asking")
+        k += 1
+    out = served[0] if served else wanted.select(key, F.col(base).alias("slug"))
+    for more in served[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def backfill_groups(users: DataFrame, memberships: DataFrame, groups: DataFrame) -> DataFrame:
-    """New workspaces (group_id, user_id, slug) for the users that are in none; ids follow the largest, equal slugs get a number."""
-    alone = users.join(memberships.select(F.col("user_id").alias("id")), "id", "left_anti")
-    base = slugify(F.regexp_extract("email", "^[^@]*", 0))
-    taken = groups.select(F.col("slug").alias("base"), F.lit(1).alias("taken"))
-    nth = F.row_number().over(Window.partitionBy("base").orderBy("id"))
-    alone = alone.select("id", base.alias("base")).join(taken, "base", "left").withColumn("nth", nth + F.coalesce("taken", F.lit(0)))
-    top = groups.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    number = F.row_number().over(Window.orderBy("id"))  # new users only: few
-    slug = F.when(F.col("nth") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("nth").cast("string")))
-    return alone.crossJoin(F.broadcast(top)).select((F.col("top") + number).alias("group_id"), F.col("id").alias("user_id"), slug.alias("slug"))
+    """New workspaces (group_id, user_id, name, description, slug) for the users (id, email, display_name) that are in none.
+
+    Ids follow the largest there is, in the order of users' ids, without a task that sees all of them; slugs are unique.
+    """
+    alone = users.join(memberships.select(F.col("user_id").alias("id")).distinct(), "id", "left_anti").select("id", "email", "display_name")
+    top = groups.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    placed = materialize(numbered(alone, ["id"], "group_id", top + 1), "workspaces")
+    slugs = unique_slugs(placed.select("id", email_slug(F.col("email")).alias("base")), groups)
+    name = F.concat(F.coalesce(F.nullif("display_name", F.lit("")), F.regexp_extract("email", "^[^@]*", 0)), F.lit(WORKSPACE))
+    return placed.join(slugs, "id").select("group_id", F.col("id").alias("user_id"), name.alias("name"), F.lit(DESCRIPTION).alias("description"), "slug")
+
+
+def backfill(users: DataFrame, memberships: DataFrame, groups: DataFrame, uploads: DataFrame, products: DataFrame, mills: DataFrame, activity: DataFrame, searches: DataFrame) -> dict[str, DataFrame]:
+    """All tables after each user without a workspace has got one, by name, with `assigned` (group_id, user_id, ...).
+
+    The user owns it, and what of theirs was in no group comes into it: uploads, the products of their uploads, activity and
+    searches. Mills in no group come into the first such user's. Rows that have a group, nearly all, are neither shuffled nor joined.
+    """
+    assigned = materialize(backfill_groups(users, memberships, groups), "assigned")
+    owner = broadcast_if_small(assigned.select("user_id", F.col("group_id").alias("new_group")), SMALL)
+
+    def take(fact: DataFrame, own: DataFrame, key: str) -> DataFrame:
+        """`fact` with the group of `own` (key, new_group) where it has none."""
+        lost = fact.where("group_id is null").join(own, key, "left").withColumn("group_id", F.col("new_group").cast(fact.schema["group_id"].dataType))
+        return fact.where("group_id is not null").unionByName(lost.select(*[F.col(c) for c in fact.columns]))
+
+    by_upload = uploads.select(F.col("id").alias("upload_id"), "user_id").join(owner, "user_id").select("upload_id", "new_group")
+    first = assigned.agg(F.min_by("group_id", "user_id").alias("g")).first()["g"]
+    fill = lambda name, frame: frame.select(*[F.coalesce(F.col(name), F.lit(first).cast(frame.schema[name].dataType)).alias(name) if c == name else F.col(c) for c in frame.columns])
+    made = assigned.select(F.col("group_id").alias("id"), "name", "description", "slug", F.col("user_id").alias("created_by"), F.lit(1).alias("is_active"))
+    role = assigned.select("group_id", "user_id", F.lit("owner").alias("role"))
+    return {
+        "assigned": assigned,
+        "groups": groups.unionByName(made.select(*[c for c in made.columns if c in groups.columns]), allowMissingColumns=True),
+        "memberships": memberships.unionByName(role, allowMissingColumns=True),
+        "uploads": take(uploads, owner, "user_id"),
+        "products": take(products, by_upload, "upload_id"),
+        "mills": fill("group_id", mills) if first is not None else mills,
+        "activity": take(activity, owner, "user_id"),
+        "searches": take(searches, owner, "user_id"),
+    }

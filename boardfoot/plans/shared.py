@@ -85,3 +85,21 @@ def numbered(df: DataFrame, order: list[Column | str], name: str, first: int = 0
     shift = f"{name}_shift"
     table = df.sparkSession.createDataFrame(starts, f"p long, {shift} long")
     return rows.join(F.broadcast(table), part == F.col("p")).withColumn(name, F.col(name) + F.col(shift)).drop("p", shift)
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def newest_generation(spark: SparkSession, path: str) -> int:
+    """The newest generation of a stored table, ``gen=N`` below `path`, that is marked as whole; the first, 0, needs no mark."""
+    g = 0
+    while folder_exists(spark, f"{path}/gen={g + 1}/whole/_SUCCESS"):
+        g += 1
+    return g

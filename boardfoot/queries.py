@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from boardfoot import sql_text as S
 from boardfoot.functions import normalize as N
 from boardfoot.functions import vocabulary as V
-from boardfoot.operators import catalog, cleaning, layout, lines, replies, scoring, search, sheets, usage, workspaces
-from boardfoot.sources.csv_lists import csv_rows, list_cells
+from boardfoot.operators import catalog, cleaning, extract, index, layout, lines, replies, scoring, search, sheets, store, tables, usage, workspaces
+from boardfoot.sources.csv_lists import csv_rows, read_csv_cells
 from boardfoot.sources.views import view, with_views
 from boardfoot.plans.shared import materialize, shared_dir
-from boardfoot.streaming import jobs
+from boardfoot.streaming import ingest, jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -328,18 +328,21 @@ def x14_table_rows(t):
     return sheets.table_rows(headed_cells(t))
 
 
-@query()
+WIDE_ROWS = f"""SELECT upload_id, part, {S.species("CASE WHEN species IS NULL THEN NULL WHEN regexp_matches(species, '^[A-Za-z ]+:*$') THEN regexp_replace(species, ':+$', '') ELSE concat(species, ': Grade') END")} AS species, {S.thickness(S.find('thickness', '^[0-9]+/[0-9]+'))} AS thickness, {S.grade('grade')} AS grade, color AS description, TRY_CAST(quantity AS DOUBLE) AS quantity_numeric, concat(format('{{:,}}', CAST(quantity AS BIGINT)), ' BF') AS quantity
+FROM (SELECT *, CASE WHEN max(source_row) OVER (PARTITION BY upload_id) > 1 THEN 8 * (source_row - 1) ELSE 0 END AS part, max(source_row) OVER (PARTITION BY upload_id) > 1 AS wide, string_agg(concat_ws(' | ', thickness, grade, color, quantity), ' | ' ORDER BY source_row) OVER (PARTITION BY upload_id) AS raw_text FROM fx_products) WHERE NOT {S.any_match('raw_text', V.NOISE)} AND (NOT wide OR regexp_matches(species, '^[A-Za-z ]+:*$')) AND concat_ws('', {S.find('thickness', '^[0-9]+/[0-9]+')}, grade, color) <> ''"""
+
+
+@query("fx_products", WIDE_ROWS)
 def w8_multi_species_grid(t):
-    p = t("fx_products").where("species is not null")
-    n = F.col("source_row")
-    key = [F.col("upload_id"), F.lit(0).alias("table_no")]
-    head = p.select(*key, F.lit(0).alias("row"), (n - 1).cast("int").alias("col"), F.when(n % 4 == 1, F.concat(F.upper("species"), F.lit(": Grade"))).otherwise(F.lit("x")).alias("value"))
-    last = p.groupBy("upload_id").agg(F.greatest(F.max(n), F.lit(12)).cast("int").alias("last"))
-    pad = last.select(*key, F.lit(0).alias("row"), F.explode(F.sequence("last", F.col("last") + 10)).alias("col"), F.lit("x").alias("value"))
-    name = F.element_at(F.array(*map(F.lit, ("Grade", "Desc", "Qty", "Length"))), ((n - 1) % 4 + 1).cast("int"))
-    names = p.select(*key, F.lit(1).alias("row"), (n - 1).cast("int").alias("col"), name.alias("value"))
-    data = p.select(*key, F.lit(2).alias("row"), (n - 1).cast("int").alias("col"), F.coalesce("grade", "quantity").alias("value"))
-    return sheets.multi_species_grid(head.unionByName(pad).unionByName(names).unionByName(data))
+    """Products as one wide table an upload, eight columns a product; uploads of one product have a narrow table."""
+    p = t("fx_products")
+    at = lambda k: ((F.col("source_row") - 1) * 8 + k).cast("int")
+    cells = [(F.concat(F.coalesce("species", F.lit("")), F.lit(": Grade")), "thickness"), ("Grade", "grade"), ("Desc", "color"), ("Qty", "quantity"), ("Length", None), ("", None), ("", None), ("", None)]
+    cell = lambda row, k, value: F.struct(F.lit(row).alias("row"), at(k).alias("col"), value.cast("string").alias("value"))
+    named = [cell(0, k, F.lit(h) if isinstance(h, str) else h) for k, (h, _) in enumerate(cells)]
+    held = [cell(1, k, F.col(c)) for k, (_, c) in enumerate(cells) if c is not None]
+    grid = p.select("upload_id", F.lit(0).alias("table_no"), F.explode(F.array(*named, *held)).alias("c")).select("upload_id", "table_no", "c.*")
+    return tables.grid_rows(grid).select("upload_id", F.col("part").cast("long").alias("part"), "species", "thickness", "grade", "description", "quantity_numeric", "quantity")
 
 
 CSV_FIELD = "CASE WHEN regexp_matches(h, 'species|wood') THEN 'species' WHEN regexp_matches(h, 'thick') THEN 'thickness' WHEN regexp_matches(h, 'grade') THEN 'grade' WHEN regexp_matches(h, 'qty|quantity|bf') THEN 'quantity' WHEN regexp_matches(h, 'desc|product') THEN 'product' WHEN regexp_matches(h, 'price') THEN 'price' WHEN regexp_matches(h, 'length') THEN 'length' END"
@@ -351,14 +354,23 @@ def x15_csv_field(t):
     return t("part").select("p_partkey", sheets.csv_field(F.when(F.col("p_partkey") % 8 < 7, h).otherwise(F.col("p_brand"))).alias("field"))
 
 
-@query()
+LISTED = f"""SELECT group_id AS list, row_number() OVER (PARTITION BY group_id ORDER BY id) - 1 AS source_row, {S.species('species_raw')} AS species, {S.thickness('thickness_raw')} AS thickness, {S.grade('grade_raw')} AS grade, concat(format('{{:,}}', qty), ' BF') AS quantity, CAST(qty AS DOUBLE) AS quantity_numeric, concat('said "', color_raw, '",', chr(10), 'see note') AS product FROM fx_products_raw"""
+
+
+@query("fx_products_raw", LISTED)
 def io1_read_csv_stock_lists(t):
-    p = t("fx_products")
-    q = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    line = F.concat_ws(",", F.lpad("source_row", 4, "0"), q("species"), F.concat(F.lit('"'), F.replace(q("thickness"), F.lit('"'), F.lit('""')), F.lit('"')), q("grade"), q("quantity"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source_row", line.alias("line")))), lambda s: s["line"]), "\n")
-    files = p.groupBy(F.col("upload_id").cast("string").alias("file")).agg(F.concat(F.lit("No,Species,Thickness,Grade,Qty\n"), body).alias("value"))
-    return csv_rows(list_cells(materialize(files, "csv-lists")))
+    """The products of each group as a CSV file with quoted commas, quotes and line breaks, read back from the files."""
+    p = t("fx_products_raw")
+    spark = p.sparkSession
+    quoted = lambda x: F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))
+    note = F.concat(F.lit('said "'), "color_raw", F.lit('",\nsee note'))
+    line = F.concat_ws(",", "species_raw", quoted(F.col("thickness_raw")), quoted(F.col("grade_raw")), quoted(F.format_number("qty", 0)), quoted(note))
+    head = p.select("group_id").distinct().select("group_id", F.lit(-1).cast("long").alias("id"), F.lit("Species,Thickness,Grade,Qty (BF),Product").alias("line"))
+    path = f"{shared_dir(spark)}/lists-{dt.datetime.now().timestamp()}"
+    lines_ = head.unionByName(p.select("group_id", "id", line.alias("line")))
+    lines_.repartition("group_id").sortWithinPartitions("group_id", "id").select(F.col("line").alias("value"), F.col("group_id").alias("list")).write.partitionBy("list").text(path)
+    rows = csv_rows(read_csv_cells(spark, path))
+    return rows.select(F.regexp_extract("file", "list=([0-9]+)", 1).cast("long").alias("list"), F.col("source_row").cast("long").alias("source_row"), "species", "thickness", "grade", "quantity", "quantity_numeric", "product")
 
 
 @query("fx_lines", "SELECT upload_id, line_no, unnest(CASE WHEN len(regexp_extract_all(text, '\\b[0-9]+/[0-9]\\b')) >= 2 AND len(p) >= 2 THEN p ELSE [text] END) AS segment FROM (SELECT upload_id, line_no, text, list_filter(list_transform(regexp_split_to_array(text, '\\s{3,}'), lambda s: " + S.strip("s") + "), lambda s: length(s) > 3) AS p FROM (SELECT upload_id, line_no, concat(text, CASE WHEN line_no % 2 = 0 THEN '    5/4 FAS 300''' ELSE '' END) AS text FROM fx_lines))")
@@ -496,9 +508,15 @@ def j7_mills_with_counts(t):
     return catalog.mills_with_counts(t("fx_mills"), t("fx_products"))
 
 
-@query("fx_mills fx_products", "SELECT id, group_id, name FROM fx_mills UNION ALL SELECT (SELECT max(id) FROM fx_mills) + row_number() OVER (ORDER BY u, group_id, name), group_id, name FROM (SELECT group_id, trim(mill_name)[1:100] AS name, min(upload_id) AS u FROM fx_products GROUP BY 1, 2) n WHERE NOT EXISTS (SELECT 1 FROM fx_mills m WHERE m.group_id = n.group_id AND m.name = n.name)")
+SEEN = "SELECT group_id, mill_name AS name, upload_id, concat('Town ', CAST(upload_id % 7 AS VARCHAR(20))) AS location, nullif(concat('555-000-', CAST(upload_id % 3 AS VARCHAR(20))), '555-000-0') AS phone, concat('mill', CAST(upload_id AS VARCHAR(20)), '@example.com') AS email FROM {fx_products}"
+UPSERT = f"""SELECT id, group_id, name, NULL AS location, NULL AS phone, NULL AS email FROM fx_mills UNION ALL SELECT (SELECT max(id) FROM fx_mills) + row_number() OVER (ORDER BY f.upload_id, group_id, name), group_id, name, f.location, f.phone, f.email
+FROM (SELECT group_id, trim(name)[1:100] AS name, arg_min(s, upload_id) AS f FROM ({SEEN.format(fx_products="fx_products")}) s GROUP BY 1, 2) n WHERE NOT EXISTS (SELECT 1 FROM fx_mills m WHERE m.group_id = n.group_id AND m.name = n.name)"""
+
+
+@query("fx_mills fx_products", UPSERT)
 def j8_upsert_mills(t):
-    return catalog.upsert_mills(t("fx_mills"), t("fx_products").select("group_id", F.col("mill_name").alias("name"), "upload_id"))
+    p = t("fx_products")
+    return catalog.upsert_mills(t("fx_mills"), p.sparkSession.sql(SEEN, fx_products=p))
 
 
 ACTIONS = "SELECT id, CASE WHEN group_id = 4 THEN 99 ELSE group_id END AS group_id, CASE id % 5 WHEN 0 THEN 'review' WHEN 1 THEN 'flag' WHEN 2 THEN 'unflag' WHEN 3 THEN 'delete' ELSE 'set_mill' END AS action, 'New Mill' AS mill FROM {fx_products} WHERE source_row = 1"
@@ -518,9 +536,63 @@ def j10_delete_uploads(t):
     return left.select(F.lit("upload").alias("kind"), "id").unionByName(rows.select(F.lit("product").alias("kind"), "id"))
 
 
-@query("fx_users fx_memberships fx_groups", "SELECT (SELECT max(id) FROM fx_groups) + row_number() OVER (ORDER BY id) AS group_id, id AS user_id, split_part(email, '@', 1) AS slug FROM fx_users u WHERE NOT EXISTS (SELECT 1 FROM fx_memberships m WHERE m.user_id = u.id)")
+def _lost(table: str) -> str:
+    """A fact as it was before workspaces: rows of users without one are in no group."""
+    return f"SELECT x.id, x.user_id, CASE WHEN m.user_id IS NOT NULL THEN x.group_id END AS group_id FROM {{{table}}} x LEFT JOIN (SELECT DISTINCT user_id FROM {{fx_memberships}}) m ON m.user_id = x.user_id"
+
+
+#: Tables before the backfill. Addresses share what stands before @, so that slugs clash.
+BEFORE = {
+    "users": "SELECT id, concat('User.', CAST(id % 400 AS VARCHAR(20)), '@m', CAST(id AS VARCHAR(20)), '.example.com') AS email, display_name FROM {fx_users}",
+    "memberships": "SELECT group_id, user_id, role FROM {fx_memberships}",
+    "groups": "SELECT id, name, slug FROM {fx_groups}",
+    "uploads": _lost("fx_uploads"),
+    "activity": _lost("fx_activity"),
+    "searches": _lost("fx_searches"),
+    "mills": "SELECT id, name, CASE WHEN id % 4 > 0 THEN group_id END AS group_id FROM {fx_mills}",
+    "products": "SELECT p.id, p.upload_id, CASE WHEN u.group_id IS NOT NULL THEN p.group_id END AS group_id FROM {fx_products} p LEFT JOIN (" + _lost("fx_uploads") + ") u ON u.id = p.upload_id",
+}
+BEFORE_VIEWS = "fx_users fx_memberships fx_groups fx_uploads fx_activity fx_searches fx_mills fx_products"
+_OLD = {k: v.format(**{n: n for n in BEFORE_VIEWS.split()}) for k, v in BEFORE.items()}
+BASE_SLUG = "regexp_replace(regexp_replace(lower(split_part(email, '@', 1)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+ASSIGNED = f""", old_users AS ({_OLD["users"]}), old_groups AS ({_OLD["groups"]}), alone AS (SELECT *, {BASE_SLUG} AS base FROM old_users u WHERE NOT EXISTS (SELECT 1 FROM fx_memberships m WHERE m.user_id = u.id)),
+assigned AS (SELECT (SELECT max(id) FROM fx_groups) + row_number() OVER (ORDER BY id) AS new_group, id AS user_id, concat(display_name, chr(39), 's Workspace') AS name, CASE WHEN row_number() OVER (PARTITION BY base ORDER BY id) = 1 AND base NOT IN (SELECT slug FROM old_groups) THEN base ELSE concat(base, '-', id) END AS slug FROM alone)
+"""
+TAKEN = "SELECT '{k}' AS kind, f.id, coalesce(f.group_id, a.new_group) AS group_id, NULL AS detail FROM ({old}) f LEFT JOIN assigned a ON a.user_id = f.user_id"
+AFTER = " UNION ALL ".join(
+    [
+        "SELECT 'groups' AS kind, id, NULL AS group_id, concat(slug, ' ', name) AS detail FROM (SELECT id, name, slug FROM old_groups UNION ALL SELECT new_group, name, slug FROM assigned)",
+        "SELECT 'memberships', user_id, group_id, role FROM (SELECT user_id, group_id, role FROM fx_memberships UNION ALL SELECT user_id, new_group, 'owner' FROM assigned)",
+        *[TAKEN.format(k=k, old=_OLD[k]) for k in ("uploads", "activity", "searches")],
+        f"SELECT 'mills', id, coalesce(group_id, (SELECT arg_min(new_group, user_id) FROM assigned)), NULL FROM ({_OLD['mills']})",
+        f"SELECT 'products', f.id, coalesce(f.group_id, a.new_group), NULL FROM ({_OLD['products']}) f LEFT JOIN fx_uploads u ON u.id = f.upload_id LEFT JOIN assigned a ON a.user_id = u.user_id",
+    ]
+)
+
+
+def before_backfill(t) -> dict[str, DataFrame]:
+    views = {n: t(n) for n in BEFORE_VIEWS.split()}
+    spark = views["fx_users"].sparkSession
+    return {k: spark.sql(v, **{n: views[n] for n in views if "{" + n + "}" in v}) for k, v in BEFORE.items()}
+
+
+@query(BEFORE_VIEWS, ASSIGNED + "SELECT new_group AS group_id, user_id, name, 'Auto-created personal workspace' AS description, slug FROM assigned")
 def j11_backfill_groups(t):
-    return workspaces.backfill_groups(t("fx_users"), t("fx_memberships"), t("fx_groups"))
+    old = before_backfill(t)
+    return workspaces.backfill_groups(old["users"], old["memberships"], old["groups"])
+
+
+@query(BEFORE_VIEWS, ASSIGNED + AFTER)
+def j11_backfill(t):
+    """All tables after the backfill, one below the other."""
+    new = workspaces.backfill(**before_backfill(t))
+    told = {"groups": ("id", F.lit(None), F.concat_ws(" ", "slug", "name")), "memberships": ("user_id", F.col("group_id"), F.col("role"))}
+    out = None
+    for kind in ("groups", "memberships", "uploads", "activity", "searches", "mills", "products"):
+        i, g, d = told.get(kind, ("id", F.col("group_id"), F.lit(None)))
+        part = new[kind].select(F.lit(kind).alias("kind"), F.col(i).alias("id"), g.cast("long").alias("group_id"), d.cast("string").alias("detail"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("fx_products fx_uploads", "SELECT id, CASE WHEN upload_id % 6 = 0 AND upload_id IN (SELECT id FROM fx_uploads) THEN concat('Renamed ', CAST(upload_id AS VARCHAR)) ELSE mill_name END AS mill_name FROM fx_products")
@@ -536,6 +608,54 @@ def j12_correct_products(t):
     return catalog.correct_products(p, fixes, F.concat_ws(" ", "thickness", "species", "grade")).select("id", "species", "product")
 
 
+def stored_products(t) -> tuple[DataFrame, str]:
+    """The products and a store that holds them."""
+    p = t("fx_products")
+    path = f"{shared_dir(p.sparkSession)}/store-{dt.datetime.now().timestamp()}"
+    store.write_products(p, path)
+    return p, path
+
+
+@query("fx_products fx_uploads", """, o AS (SELECT upload_id, min(mill_name) FILTER (mill_name <> 'Unknown Mill') AS n FROM fx_products GROUP BY 1),
+a AS (SELECT id, upload_id, mill_name, species FROM fx_products WHERE NOT is_flagged = 1 OR upload_id NOT IN (SELECT upload_id FROM fx_products WHERE source_row = 6)
+UNION ALL SELECT p.id + 1000000000, upload_id, coalesce(o.n, 'Unknown Mill'), species FROM fx_products p JOIN o USING (upload_id) WHERE is_flagged = 0 AND upload_id IN (SELECT upload_id FROM fx_products WHERE source_row = 6)),
+b AS (SELECT id, upload_id, CASE WHEN upload_id IN (SELECT id FROM fx_uploads WHERE status = 'processing') THEN concat('Renamed ', upload_id) ELSE mill_name END AS mill_name, species FROM a WHERE NOT (id < 1000000000 AND upload_id IN (SELECT upload_id FROM fx_products WHERE source_row = 6)))
+SELECT id, upload_id, mill_name, species FROM b WHERE upload_id NOT IN (SELECT id FROM fx_uploads WHERE uploaded_at >= TIMESTAMP '1998-01-01 00:00:00')""")
+def io6_stored_changes(t):
+    """A store of products after three changes on disk: uploads with six rows or more are parsed again without their flagged rows,
+    unfinished ones get another mill's name, late ones are deleted."""
+    p, path = stored_products(t)
+    spark, uploads = p.sparkSession, t("fx_uploads")
+    long = p.where("source_row = 6").select("upload_id")
+    fresh = p.join(long, "upload_id", "left_semi").where("is_flagged = 0").withColumns({"id": F.col("id") + 1_000_000_000, "mill_name": F.lit(None).cast("string")})
+    store.replace_uploads(spark, path, fresh.select(*p.columns))
+    store.rename_mills(spark, path, uploads.where("status = 'processing'").select(F.col("id").alias("upload_id"), F.concat(F.lit("Renamed "), "id").alias("new_name")))
+    store.delete_uploads(spark, path, uploads, uploads.where(F.col("uploaded_at") >= F.lit("1998-01-01").cast("timestamp_ntz")).select("id", "group_id"))
+    return store.read_products(spark, path).select("id", "upload_id", "mill_name", "species")
+
+
+@query("fx_products", "SELECT p.id, CASE WHEN a.action = 'review' THEN 1 ELSE is_reviewed END AS is_reviewed, CASE a.action WHEN 'flag' THEN 1 WHEN 'unflag' THEN 0 ELSE is_flagged END AS is_flagged, CASE WHEN a.action = 'set_mill' THEN a.mill ELSE mill_name END AS mill_name, CASE WHEN source_row = 2 THEN 'Teak' ELSE species END AS species FROM fx_products p LEFT JOIN (SELECT * FROM (" + ACTIONS.format(fx_products="fx_products") + ") WHERE group_id <> 99) a ON a.id = p.id WHERE a.action IS DISTINCT FROM 'delete'")
+def j9_stored_update(t):
+    """A store of products after changes and corrections of single products on disk."""
+    p, path = stored_products(t)
+    store.bulk_update(p.sparkSession, path, p.sparkSession.sql(ACTIONS, fx_products=p))
+    fixes = p.where("source_row = 2").select("id", F.lit("Teak").alias("species"), F.lit(None).cast("string").alias("thickness"), F.lit(None).cast("string").alias("grade"))
+    store.correct_products(p.sparkSession, path, fixes, F.concat_ws(" ", "thickness", "species", "grade"))
+    return store.read_products(p.sparkSession, path).select("id", "is_reviewed", "is_flagged", "mill_name", "species")
+
+
+@query("fx_products", "SELECT id, species, place FROM (SELECT id, species, row_number() OVER (ORDER BY species NULLS FIRST, id) - 1 AS place FROM fx_products) WHERE place BETWEEN 3000 AND 3049")
+def f1_deep_page(t):
+    """A page deep in all products, by their places."""
+    return catalog.page_at(catalog.placed_products(t("fx_products"), "species"), 3000, 50).select("id", "species", "place")
+
+
+@query("fx_products", "SELECT id, confidence FROM fx_products WHERE confidence < 0.5e0 OR confidence IS NULL OR (confidence = 0.5e0 AND id > 2000000) ORDER BY confidence DESC NULLS LAST, id LIMIT 50")
+def f1_next_page(t):
+    """The page behind a product, best first."""
+    return catalog.products_after(t("fx_products"), {"id": 2_000_000, "confidence": 0.5}, "confidence", True, 50).select("id", "confidence")
+
+
 # --- Aggregates and windows --------------------------------------------------------------------------------------
 
 
@@ -603,6 +723,27 @@ def u3_union_strategies(t):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("upload_id", "method").agg(F.count("*").alias("n"))
 
 
+@query()
+def u3_extraction_branches(t):
+    """What each extraction of each file finds."""
+    found = extract.extractions(t("fx_lines"), page_words(t), t("fx_grid"))
+    return found.groupBy("upload_id", "method").agg(F.count("*").alias("n"), F.count_if(F.col("confidence") >= V.REVIEW).alias("good"), F.max("source_row").alias("last"))
+
+
+HEAD_CELL = r"^([A-Za-z][A-Za-z\s]+?)[\s:]+(?:Grade|grade|GRADE)"
+GRID_ROWS = f""", heads AS (SELECT h, CASE WHEN regexp_matches(h, '{HEAD_CELL}') THEN {S.species(f"regexp_extract(h, '{HEAD_CELL}', 1)")} WHEN {S.is_species_header('h')} THEN {S.species(S.replace('h', ':+$'))} END AS species FROM (SELECT DISTINCT {S.strip('value')} AS h FROM fx_grid WHERE row = 0 AND col = 1)),
+cells AS (SELECT upload_id, table_no, row, max(value) FILTER (col = 0) AS t, max(value) FILTER (col = 1) AS g, nullif({S.strip("max(value) FILTER (col = 2)")}, '') AS d, nullif(max(value) FILTER (col = 3), '') AS q, max(value) FILTER (col = 4) AS l, string_agg(value, ' | ' ORDER BY col) AS raw_text FROM fx_grid WHERE row > 0 GROUP BY 1, 2, 3),
+parts AS (SELECT c.*, species, {S.thickness(S.find('t', '^[0-9]+/[0-9]+'))} AS thickness, {S.grade('g')} AS grade, CASE WHEN regexp_matches(q, '(?i)^[0-9]?T/?L$') THEN 'T/L' WHEN regexp_matches(q, '(?i)^call') THEN 'Call' END AS word, TRY_CAST(regexp_replace(q, '[^0-9.]', '', 'g') AS DOUBLE) AS digits FROM cells c JOIN fx_grid h ON h.upload_id = c.upload_id AND h.table_no = c.table_no AND h.row = 0 AND h.col = 1 JOIN heads ON heads.h = {S.strip('h.value')})
+SELECT upload_id, table_no, row, species, thickness, grade, d AS description, CASE WHEN word IS NULL THEN digits END AS quantity_numeric, coalesce(word, CASE WHEN digits IS NOT NULL THEN concat(format('{{:,}}', CAST(floor(digits) AS BIGINT)), ' BF') END, q) AS quantity, l AS length, concat_ws(' ', thickness, grade, d) AS product
+FROM parts WHERE NOT {S.any_match('raw_text', V.NOISE)} AND concat_ws('', thickness, grade, d) <> ''"""
+
+
+@query("fx_grid", GRID_ROWS)
+def u3_table_rows(t):
+    """The rows of the tables found in files."""
+    return tables.grid_rows(t("fx_grid")).select("upload_id", "table_no", "row", "species", "thickness", "grade", "description", "quantity_numeric", "quantity", "length", "product")
+
+
 @query("fx_products", "SELECT *, concat_ws('; ', CASE WHEN reject > 0 THEN concat(reject, ' rows rejected as non-inventory (contact info, addresses, junk text, etc.)') END, CASE WHEN review > 0 THEN concat(review, ' rows flagged for manual review (low confidence)') END) AS warnings FROM (SELECT upload_id, count(*) AS raw, count(*) FILTER (confidence >= 0.7e0) AS accept, count(*) FILTER (confidence >= 0.4e0 AND confidence < 0.7e0) AS review, count(*) FILTER (confidence < 0.4e0) AS reject FROM fx_products GROUP BY 1)")
 def a8_parse_report(t):
     return scoring.parse_report(t("fx_products")).withColumn("warnings", F.array_join("warnings", "; "))
@@ -648,14 +789,23 @@ def a14_column_boundaries(t):
     return found.select("upload_id", F.posexplode("bounds").alias("place", "bound")).withColumn("place", F.col("place").cast("long"))
 
 
-@query()
+WORDS = "SELECT upload_id, (source_row % 2) * 300e0 + n * 40 AS x0, (source_row // 2) * 12e0 AS y, source_row * 100 + n AS seq, text FROM (SELECT upload_id, source_row, unnest(words) AS text, generate_subscripts(words, 1) - 1 AS n FROM (SELECT upload_id, source_row, string_split(product, ' ') AS words FROM fx_products)) WHERE text <> ''"
+IN_COLUMNS = f"""SELECT upload_id, y, col, string_agg(text, ' ' ORDER BY x0, seq) AS text FROM (SELECT w.*, CASE WHEN len(bounds) > 1 THEN len(list_filter(list_transform(range(1, len(bounds)), lambda k: (bounds[k] + bounds[k + 1]) / 2), lambda m: m <= x0)) ELSE 0 END AS col FROM ({WORDS}) w JOIN ({BOUNDS}) b USING (upload_id)) GROUP BY 1, 2, 3"""
+
+
+@query("fx_products", IN_COLUMNS)
 def w6_words_to_columns(t):
-    return layout.words_to_columns(page_words(t))
+    return layout.words_to_columns(page_words(t)).withColumn("col", F.col("col").cast("long"))
 
 
-@query()
+COLUMN_SPECIES = f""", texts AS MATERIALIZED ({IN_COLUMNS}), heads AS (SELECT text, {S.species(S.header_text('text'))} AS head FROM (SELECT DISTINCT text FROM texts) WHERE {S.is_species_header('text')}),
+below AS (SELECT upload_id, y, col, t.text, h.text IS NOT NULL AS named, last_value(head IGNORE NULLS) OVER (PARTITION BY upload_id, col ORDER BY y) AS species FROM texts t LEFT JOIN heads h USING (text))
+SELECT upload_id, y, col, text, species FROM below WHERE NOT named"""
+
+
+@query("fx_products", COLUMN_SPECIES)
 def w2_carry_species_columns(t):
-    return layout.carry_column_species(layout.words_to_columns(page_words(t)))
+    return layout.carry_column_species(layout.words_to_columns(page_words(t))).withColumn("col", F.col("col").cast("long"))
 
 
 @query("fx_lines", "SELECT upload_id, line_no, last_value(CASE WHEN header = 1 THEN text END IGNORE NULLS) OVER (PARTITION BY upload_id ORDER BY line_no) AS species FROM (SELECT l.upload_id, l.line_no, l.text, CAST(l.text = p.species_raw AS INT) AS header FROM fx_lines l LEFT JOIN (SELECT DISTINCT species_raw FROM fx_products_raw WHERE species_raw <> '') p ON p.species_raw = l.text)")
@@ -743,11 +893,59 @@ def stored(t) -> tuple[DataFrame, DataFrame]:
     return materialize(asked(t), "asked"), materialize(t("fx_products").select(*columns), "searched")
 
 
+EXPANDED = f"(SELECT list(z[1] ORDER BY z[2]) FROM (SELECT unnest(list_filter(list_zip(l, range(1, len(l) + 1)), lambda z: list_position(l, z[1]) = z[2])) AS z))"
+PLAIN_TERMS = f"""SELECT query_id, group_id, term_no, regexp_extract_all(lower(CASE WHEN NOT contains(c, ' ') AND regexp_matches(c, '[/&#]') THEN regexp_replace(term, '[^\\w\\s]', '', 'g') ELSE c END), '[a-z0-9]+') AS words FROM (SELECT *, {S.strip("regexp_replace(term, '[^\\w\\s/&#+]', ' ', 'g')")} AS c FROM (
+SELECT query_id, group_id, unnest(terms) AS term, generate_subscripts(terms, 1) AS term_no FROM (SELECT query_id, group_id, {EXPANDED}[1:10] AS terms FROM (SELECT *, {_expand_sql('query')} AS l FROM ({ASKED})))))"""
+
+
+def _bm25(products: str) -> str:
+    """BM25 without stems, as common table expressions that end in `bm25`."""
+    words = " UNION ALL ".join(f"SELECT group_id, id, {i} AS col, regexp_extract_all(lower({c}), '[a-z0-9]+') AS words FROM {products}" for i, c in enumerate(SEARCHED))
+    return f""", places AS MATERIALIZED ({words}), lengths AS (SELECT group_id, id, coalesce(sum(len(words)), 0) AS dl FROM places GROUP BY 1, 2), totals AS (SELECT group_id, count(*) AS docs, avg(dl) AS avgdl FROM lengths GROUP BY 1),
+tf AS (SELECT query_id, term_no, group_id, id, count(*) AS tf FROM (SELECT q.query_id, q.term_no, p.group_id, p.id, p.col, p.pos - q.off AS at, any_value(q.m) AS m, count(*) AS k
+FROM (SELECT query_id, group_id, term_no, len(words) AS m, unnest(words) AS token, generate_subscripts(words, 1) AS off FROM ({PLAIN_TERMS})) q
+JOIN (SELECT group_id, id, col, unnest(words) AS token, generate_subscripts(words, 1) AS pos FROM places) p ON p.group_id = q.group_id AND p.token = q.token GROUP BY 1, 2, 3, 4, 5, 6) WHERE k = m GROUP BY 1, 2, 3, 4),
+scored AS (SELECT query_id, term_no, id, greatest(1e-6, ln((docs - df + 0.5e0) / (df + 0.5e0))) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl)) AS score FROM (SELECT *, count(*) OVER (PARTITION BY query_id, term_no) AS df FROM tf) JOIN lengths USING (group_id, id) JOIN totals USING (group_id)),
+bm25 AS (SELECT query_id, id, arg_min(score, term_no) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, term_no ORDER BY score DESC, id) AS r FROM scored) WHERE r <= 200 GROUP BY 1, 2)
+"""
+
+
+@query("fx_products fx_searches", _bm25("fx_products") + "SELECT query_id, id, round(score, 6) AS score FROM bm25")
+def q2_bm25_plain(t):
+    """Phrase search without stems."""
+    return search.bm25_search(*stored(t), SEARCHED, stem=False).withColumn("score", F.round("score", 6))
+
+
 @query()
 def q2_bm25_search(t):
     return search.bm25_search(*stored(t), SEARCHED)
 
 
+#: Products after a batch of changes: the second rows of uploads are of another species, flagged third rows are gone.
+CHANGED = "SELECT group_id, id, CASE WHEN source_row = 2 THEN 'Teak' ELSE species END AS species, thickness, grade, color, product FROM {fx_products} WHERE NOT (source_row = 3 AND is_flagged = 1)"
+
+
+def kept_index(t, stem: bool) -> str:
+    """An index of all products that has then taken the changes: new words of some, others gone."""
+    p = t("fx_products")
+    path = f"{shared_dir(p.sparkSession)}/index-{dt.datetime.now().timestamp()}"
+    index.update_index(path, 0, p, SEARCHED, stem=stem)
+    new = p.sparkSession.sql(CHANGED + " AND source_row = 2", fx_products=p)
+    index.update_index(path, 1, new, SEARCHED, p.where("source_row = 3 AND is_flagged = 1"), stem=stem)
+    return path
+
+
+@query("fx_products", f", changed AS ({CHANGED.format(fx_products='fx_products')}) SELECT group_id, token, count(*) AS n FROM (SELECT group_id, unnest(regexp_extract_all(lower(value), '[a-z0-9]+')) AS token FROM (" + " UNION ALL ".join(f"SELECT group_id, {c} AS value FROM changed" for c in SEARCHED) + ")) GROUP BY 1, 2")
+def q1_index_counts(t):
+    return index.live_postings(t("fx_products").sparkSession, kept_index(t, False)).groupBy("group_id", "token").agg(F.count("*").alias("n"))
+
+
+@query("fx_products fx_searches", f", changed AS ({CHANGED.format(fx_products='fx_products')})" + _bm25("changed") + "SELECT query_id, id, round(score, 6) AS score FROM bm25")
+def q2_indexed_search(t):
+    """Phrase search in an index that changes have gone into."""
+    return index.indexed_search(materialize(asked(t), "asked"), kept_index(t, False), stem=False).withColumn("score", F.round("score", 6))
+
+
 ASKED_WORDS = f"SELECT query_id, group_id, regexp_extract_all(lower(query), '[a-z0-9]+') AS words FROM ({ASKED})"
 PLACES = " UNION ALL ".join(f"SELECT group_id, id, {i} AS col, regexp_extract_all(lower({c}), '[a-z0-9]+') AS words FROM fx_products" for i, c in enumerate(SEARCHED))
 PHRASE_HITS = f"""SELECT query_id, id, count(*) AS tf FROM (SELECT q.query_id, p.id, p.col, p.pos - q.off AS at, len(any_value(q.words)) AS m, count(*) AS k
@@ -801,12 +999,37 @@ def q5_search(t):
     return search.search(*stored(t), SEARCHED)
 
 
+TIERS = "SELECT query_id, id, min(tier) AS tier, arg_min(score, tier) AS score FROM (SELECT query_id, id, 1 AS tier, score FROM bm25 UNION ALL SELECT query_id, id, 2, 0.5e0 FROM ({like})) GROUP BY 1, 2"
+
+
+@query("fx_products fx_searches", _bm25("fx_products") + "SELECT query_id, id, CAST(tier AS BIGINT) AS tier, round(score, 6) AS score FROM (" + TIERS.format(like=LIKE) + ")")
+def u2_merge_plain_tiers(t):
+    """Phrases without stems before substrings."""
+    q, p = stored(t)
+    return search.merge_tiers(search.bm25_search(q, p, SEARCHED, stem=False), search.partial_search(q, p), None).select("query_id", "id", F.col("tier").cast("long").alias("tier"), F.round("score", 6).alias("score"))
+
+
+@query("fx_products fx_searches", _bm25("fx_products") + "SELECT query_id, id, tier, round(score, 6) AS score, rank, total FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, score DESC, id) AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM (" + TIERS.format(like=LIKE) + ")) WHERE rank <= 100")
+def q5_search_plain(t):
+    """The first page of phrases without stems, then substrings; likeness is left out."""
+    found = search.search(*stored(t), SEARCHED, stem=False, fuzzy=False)
+    return found.select("query_id", "id", "tier", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"), "total")
+
+
 @query("fx_products fx_searches", f"SELECT query_id, id, rank, total FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM ({LIKE})) WHERE rank BETWEEN 11 AND 60")
 def k4_page_results(t):
     found = search.partial_search(*stored(t)).select("query_id", "id", F.lit(2).alias("tier"), F.lit(0.5).alias("score"))
     return search.page_results(found, 50, 10).select("query_id", "id", F.col("rank").cast("long").alias("rank"), "total")
 
 
+@query("fx_products fx_searches", f"SELECT query_id, id FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank FROM ({LIKE})) WHERE rank BETWEEN 61 AND 90")
+def k4_next_page(t):
+    """The third page of each query, from the last result of the second."""
+    found = materialize(search.partial_search(*stored(t)).select("query_id", "id", F.lit(2).alias("tier"), F.lit(0.5).alias("score")), "found")
+    seen = search.page_results(found, 1, 59).select("query_id", "tier", "score", "id")
+    return search.results_after(found.join(seen.select("query_id"), "query_id", "left_semi"), seen, 30).select("query_id", "id")
+
+
 @query("fx_products fx_searches", f"SELECT s.id, s.user_id, s.query, coalesce(n, 0) AS result_count FROM fx_searches s JOIN ({ASKED}) a ON a.group_id = s.group_id AND a.query = s.query LEFT JOIN (SELECT query_id, count(*) AS n FROM ({LIKE}) GROUP BY 1) r ON r.query_id = a.query_id")
 def q6_log_searches(t):
     s = t("fx_searches")
@@ -820,7 +1043,34 @@ def q6_log_searches(t):
 
 @query()
 def ingest_lists(t):
-    return lines.ingest(t("fx_lines"))
+    """Products of every upload, from its best extraction."""
+    return extract.ingest_files(t("fx_lines"), page_words(t), t("fx_grid"))
+
+
+KEPT = "SELECT *, row_number() OVER (PARTITION BY upload_id, coalesce(lower(species), ''), coalesce(lower(thickness), ''), coalesce(lower(grade), ''), quantity_numeric, coalesce(lower(color), '') ORDER BY confidence DESC, CASE WHEN confidence >= 0.7e0 THEN 0 ELSE 1 END, source_row, id) AS k FROM {} WHERE confidence >= 0.4e0"
+
+
+@query("fx_products", f"SELECT id FROM ({KEPT.format('fx_products')}) WHERE k = 1")
+def u1_accepted_rows(t):
+    return extract.combine_accepted(t("fx_products")).select("id")
+
+
+CHOSEN = """, m AS (SELECT p.*, CASE source_row % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'columns' ELSE 'table' END AS method FROM fx_products p),
+c AS (SELECT upload_id, method, row_number() OVER (PARTITION BY upload_id ORDER BY count(*) FILTER (confidence >= 0.4e0) DESC, CASE method WHEN 'table' THEN 0 WHEN 'columns' THEN 1 ELSE 2 END) AS r FROM m GROUP BY 1, 2 HAVING count(*) >= CASE method WHEN 'text' THEN 3 ELSE 5 END),
+b AS (SELECT m.* FROM m SEMI JOIN (SELECT * FROM c WHERE r = 1) c USING (upload_id, method)),
+"""
+REPORT = f"""{CHOSEN}k AS (SELECT upload_id, count(*) AS n, round(sum(CAST(id % 101 AS BIGINT)) / 100e0 / count(*), 3) AS c FROM ({KEPT.format('b')}) WHERE k = 1 GROUP BY 1),
+w AS (SELECT upload_id, min(method) AS method, concat_ws('; ', CASE WHEN count(*) FILTER (confidence < 0.4e0) > 0 THEN concat(count(*) FILTER (confidence < 0.4e0), ' rows rejected as non-inventory (contact info, addresses, junk text, etc.)') END, CASE WHEN count(*) FILTER (confidence >= 0.4e0 AND confidence < 0.7e0) > 0 THEN concat(count(*) FILTER (confidence >= 0.4e0 AND confidence < 0.7e0), ' rows flagged for manual review (low confidence)') END) AS warnings FROM b GROUP BY 1)
+SELECT u.id, CASE WHEN n > 0 THEN 'parsed' ELSE 'failed' END AS status, coalesce(method, 'text') AS method, coalesce(n, 0) AS row_count, coalesce(c, 0e0) AS confidence, CASE WHEN method IS NULL THEN 'Could not auto-parse structure. Try AI parsing.' END AS error, coalesce(warnings, '') AS warnings, CASE WHEN n > 0 THEN {NOW_SQL} END AS parsed_at
+FROM fx_uploads u LEFT JOIN w ON w.upload_id = u.id LEFT JOIN k ON k.upload_id = u.id"""
+
+
+@query("fx_products fx_uploads", REPORT)
+def io7_upload_report(t):
+    p = t("fx_products")
+    method = p.sparkSession.sql(METHODS, fx_products=p).select("id", "method")
+    found = materialize(p.join(method, "id"), "extracted")
+    return extract.upload_report(t("fx_uploads"), found, now()).withColumn("warnings", F.array_join("warnings", "; "))
 
 
 @query()
@@ -829,28 +1079,32 @@ def st2_rate_limit(t):
     return jobs.rate_limit(a)
 
 
-def _stream_dir(spark: SparkSession, df: DataFrame, files: int = 2) -> tuple[DataFrame, str]:
-    """`df` as a stream of files, and a folder of its own."""
+def _stream(df: DataFrame, batches: int = 3) -> tuple[DataFrame, str]:
+    """`df` as a stream of files that come in some batches, as Spark wrote them, and a folder of its own."""
+    spark = df.sparkSession
     base = f"{shared_dir(spark)}/stream-{dt.datetime.now().timestamp()}"
-    df.coalesce(files).write.parquet(f"{base}/in")
-    return spark.readStream.schema(df.schema).parquet(f"{base}/in"), base
+    df.write.parquet(f"{base}/in")
+    files = len(spark.read.parquet(f"{base}/in").inputFiles())
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, -(-files // batches))).parquet(f"{base}/in"), base
 
 
 @query()
 def st1_stream_ingest(t):
-    rows = t("fx_lines")
-    spark = rows.sparkSession
-    stream, base = _stream_dir(spark, rows, 1)
-    jobs.stream_ingest(stream, f"{base}/out", f"{base}/state").awaitTermination()
-    return jobs.latest_rows(spark, f"{base}/out")
+    """Lines as they lie in their table, so that uploads come in parts; some uploads come twice, changed."""
+    lines_ = t("fx_lines")
+    again = lines_.join(t("fx_uploads").where("status = 'failed'").select(F.col("id").alias("upload_id")), "upload_id", "left_semi")
+    again = again.select("upload_id", F.lit(1).alias("delivery"), "line_no", F.replace("text", F.lit("4/4"), F.lit("8/4")).alias("text"))
+    stream, base = _stream(lines_.select("upload_id", F.lit(0).alias("delivery"), "line_no", "text").unionByName(again))
+    ingest.stream_ingest(stream, f"{base}/out", f"{base}/state", now()).awaitTermination()
+    return ingest.latest_rows(lines_.sparkSession, f"{base}/out")
 
 
 @query("fx_activity", "SELECT CAST(created_at AS DATE) AS day, action, count(*) AS n FROM fx_activity GROUP BY 1, 2")
 def st3_stream_daily_counts(t):
     rows = t("fx_activity").select("action", F.col("created_at").cast("timestamp").alias("created_at"))
     spark = rows.sparkSession
-    stream, base = _stream_dir(spark, rows, 1)
-    counts = jobs.stream_daily_counts(stream, "created_at")
+    stream, base = _stream(rows)
+    counts = jobs.stream_daily_counts(stream, "created_at", late="60 days")
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
@@ -861,6 +1115,7 @@ def st3_stream_daily_counts(t):
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    """The flagship: stock lists to scored products, and their most common species."""
-    rows = lines.ingest(view(spark, "/root/testdata/sf0.001", "fx_lines"))
-    return catalog.top_values(rows, "species")
+    """The flagship: stock lists to scored products, and their most common species; of the tables that the session names, else
+    the smallest."""
+    sf_dir = spark.conf.get("spark.boardfoot.data", "/root/testdata/sf0.001")
+    return catalog.top_values(QUERIES["ingest_lists"](spark, sf_dir), "species")

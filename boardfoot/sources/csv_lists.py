@@ -1,29 +1,65 @@
-"""Stock lists in CSV files, one list a file."""
+"""Stock lists in CSV files, one list a file. A line break inside quotes is part of its cell."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boardfoot.functions.normalize import normalize_grade, normalize_species, normalize_thickness
 from boardfoot.functions.text import filled, strip
 from boardfoot.operators.cleaning import is_noise
 from boardfoot.operators.sheets import csv_field
+from boardfoot.plans.shared import materialize
 
 
 def read_csv_cells(spark: SparkSession, path: str) -> DataFrame:
-    """The cells of the files at `path`; a file is read whole, as lists are small."""
-    return list_cells(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value"))
+    """The cells of the files at `path`. Files are read line by line, so one that is larger than a task is read by several; lines
+    are written once with the piece of the file they come from and their place in it."""
+    meta = F.col("_metadata")
+    lines = spark.read.text(path).select(meta["file_path"].alias("file"), meta["file_block_start"].alias("piece"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("line"))
+    return record_cells(csv_records(materialize(lines, "csv-lines")))
 
 
-def list_cells(files: DataFrame) -> DataFrame:
-    """(file, source_row, col, header, value) of every filled cell of lists (file, value), from files of their own or, as many
-    small files are slow to read, from a table of lists. Rows are counted from 0 below the header; quoted commas stay in their cell."""
-    files = files.select("file", F.split("value", r"\r?\n").alias("lines"))
-    cells = lambda line: F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r""",((?:"(?:[^"]|"")*"|[^,]*))"""), 1)
+def list_cells(lists: DataFrame) -> DataFrame:
+    """The same of lists (file, value) that stand in a table, each whole in one row."""
+    lines = lists.select("file", F.lit(0).alias("piece"), F.posexplode(F.split("value", r"\r?\n")).alias("place", "line"))
+    return record_cells(csv_records(lines))
+
+
+def csv_records(lines: DataFrame) -> DataFrame:
+    """(file, record, text) from lines (file, piece, place, line): lines up to one that leaves no quote open are one record,
+    counted from 0; blank ones are none.
+
+    Whether a quote is open before a line is the parity of all quotes before it in its file: those before it in its piece, which
+    is as much as a task reads, and those of the pieces before, which are sums by piece. Records are numbered in the same way.
+    """
+    line = F.regexp_replace("line", r"\r$", "")
+    lines = lines.withColumns({"line": line, "quotes": F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))})
+
+    def running(df: DataFrame, value: Column, name: str) -> DataFrame:
+        """`df` with the sum of `value` over the lines before."""
+        inside = F.sum(value).over(Window.partitionBy("file", "piece").orderBy("place")) - value
+        sums = df.groupBy("file", "piece").agg(F.sum(value).alias("total"))
+        sums = sums.select("file", "piece", (F.sum("total").over(Window.partitionBy("file").orderBy("piece")) - F.col("total")).alias("before"))
+        return df.withColumn(name, inside).join(sums, ["file", "piece"]).withColumn(name, F.col(name) + F.col("before")).drop("before")
+
+    lines = running(lines, F.col("quotes"), "open").withColumn("starts", F.when(F.col("open") % 2 == 0, 1).otherwise(0))
+    lines = running(lines, F.col("starts"), "record").withColumn("record", F.col("record") + F.col("starts") - 1)
+    parts = F.array_sort(F.collect_list(F.struct("piece", "place", "line")))
+    whole = lines.groupBy("file", "record").agg(F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("text")).where(strip(F.col("text")) != "")
+    return whole
+
+
+def record_cells(records: DataFrame) -> DataFrame:
+    """(file, source_row, col, header, value) of every filled cell; rows are counted from 0 below the header, without blank ones.
+    Quoted commas and line breaks stay in their cell."""
+    cells = lambda text: F.regexp_extract_all(F.concat(F.lit(","), text), F.lit(r""",((?:"[^"]*+(?:""[^"]*+)*+"|[^,]*))"""), 1)
     bare = lambda x: F.replace(F.regexp_replace(strip(x), '^"|"$', ""), F.lit('""'), F.lit('"'))
-    rows = files.select("file", F.col("lines")[0].alias("head"), F.posexplode(F.slice("lines", F.lit(2), F.size("lines"))).alias("source_row", "line")).where("line <> ''")
-    long = rows.select("file", "source_row", cells(F.col("head")).alias("heads"), F.posexplode(cells(F.col("line"))).alias("col", "value"))
+    place = F.row_number().over(Window.partitionBy("file").orderBy("record"))
+    rows = records.withColumn("place", place)
+    heads = rows.where("place = 1").select("file", cells(F.col("text")).alias("heads"))
+    body = rows.where("place > 1").select("file", (F.col("place") - 2).alias("source_row"), F.posexplode(cells(F.col("text"))).alias("col", "value"))
+    long = body.join(heads, "file")
     return long.select("file", "source_row", "col", bare(F.try_element_at("heads", F.col("col") + 1)).alias("header"), filled(bare(F.col("value"))).alias("value")).where("value is not null")
 
 

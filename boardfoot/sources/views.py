@@ -25,6 +25,12 @@ UNION ALL SELECT 1
 UNION ALL SELECT 2
 UNION ALL SELECT 3
 UNION ALL SELECT 4) k
+""",
+    "fx_grid": """
+SELECT upload_id, CAST(t AS INT) AS table_no, CAST(0 AS INT) AS row, CAST(k AS INT) AS col, CASE k WHEN 0 THEN 'Thickness' WHEN 1 THEN concat(species_raw, ' Grade') WHEN 2 THEN 'Color' WHEN 3 THEN 'Qty (BF)' ELSE 'Length' END AS value
+FROM (SELECT DISTINCT upload_id, species_raw, ascii(species_raw) AS t FROM {fx_products_raw}) h CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) c
+UNION ALL SELECT upload_id, CAST(ascii(species_raw) AS INT), CAST(source_row AS INT), CAST(k AS INT), CASE WHEN k = 0 AND is_flagged = 0 THEN thickness_raw WHEN k = 1 AND is_flagged = 0 THEN grade_raw WHEN k = 2 THEN color_raw WHEN k = 3 THEN CASE qty % 500 WHEN 0 THEN 't/l' WHEN 100 THEN 'Call for tally' WHEN 200 THEN concat('approx. ', CAST(qty AS VARCHAR(20))) WHEN 300 THEN 'some' ELSE CAST(qty AS VARCHAR(20)) END WHEN k = 4 AND qty % 300 = 0 THEN '8-10' END
+FROM {fx_products_raw} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) c
 """,
     "fx_uploads": """
 SELECT o_orderkey AS id, CAST(o_orderkey % 25 AS BIGINT) AS group_id, concat('list_', CAST(o_orderkey AS VARCHAR(20)), CASE o_orderkey % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.XLSX' WHEN 2 THEN '.csv' ELSE '.txt' END) AS original_filename, o_custkey AS user_id, CASE o_orderstatus WHEN 'P' THEN 'processing' WHEN 'F' THEN 'failed' ELSE 'parsed' END AS status, o_orderdate AS uploaded_at

@@ -1,35 +1,15 @@
-"""Ingest, daily counts and rate limits as streams."""
+"""Daily counts and rate limits, in batches and as streams."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from boardfoot.operators.lines import ingest
-
-
-def stream_ingest(lines: DataFrame, out: str, checkpoint: str):
-    """Start a query that parses arriving lines (upload_id, line_no, text) into `out`, one folder a batch.
-
-    A batch that runs again replaces its own folder. An upload that arrives again is parsed again; `latest_rows` reads its
-    last version. A batch holds whole uploads.
-    """
-
-    def load(batch: DataFrame, number: int) -> None:
-        ingest(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    return lines.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def latest_rows(spark: SparkSession, out: str) -> DataFrame:
-    """Each upload's rows of its latest batch."""
-    rows = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
-    last = rows.groupBy("upload_id").agg(F.max("batch").alias("batch"))
-    return rows.join(last, ["upload_id", "batch"]).drop("batch")
+from boardfoot.plans.shared import materialize
 
 
 def stream_daily_counts(events: DataFrame, when: str, late: str = "1 day") -> DataFrame:
@@ -57,24 +37,49 @@ def _replay(key, rows: pd.DataFrame, times: list[float]) -> tuple[pd.DataFrame,
 SCHEMA = "id long, ip string, allowed int, wait int"
 
 
+def quiet_stretches(attempts: DataFrame, window: float = 300.0) -> DataFrame:
+    """`attempts` with `since`, the time of the last attempt before which no attempt of the ip had failed for `window` seconds.
+
+    At such an attempt nothing recorded is left, whatever came before, so what lies between two of them can be judged by itself.
+    Times are cut into pieces as long as the window. Only failures of the same and of the piece before can be near enough, so a
+    row looks at its own piece and at one number of the piece before; which stretch a piece begins in is carried from piece to
+    piece by one number each. No task sees all attempts of an ip.
+    """
+    rows = attempts.withColumn("piece", F.floor(F.col("t") / window))
+    rows = materialize(rows.select("id", "ip", "t", "failed", "piece"), "attempts")
+    within = Window.partitionBy("ip", "piece").orderBy("t", "id")
+    failed_at = F.when(F.col("failed") == 1, F.col("t"))
+    ends = rows.groupBy("ip", "piece").agg(F.max(failed_at).alias("last")).where("last is not null")
+    before = ends.select("ip", (F.col("piece") + 1).alias("piece"), F.col("last").alias("piece_before"))
+    same = (F.col("a.ip").eqNullSafe(F.col("b.ip"))) & (F.col("a.piece") == F.col("b.piece"))
+    rows = rows.alias("a").join(before.alias("b"), same, "left").select("a.*", "piece_before")
+    last = F.coalesce(F.max(failed_at).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.col("piece_before"))
+    start = F.when(last.isNull() | (F.col("t") - last >= window), F.col("t"))
+    rows = materialize(rows.withColumn("start", start).withColumn("own", F.max("start").over(within.rowsBetween(Window.unboundedPreceding, 0))), "starts")
+    by_piece = rows.groupBy("ip", "piece").agg(F.max("start").alias("start"))
+    carried = by_piece.select("ip", "piece", F.last("start", ignorenulls=True).over(Window.partitionBy("ip").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    return rows.alias("a").join(carried.alias("b"), same).select("a.id", "a.ip", "a.t", "a.failed", F.coalesce("a.own", "b.carried").alias("since"))
+
+
 def rate_limit(attempts: DataFrame) -> DataFrame:
-    """Verdicts on attempts (id, ip, t in seconds, failed). Each depends on those before it from the same ip, so an ip's
-    attempts pass one task in order, a batch at a time."""
+    """Verdicts on attempts (id, ip, t in seconds, failed). Each depends on those before it from the same ip, back to where the ip
+    has been quiet (`quiet_stretches`); a stretch passes one task in order, a batch at a time, and an ip is many tasks."""
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The rows of some ips, one ip after another in order of time; only an ip's recorded attempts go from batch to batch."""
+        """The rows of some stretches, one after another in order of time; only recorded attempts go from batch to batch."""
         last, times = None, []
         for batch in batches:
             out = []
-            for ip, rows in batch.groupby("ip", sort=False, dropna=False):
-                same = ip == last or (pd.isna(ip) and last is pd.NA)
-                done, times = _replay(None if pd.isna(ip) else ip, rows, times if same else [])
-                last = pd.NA if pd.isna(ip) else ip
+            for (ip, since), rows in batch.groupby(["ip", "since"], sort=False, dropna=False):
+                key = (None if pd.isna(ip) else ip, since)
+                done, times = _replay(key[0], rows, times if key == last else [])
+                last = key
                 out.append(done)
             if out:
                 yield pd.concat(out)
 
-    return attempts.select("id", "ip", "t", "failed").repartition("ip").sortWithinPartitions("ip", "t", "id").mapInPandas(replay, SCHEMA)
+    cut = quiet_stretches(attempts.select("id", "ip", F.col("t").cast("double").alias("t"), "failed"))
+    return cut.repartition("ip", "since").sortWithinPartitions("ip", "since", "t", "id").mapInPandas(replay, SCHEMA)
 
 
 def stream_rate_limit(attempts: DataFrame) -> DataFrame:

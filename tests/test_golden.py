@@ -110,7 +110,36 @@ def test_csv_files(spark, tmp_path):
     got = {r["source_row"]: r for r in csv_lists.csv_rows(cells).collect()}
     assert {k: (r["species"], r["thickness"], r["quantity"], r["quantity_numeric"], r["product"]) for k, r in got.items()} == {
         0: ("Cherry", "4/4", "1,200 BF", 1200.0, "4/4 FAS"),
-        2: ("Ash", "8/4", "call", None, "8/4 Ash, kiln dried"),
+        1: ("Ash", "8/4", "call", None, "8/4 Ash, kiln dried"),
     }
     tables = spark.createDataFrame([("a", (tmp_path / "a.csv").read_text())], "file string, value string")
     assert csv_lists.list_cells(tables).drop("file").exceptAll(cells.drop("file")).count() == 0
+
+
+def test_csv_line_breaks_in_quotes(spark, tmp_path):
+    """Breaks and quotes inside cells, blank lines between records and inside a cell, in files read in pieces of a few lines."""
+    rows = [(f"4/4 {k}", 'said ""x"",\n\n' + "note " * (k % 5) + "\nend") for k in range(40)]
+    text = "Product,Species\n" + "\n \n".join(f'{p},"{s}"' for p, s in rows) + "\n"
+    (tmp_path / "a.csv").write_text(text)
+    (tmp_path / "b.csv").write_text('Species\n"Ash\r\nOak"\nElm')
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, "64b")
+        cells = csv_lists.read_csv_cells(spark, str(tmp_path)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got = {(r["file"][-5:], r["source_row"], r["header"]): r["value"] for r in cells}
+    want = {("a.csv", k, h): v for k, (p, s) in enumerate(rows) for h, v in (("Product", p), ("Species", s.replace('""', '"')))}
+    assert got == want | {("b.csv", 0, "Species"): "Ash\nOak", ("b.csv", 1, "Species"): "Elm"}
+
+
+def test_sheet_mill_info(spark):
+    """A two-column sheet tells its mill in column H only; another one above its header."""
+    two = [(r, c, v, None) for r, c, v in ((1, 1, "Stock of the week"), (1, 8, " "), (2, 8, "Brown and Sons"), (3, 8, "Brown Hardwood"), (4, 8, "ph 555-123"), (5, 8, "a@mill.example.com"), (9, 8, "z@late.example.com"), (10, 1, "white ash 1@2 lumber"), (3, 9, "x"), (3, 14, "y"))]
+    two += [(r, 7, str(r), float(r)) for r in range(9, 21)]
+    one = [(1, 1, "Springfield Lumber Co.", None), (2, 1, "sales@mill.example.com", None), (2, 2, "Springfield, PA 12345", None), (3, 1, "Species", None), (3, 2, "Grade", None), (4, 8, "b@late.example.com", None)]
+    df = spark.createDataFrame([(1, *r) for r in two] + [(2, *r) for r in one], "upload_id long, row int, col int, value string, num_value double")
+    got = {r["upload_id"]: tuple(r)[1:] for r in sheets.sheet_mill_info(df).collect()}
+    assert got == {1: ("Brown and Sons", "a@mill.example.com", "ph 555-123", None), 2: ("Springfield Lumber Co.", "sales@mill.example.com", None, "Springfield, PA 12345")}

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from boardfoot.operators import lines, scoring
 from boardfoot.sources.views import view
-from boardfoot.streaming import jobs
+from boardfoot.streaming import ingest, jobs
 
 DIR = "/root/testdata/sf0.001"
 
@@ -36,11 +36,13 @@ def test_ingest_plan_has_one_shuffle_on_upload(spark):
 def test_redelivered_upload_replaces_its_rows(spark, tmp_path):
     schema = "upload_id long, line_no long, text string"
     inside = str(tmp_path / "in")
-    for batch in ([(1, 0, "CHERRY"), (1, 1, "T/L 4/4 FAS")], [(1, 0, "WALNUT"), (1, 1, "T/L 8/4 FAS"), (2, 0, "RED ELM"), (2, 1, "T/L 4/4 FAS")]):
+    more = [(k, f"T/L {k}/4 FAS") for k in (5, 6)]  # a file's text counts from three rows on
+    first, second = [(0, "CHERRY"), (1, "T/L 4/4 FAS"), *more], [(0, "WALNUT"), (1, "T/L 8/4 FAS"), *more]
+    for batch in ([(1, *r) for r in first], [(1, *r) for r in second] + [(2, 0, "RED ELM"), (2, 1, "T/L 4/4 FAS"), *[(2, *r) for r in more]]):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(inside)
         stream = spark.readStream.schema(schema).parquet(inside)
-        jobs.stream_ingest(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    got = jobs.latest_rows(spark, str(tmp_path / "out")).select("upload_id", "species", "thickness").collect()
+        ingest.stream_ingest(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    got = ingest.latest_rows(spark, str(tmp_path / "out")).where("source_row = 0").select("upload_id", "species", "thickness").collect()
     assert sorted(map(tuple, got)) == [(1, "Walnut", "8/4"), (2, "Red Elm", "4/4")]
 
 
