@@ -66,17 +66,18 @@ def rate_limit(attempts: DataFrame) -> DataFrame:
     has been quiet (`quiet_stretches`); a stretch passes one task in order, a batch at a time, and an ip is many tasks."""
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The rows of some stretches, one after another in order of time; only recorded attempts go from batch to batch."""
+        """The rows of some stretches, one after another in order of time; only recorded attempts go from row to row."""
         last, times = None, []
         for batch in batches:
-            out = []
-            for (ip, since), rows in batch.groupby(["ip", "since"], sort=False, dropna=False):
-                key = (None if pd.isna(ip) else ip, since)
-                done, times = _replay(key[0], rows, times if key == last else [])
-                last = key
-                out.append(done)
-            if out:
-                yield pd.concat(out)
+            ips = batch["ip"].astype(object).where(batch["ip"].notna(), None)
+            verdicts = []
+            for ip, since, at, failed in zip(ips, batch["since"], batch["t"], batch["failed"]):
+                if (ip, since) != last:
+                    last, times = (ip, since), []
+                allowed, wait, times = decide(times, at, bool(failed))
+                verdicts.append((int(allowed), wait))
+            allowed, wait = zip(*verdicts) if verdicts else ((), ())
+            yield pd.DataFrame({"id": batch["id"], "ip": ips, "allowed": list(allowed), "wait": list(wait)})
 
     cut = quiet_stretches(attempts.select("id", "ip", F.col("t").cast("double").alias("t"), "failed"))
     return cut.repartition("ip", "since").sortWithinPartitions("ip", "since", "t", "id").mapInPandas(replay, SCHEMA)
