@@ -3,7 +3,9 @@
 Vectors are scaled to unit length and cut into parts of two components; each part is one of 16 centres (four bits). Centres
 and codes minimise ``parallel * (residual along the vector)**2 + across * (rest of the residual)**2``: an error along the
 vector changes its largest inner products most, so it weighs more. A query makes a table of its inner products with all
-centres; sums of table entries rank the codes, and the best of each block are scored again on the original vectors.
+centres; sums of table entries rank the codes, and the best of each block are scored again on the original vectors. How far the
+two scores lie apart for these tells how far down the codes the true best can be: all down to there are scored again as well, so
+in a dense group, whose codes cannot be told apart, all members are.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from boardfoot.llm.range_join import matrix, unit, usable
 from boardfoot.plans.shared import materialize
 
 CENTRES, PART = 16, 2
+#: Rows beyond k that a block hands on, for scores that differ only by rounding; scores are compared to so many digits there.
+SPARE, DIGITS = 16, 12
 
 
 def _parts(x: np.ndarray) -> np.ndarray:
@@ -68,13 +72,15 @@ def fit_centres(x: np.ndarray, ratio: float, rounds: int = 6, seed: int = 2) ->
     return centres
 
 
-def nearest(rows: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = 128, sample: int = 10_000, parallel_at: float = 0.2, block: int = 1 << 18) -> DataFrame:
+def nearest(rows: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = 128, sample: int = 10_000, parallel_at: float = 0.2, block: int = 1 << 16, margin: float = 3.0) -> DataFrame:
     """(query_id, rank, vec_id, score): of each row whose id is a multiple of `every`, the k other rows of largest cosine found.
 
     Score is the cosine of the original vectors in double precision; ties go to the smaller id. Vectors that are null, zero
     or hold null or non-finite components, and rows without an id, take no part, neither as queries. All vectors have one
     length. If ids repeat, rows of the query's own id are no candidates. Centres are fitted on at most `sample` rows, chosen by the hash of
-    the id; all rows are encoded. `rerank` codes a block and query are scored exactly; a block holds up to `block` vectors.
+    the id; all rows are encoded. Of a block of up to `block` vectors the best `rerank` codes are scored exactly for each query, and then
+    every code whose sum is not below the k-th exact score by more than `margin` times the root mean square of those codes' errors:
+    there is no cap. Work is the stated queries against all codes; what leaves a block is `k` rows and SPARE more a query.
     `parallel_at` is the cosine from which scores matter; it sets the weight of errors along the vector.
     """
     spark = rows.sparkSession
@@ -94,23 +100,23 @@ def nearest(rows: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id"
     shared = spark.sparkContext.broadcast(fit_centres(x, max(1.0, ratio)))  # dim * 16 numbers
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks: ids in order, and codes two to a byte."""
-        ids, codes = [], []
+        """Blocks: ids in order, codes two to a byte, and the vectors at unit length."""
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            i, c = np.concatenate(ids), np.concatenate(codes)
+            i, c, x = (np.concatenate(a) for a in zip(*held))
             by_id = np.argsort(i, kind="stable")
-            ids.clear(), codes.clear()
-            return pa.RecordBatch.from_arrays([pa.array([i[by_id].tobytes()], pa.binary()), pa.array([np.ascontiguousarray(c[by_id].T).tobytes()], pa.binary())], ["ids", "codes"])
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in (i[by_id], np.ascontiguousarray(c[by_id].T), x[by_id])], ["ids", "codes", "units"])
 
         for b in batches:
             if b.num_rows:
-                found = anisotropic_encode(unit(matrix(b.column("vector"))), shared.value, max(1.0, ratio))
-                ids.append(b.column("id").to_numpy())
-                codes.append(found[:, ::2] << 4 | found[:, 1::2])
-            if sum(map(len, ids)) >= block:
+                x = unit(matrix(b.column("vector")))
+                found = anisotropic_encode(x, shared.value, max(1.0, ratio))
+                held.append((b.column("id").to_numpy(), found[:, ::2] << 4 | found[:, 1::2], x))
+            if sum(len(h[0]) for h in held) >= block:
                 yield flush()
-        if ids:
+        if held:
             yield flush()
 
     def lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,32 +131,37 @@ def nearest(rows: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id"
             for r in range(b.num_rows):
                 ids, q = (np.frombuffer(b.column(c)[r].as_py(), np.int64) for c in ("ids", "queries"))
                 codes = np.frombuffer(b.column("codes")[r].as_py(), np.uint8).reshape(-1, len(ids))
-                vectors = _parts(unit(np.frombuffer(b.column("vectors")[r].as_py()).reshape(len(q), -1)))
-                table = np.einsum("qmp,mcp->qmc", vectors, centres).astype(np.float32)
+                units = np.frombuffer(b.column("units")[r].as_py()).reshape(len(ids), -1)
+                wanted = unit(np.frombuffer(b.column("vectors")[r].as_py()).reshape(len(q), -1))
+                table = np.einsum("qmp,mcp->qmc", _parts(wanted), centres).astype(np.float32)
                 pair = (table[:, ::2, :, None] + table[:, 1::2, None, :]).reshape(len(q), len(codes), 256)
                 out_q, out_v, out_s = [], [], []
                 for i, query in enumerate(q):
-                    score = pair[i, 0][codes[0]]
+                    rough = pair[i, 0][codes[0]]
                     for j in range(1, len(codes)):
-                        score += pair[i, j][codes[j]]
-                    score[ids == query] = -np.inf
-                    top = min(rerank, len(ids))
-                    least = np.partition(score, len(ids) - top)[len(ids) - top]
-                    over, equal = np.flatnonzero(score > least), np.flatnonzero(score == least)
-                    best = np.concatenate([over, equal[: top - len(over)]])  # ids ascend, so ties go to the smaller
-                    best = best[score[best] > -np.inf]
+                        rough += pair[i, j][codes[j]]
+                    others = np.flatnonzero(ids != query)
+                    if len(others) > rerank:
+                        some = others[np.argpartition(rough[others], len(others) - rerank)[len(others) - rerank :]]
+                        exact = units[some] @ wanted[i]
+                        error = np.sqrt(np.mean((exact - rough[some]) ** 2))
+                        least = np.partition(exact, len(exact) - k)[len(exact) - k] - margin * error if k <= rerank else -np.inf
+                        others = np.union1d(some, others[rough[others] >= least])
+                    exact = np.round(np.einsum("ij,j->i", units[others], wanted[i]), DIGITS)
+                    # Ids ascend, so of equal scores those of smaller ids come first.
+                    best = np.argsort(-exact, kind="stable")[: k + SPARE]
                     out_q.append(np.full(len(best), query))
-                    out_v.append(ids[best])
-                    out_s.append(score[best])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)) for a in (out_q, out_v, out_s)], ["query_id", "id", "rough"])
+                    out_v.append(ids[others[best]])
+                    out_s.append(exact[best])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)) for a in (out_q, out_v, out_s)], ["query_id", "id", "near"])
 
-    codes = materialize(fit.mapInArrow(encode, "ids binary, codes binary"), "codes")
+    codes = materialize(fit.mapInArrow(encode, "ids binary, codes binary, units binary"), "codes")
     queries = fit.where(F.col("id") % every == 0)
     asked = materialize(queries.mapInArrow(lots, "queries binary, vectors binary"), "queries")
     # A stated set of queries against all rows, block by block: some rows of this product, each a block of either side.
-    rough = codes.crossJoin(asked).mapInArrow(scan, "query_id long, id long, rough float")
-    by_rough = Window.partitionBy("query_id").orderBy(F.desc("rough"), "id")
-    few = rough.withColumn("r", F.row_number().over(by_rough)).where(F.col("r") <= rerank).select("query_id", "id").distinct()
+    found = codes.crossJoin(asked).mapInArrow(scan, "query_id long, id long, near double")
+    by_near = Window.partitionBy("query_id").orderBy(F.desc("near"), "id")
+    few = found.withColumn("r", F.row_number().over(by_near)).where(F.col("r") <= k + SPARE).select("query_id", "id").distinct()
     few = few.join(fit, "id").join(queries.select(F.col("id").alias("query_id"), F.col("vector").alias("query")), "query_id")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     # Scaled by a power of two, which changes no digit, so that squares neither overflow nor vanish.

@@ -65,3 +65,25 @@ def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 2), (5, 5), (9, 8), (8, 7), (100, 7), *[(50, i) for i in range(51, 90)]]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "x long, y long"), "x", "y").collect()}
     assert got == {**{i: 1 for i in (1, 2, 3)}, **{i: 7 for i in (7, 8, 9, 100)}, **{i: 50 for i in range(50, 90)}}
+
+
+@pytest.mark.parametrize("near, n", [(1000, 3000), (2000, 2500)])
+def test_nearest_in_a_dense_group(spark, near, n):
+    """Codes cannot tell the members of a group around one centre apart; each is scored all the same. Copies go by the smaller id."""
+    rng = np.random.default_rng(near)
+    x = rng.normal(size=(n, 64))
+    x[:near] = x[0] / np.linalg.norm(x[0]) + 0.05 * rng.normal(size=(near, 64))
+    x[n - 200 : n] = x[n - 1]
+    x = x[rng.permutation(n)]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {}
+    for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), block=1000).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    shares = []
+    for q, found in got.items():
+        score = np.round(u @ u[q], 12)
+        score[q] = -2
+        want = np.lexsort((np.arange(n), -score))[:5]
+        shares.append(len(set(want.tolist()) & set(found.values())) / 5)
+    assert len(got) == n // 50 and min(shares) >= 0.8 and np.mean(shares) >= 0.99
