@@ -165,11 +165,13 @@ def append_products(parsed: DataFrame, uploads: DataFrame, mills: DataFrame) ->
     return rows.join(mills.select("group_id", F.col("name").alias("mill_name"), F.col("id").alias("mill_id")), ["group_id", "mill_name"], "left")
 
 
-def replace_upload_rows(products: DataFrame, fresh: DataFrame) -> DataFrame:
-    """`products` with all rows of the uploads in `fresh` replaced by those there. The mill is the new name, else the old, else unknown."""
+def replace_upload_rows(products: DataFrame, fresh: DataFrame, uploads: DataFrame | None = None) -> DataFrame:
+    """`products` with all rows of the uploads in `fresh` replaced by those there. The mill is the new name, else the old, else unknown.
+    `uploads` (upload_id) names uploads parsed again, also those in which nothing was found now."""
     old = products.where(F.col("mill_name") != "Unknown Mill").groupBy("upload_id").agg(F.min("mill_name").alias("old_name"))
     rows = fresh.join(old, "upload_id", "left").withColumn("mill_name", F.coalesce("mill_name", "old_name", F.lit("Unknown Mill")))
-    kept = products.join(fresh.select("upload_id").distinct(), "upload_id", "left_anti")
+    again = fresh.select("upload_id") if uploads is None else fresh.select("upload_id").unionByName(uploads.select("upload_id"))
+    kept = products.join(again.distinct(), "upload_id", "left_anti")
     return kept.select(*fresh.columns).unionByName(rows.select(*fresh.columns))
 
 

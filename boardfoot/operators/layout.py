@@ -28,7 +28,7 @@ def words_to_columns(words: DataFrame) -> DataFrame:
     j = lines.join(column_boundaries(lines), "upload_id")
     mids = F.zip_with(F.slice("bounds", F.lit(1), F.size("bounds") - 1), F.slice("bounds", F.lit(2), F.size("bounds") - 1), lambda a, b: (a + b) / 2)
     col = F.when(F.size("bounds") > 1, F.size(F.filter(mids, lambda m: m <= F.col("x0")))).otherwise(0)
-    per = j.withColumn("col", col).groupBy("upload_id", "y", "col").agg(F.array_sort(F.collect_list(F.struct("x0", "seq", "text"))).alias("w"))
+    per = j.withColumn("col", col).groupBy("upload_id", "y", "col").agg(F.sort_array(F.collect_list(F.struct("x0", "seq", "text"))).alias("w"))
     return per.select("upload_id", "y", "col", F.array_join(F.transform("w", lambda s: s["text"]), " ").alias("text"))
 
 

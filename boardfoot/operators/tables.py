@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boardfoot.functions.normalize import normalize_grade, normalize_species, normalize_thickness, product_string
@@ -29,23 +29,27 @@ def table_maps(grid: DataFrame, least: int = WIDE) -> DataFrame:
     """(upload_id, table_no, part, species, and for each field the column that holds it): one row a table, or one a species for
     tables that are `least` cells wide. Of several columns of a field the last counts."""
     head = grid.where("row = 0").withColumn("value", strip(F.coalesce("value", F.lit(""))))
-    width = head.groupBy(*KEY).agg((F.max("col") + 1).alias("width"))
-    head = head.join(width, KEY).withColumn("low", F.lower("value"))
-
-    x = F.col("value")
+    head = head.withColumn("width", F.max("col").over(Window.partitionBy(*KEY)) + 1)
+    # What a header cell says is worked out once a text, of which there are few.
+    x, low = F.col("value"), F.lower("value")
     named = F.coalesce(found(x, r"^([A-Za-z][A-Za-z\s]+?)[\s:]+(?:Grade|grade|GRADE)", 1), F.when(is_species_header(x), F.regexp_replace(x, ":+$", "")))
-    one = head.where(F.col("width") < least).withColumns({"field": F.when(F.col("low") != "", _field(F.col("low"), FIELDS)), "named": named})
+    group = strip(found(x, r"^([A-Za-z ]+?)[\s:]+(?:Grade|grade)", 1))
+    told = head.select("value").distinct().select("value", F.when(low != "", _field(low, FIELDS)).alias("field"), named.alias("named"), _field(low, GROUP_FIELDS).alias("group_field"), group.alias("group"))
+    head = head.join(told, "value")
+
+    one = head.where(F.col("width") < least)
     at = lambda k: F.coalesce(F.max(F.when(F.col("field") == k, F.col("col"))), F.when(F.max("width") > DEFAULTS[k], F.lit(DEFAULTS[k])) if k in DEFAULTS else F.lit(None)).cast("int").alias(f"c_{k}")
     one = one.groupBy(*KEY).agg(F.min_by("named", F.when(F.col("named").isNotNull(), F.col("col"))).alias("named"), *[at(k) for k in NAMES]).withColumn("part", F.lit(0))
 
     wide = head.where(F.col("width") >= least)
-    starts = wide.select(*KEY, F.col("col").alias("part"), strip(found(x, r"^([A-Za-z ]+?)[\s:]+(?:Grade|grade)", 1)).alias("named")).where("named is not null")
-    field = wide.select(*KEY, "col", _field(F.col("low"), GROUP_FIELDS).alias("field")).where("field is not null")
+    starts = wide.select(*KEY, F.col("col").alias("part"), F.col("group").alias("named")).where("named is not null")
+    field = wide.select(*KEY, "col", F.col("group_field").alias("field")).where("field is not null")
     spans = starts.join(field, KEY, "left").withColumn("field", F.when((F.col("col") > F.col("part")) & (F.col("col") <= F.col("part") + REACH), F.col("field")))
     held = lambda k: F.max(F.when(F.col("field") == k, F.col("col"))).cast("int").alias(f"c_{k}")
     many = spans.groupBy(*KEY, "part", "named").agg(*[held(k) for k, _ in GROUP_FIELDS]).withColumns({"c_thickness": F.col("part").cast("int"), "c_price": F.lit(None).cast("int")})
     both = one.unionByName(many.select(*one.columns))
-    return both.withColumn("species", normalize_species(F.col("named"))).drop("named")
+    names = both.select("named").where("named is not null").distinct().withColumn("species", normalize_species(F.col("named")))
+    return both.join(names, "named", "left").drop("named")
 
 
 def quantity_of(text: Column) -> tuple[Column, Column]:
@@ -64,7 +68,7 @@ def grid_rows(grid: DataFrame, least: int = WIDE) -> DataFrame:
     """
     data = grid.where("row > 0")
     cell = F.struct("col", "value")
-    rows = data.groupBy(*KEY, "row").agg(F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), cell))).alias("cells"))
+    rows = data.groupBy(*KEY, "row").agg(F.sort_array(F.collect_list(F.when(F.col("value").isNotNull(), cell))).alias("cells"))
     rows = rows.withColumn("raw_text", F.array_join(F.transform("cells", lambda c: c["value"]), " | ")).where(~is_noise(F.col("raw_text")))
     get = lambda k: filled(strip(F.get(F.filter("cells", lambda c: c["col"] == F.col(f"c_{k}")), F.lit(0))["value"]))
     rows = rows.join(table_maps(grid, least), KEY).withColumns({k: get(k) for k in NAMES})

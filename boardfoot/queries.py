@@ -628,7 +628,7 @@ def io6_stored_changes(t):
     spark, uploads = p.sparkSession, t("fx_uploads")
     long = p.where("source_row = 6").select("upload_id")
     fresh = p.join(long, "upload_id", "left_semi").where("is_flagged = 0").withColumns({"id": F.col("id") + 1_000_000_000, "mill_name": F.lit(None).cast("string")})
-    store.replace_uploads(spark, path, fresh.select(*p.columns))
+    store.replace_uploads(spark, path, fresh.select(*p.columns), long)
     store.rename_mills(spark, path, uploads.where("status = 'processing'").select(F.col("id").alias("upload_id"), F.concat(F.lit("Renamed "), "id").alias("new_name")))
     store.delete_uploads(spark, path, uploads, uploads.where(F.col("uploaded_at") >= F.lit("1998-01-01").cast("timestamp_ntz")).select("id", "group_id"))
     return store.read_products(spark, path).select("id", "upload_id", "mill_name", "species")
@@ -1022,12 +1022,12 @@ def k4_page_results(t):
     return search.page_results(found, 50, 10).select("query_id", "id", F.col("rank").cast("long").alias("rank"), "total")
 
 
-@query("fx_products fx_searches", f"SELECT query_id, id FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank FROM ({LIKE})) WHERE rank BETWEEN 61 AND 90")
+@query("fx_products fx_searches", f"SELECT query_id, id FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank FROM ({LIKE})) WHERE rank BETWEEN 11 AND 30")
 def k4_next_page(t):
-    """The third page of each query, from the last result of the second."""
+    """Twenty results of each query behind its tenth."""
     found = materialize(search.partial_search(*stored(t)).select("query_id", "id", F.lit(2).alias("tier"), F.lit(0.5).alias("score")), "found")
-    seen = search.page_results(found, 1, 59).select("query_id", "tier", "score", "id")
-    return search.results_after(found.join(seen.select("query_id"), "query_id", "left_semi"), seen, 30).select("query_id", "id")
+    seen = search.page_results(found, 1, 9).select("query_id", "tier", "score", "id")
+    return search.results_after(found.join(seen.select("query_id"), "query_id", "left_semi"), seen, 20).select("query_id", "id")
 
 
 @query("fx_products fx_searches", f"SELECT s.id, s.user_id, s.query, coalesce(n, 0) AS result_count FROM fx_searches s JOIN ({ASKED}) a ON a.group_id = s.group_id AND a.query = s.query LEFT JOIN (SELECT query_id, count(*) AS n FROM ({LIKE}) GROUP BY 1) r ON r.query_id = a.query_id")

@@ -45,7 +45,7 @@ def csv_records(lines: DataFrame) -> DataFrame:
 
     lines = running(lines, F.col("quotes"), "open").withColumn("starts", F.when(F.col("open") % 2 == 0, 1).otherwise(0))
     lines = running(lines, F.col("starts"), "record").withColumn("record", F.col("record") + F.col("starts") - 1)
-    parts = F.array_sort(F.collect_list(F.struct("piece", "place", "line")))
+    parts = F.sort_array(F.collect_list(F.struct("piece", "place", "line")))
     whole = lines.groupBy("file", "record").agg(F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("text")).where(strip(F.col("text")) != "")
     return whole
 
