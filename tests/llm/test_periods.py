@@ -68,7 +68,7 @@ def expected(i, text):
 def test_rows(spark):
     """Null and empty texts, separators of all kinds and signs that are none, repeated and null ids, a long text, clashing names."""
     rng = random.Random(1)
-    texts = [None, "", " \t\n", "a", "a b " * 9, "ha ha\tha\nha\x0bha\x0cha ha", "x y x y", "é\x1cü " * 7, "w\x00 " * 6, "ab " * 70_000]
+    texts = [None, "", " \t\n", "a", "a b " * 9, "ha ha\tha\nha\x0bha\x0cha ha", "x y x y", "é\x1cü " * 7, "w\x00 " * 6, "ab " * 3_000]
     texts += [" ".join(rng.choice("abc") for _ in range(rng.randrange(200))) for _ in range(60)]
     rows = [(i if i % 9 else None, t, 1, "x") for i, t in enumerate(texts)] + [(5, texts[5], 2, "y")] * 2
     df = spark.createDataFrame(rows, "doc_id long, text string, runs int, id string").repartition(3)
