@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +26,11 @@ from boardfoot.plans.shared import lower_batches
 
 
 def pii_key(spark: SparkSession) -> str:
-    """The secret on which replacements depend, from the session's configuration; without it a public value, fit for tests only."""
-    return spark.conf.get("spark.boardfoot.pii.key", "not-a-secret")
+    """The secret on which replacements depend, from the session's configuration; without it a public value, fit for tests only, and a warning."""
+    key = spark.conf.get("spark.boardfoot.pii.key", None)
+    if key is None:
+        warnings.warn("spark.boardfoot.pii.key is not set: surrogates are made with a public key, from which who knows it can tell them", stacklevel=2)
+    return key or "not-a-secret"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from boardfoot.llm.surrogates import canonical, clashes, mentions, replace_pii
+from boardfoot.llm.surrogates import canonical, clashes, mentions, replace_pii, surrogates
 
 HEX40 = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
 
@@ -99,3 +99,63 @@ def test_very_long_text(spark):
     text = "word " * 50_000 + "a.b@mail.example.com " + "word " * 50_000
     got = replaced(spark, [text])[0]
     assert got.startswith("word word") and "a.b@mail" not in got and "@example.org" in got and abs(len(got) - len(text)) < 20
+
+
+def shape(text):
+    return re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "0", text))
+
+
+def test_names_with_marks_capitals_and_particles(spark):
+    old = ["Mr Jean-Luc Picard met Mr. O'Brien, MR LI and Mr.Gold's dog", "Herr Müller-Lüdenscheidt Dr McDonald Mr D'Angelo Mr José Núñez", "Frau Prof. Dr. Anna Weiß", "Dr J. R. Smith and Mr Ludwig van Beethoven", "Mr LI, Mr Li"]
+    new = replaced(spark, old)
+    for name in ("Jean", "Luc", "Picard", "Brien", "LI ", "Gold", "Müller", "Lüden", "McDonald", "Angelo", "José", "Núñez", "Anna", "Weiß", "Smith", "Ludwig", "Beethoven"):
+        assert name not in " ".join(new), name
+    assert re.fullmatch(r"Mr [A-Z][a-z]+-[A-Z][a-z]+o [A-Z][a-z]+ met Mr\. [A-Z]'[A-Z][a-z]+, MR [A-Z]{2} and Mr\.[A-Z][a-z]+'s dog", new[0])
+    assert re.fullmatch(r"Frau Prof\. Dr\. [A-Z][a-z]+a [A-Z][a-z]+", new[2])
+    assert re.fullmatch(r"Dr J\. R\. [A-Z][a-z]+ and Mr [A-Z][a-z]+o van [A-Z][a-z]+", new[3])
+    first, second = re.fullmatch(r"Mr ([A-Z]+), Mr ([A-Z][a-z]+)", new[4]).groups()
+    assert first.lower() == second.lower()
+
+
+def test_full_names_without_a_title(spark):
+    """They take the replacement of the titled mention, in their own text only, and count; parts of other names stay."""
+    text = "Mrs Maria Garcia came. Then Maria Garcia left; Yesterday Maria Garcia, Anna-Maria Garcia. MARIA GARCIA"
+    df = spark.createDataFrame([(0, text, 1), (1, "Maria Garcia alone, Dr Ana Gold, Mrs Ana Gold, Ana Gold", 1)], "doc_id int, text string, cut int")
+    rows = replace_pii(df, "k").orderBy("doc_id").collect()
+    full = re.match(r"Mrs ([A-Z][a-z]+a [A-Z][a-z]+) came", rows[0]["text"])[1]
+    assert rows[0]["text"] == f"Mrs {full} came. Then {full} left; Yesterday {full}, Anna-Maria Garcia. {full.upper()}" and rows[0]["n_entities"] == 4 and rows[0]["cut"] == 1
+    assert rows[1]["text"].startswith("Maria Garcia alone, Dr ") and "Ana" not in rows[1]["text"] and "Gold" not in rows[1]["text"] and rows[1]["n_entities"] == 3
+
+
+def test_addresses_in_short_form_and_reserved_ranges(spark):
+    old = ["fe80::1 and 2001:db8::ff00:42:8329", "std::cout a::b 12:30:45 12::30 Feed::Back ::1 :: 2001:db8::/32", "8.8.8.8"]
+    new = replaced(spark, old)
+    assert re.fullmatch("fd[0-9a-f]{2}::[0-9a-f] and fd[0-9a-f]{2}:[0-9a-f]{3}::[0-9a-f]{4}:[0-9a-f]{2}:[0-9a-f]{4}", new[0])
+    assert new[1] == old[1] and new[2].startswith("10.")
+    pieces = F.array(*[F.struct(F.lit(t).alias("text"), F.lit(k).alias("kind")) for t, k in (("8.8.8.8", "ip"), ("fe80::1", "ip6"))])
+    for attempt, (four, six) in {1: ("10[.].*", "fd..::."), 2: (r"2[45]\d[.].*", "fd..::."), 5: (r"2[45]\d[.].*", "fd..::."), 9: ("fd..(:[0-9a-f]{4}){7}", "fd..(:[0-9a-f]{4}){7}")}.items():
+        got = spark.range(1).select(surrogates(pieces, "k", lambda kind, value: F.lit(attempt)).alias("s")).first()["s"]
+        assert re.fullmatch(four, got[0]) and re.fullmatch(six, got[1])
+
+
+def test_many_addresses_with_few_short_forms(spark):
+    """More addresses than their short form has values: the rest grow, and all stay distinct."""
+    old = [f"fe80::{i:x}" for i in range(1, 16)] + [f"fd{i:02x}::{i % 10}" for i in range(256)]
+    new = replaced(spark, old)
+    assert len(set(new)) == len(set(old)) and not set(new) & set(old)
+
+
+def test_newer_keys(spark):
+    old = ["sk-proj-abcDEF123_456-ghiJKL789", "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.abc-DEF_1234567", "sk_live_abcdefABCDEF123456", "github_pat_11ABCDEFG0abcdefghij_KLMNOP", "AIza" + "aB3-_" * 7]
+    new = replaced(spark, [f"k {t} end" for t in old] + ["sk-learn-compatible-estimators"])
+    for o, n in zip(old, new):
+        n = n.split(" ")[1]
+        assert n != o and n[-6:] != o[-6:] and shape(n) == shape(o)
+    assert [n.split(" ")[1][:4] for n in new[:5]] == ["sk-p", "eyJ" + new[1].split(" ")[1][3], "sk_l", "gith", "AIza"] and new[5] == "sk-learn-compatible-estimators"
+
+
+def test_scripts_are_kept(spark):
+    new = replaced(spark, ["Mr Γιάννης Παππάς", "Κυρία Μαρία Παππά", "γιάννης@παράδειγμα.ελ", "日本@例え.jp", "محمد@mail.example.com"])
+    assert re.fullmatch("Mr [Α-Ω][α-ω]+ος [Α-Ω][α-ω]+", new[0]) and re.fullmatch("Κυρία [Α-Ω][α-ω]+α [Α-Ω][α-ω]+", new[1])
+    assert re.fullmatch(r"[α-ω]{7}\.[0-9a-f]{8}@example\.org", new[2])
+    assert re.fullmatch(r"[一-鿿]{2}\..*", new[3]) and re.fullmatch(r"[؀-ۿ]{4}\..*", new[4])
