@@ -72,14 +72,22 @@ LETTERS, HEX = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
 #: 240/4, and from attempt KEPT on eight groups of the unique local fd00::/8.
 KEPT = 6
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: What every entity has some of, but for an e-mail; each pattern begins with few signs, so that a text is passed over quickly.
-HINTS = (r"\d[\d.() \-]{6}", rf"(?=[MFHSDPГΚ]){TITLE}(?:\p{{Lu}}|{PARTICLES}\p{{Lu}})", rf"(?=[srgxAe])(?:{KEY_HEAD})", r"[A-Z]{2}\d\d", r"[0-9a-fA-F]:(?::|[0-9a-fA-F]{1,4}:)[0-9a-fA-F]", r"[0-9a-fA-F]{32}")
+TITLES = f"{WOMAN}|{MAN}|{EITHER}".split("|")
+#: What every entity has some of: fixed strings, then patterns; each pattern begins with few signs, so that a text is passed over quickly.
+MARKS = ("@", "sk-", "k_live_", "k_test_", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "AKIA", "ASIA", "AIza", "eyJ")
+HINTS = (
+    r"\d[\d.() \-]{6}",
+    rf"[{''.join(sorted({t[0] for t in TITLES}))}](?:{'|'.join(sorted({t[1:] for t in TITLES}))})(?:\. ?| )[\p{{Lu}}vdlbiaetz]",
+    r"[A-Z]{2}\d\d", r":[0-9a-fA-F]{0,4}:[0-9a-fA-F]", r"[0-9a-fA-F]{32}",
+)
 PIECES = "array<struct<text:string,kind:string>>"
 
 
 def hint(text: Column) -> Column:
     """A cheap look at a text before the full pattern: no text with an entity fails it. False for null."""
-    found = F.contains(text, F.lit("@"))
+    found = F.lit(False)
+    for mark in MARKS:
+        found = found | F.contains(text, F.lit(mark))
     for pattern in HINTS:
         found = found | text.rlike(pattern)
     return F.coalesce(found, F.lit(False))
@@ -140,7 +148,10 @@ def bare_pieces(gap: Column, names: Column) -> Column:
 
 def entity_pieces(text: Column) -> Column:
     """For each mention of a text, in order, its pieces (text, kind); kind is null for what is kept."""
-    found = F.regexp_extract_all(text, F.lit(f"({ANY})"), 1)
+    return _mention_pieces(F.regexp_extract_all(text, F.lit(f"({ANY})"), 1))
+
+
+def _mention_pieces(found: Column) -> Column:
     kinds = F.transform(found, lambda m: F.struct(m.alias("text"), kind_of(m).alias("kind")))
     return F.transform(kinds, lambda x: F.when(x["kind"] == "person", _names(x["text"])).otherwise(F.array(F.struct(x["text"].alias("text"), x["kind"].alias("kind")))).cast(PIECES))
 
@@ -316,11 +327,11 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
 def _rewritten(rows: DataFrame, columns: list[str], text_col: str, some: Column, key: str, attempt, name) -> DataFrame:
     """`rows` with the texts that `some` marks rewritten, and n_entities."""
     text = name(text_col)
-    plain = F.regexp_extract_all(text, F.lit(f"({ANY})"), 1)
-    gaps, found = F.split(text, ANY, -1), entity_pieces(text)
+    gaps, mentioned = F.split(text, ANY, -1), F.regexp_extract_all(text, F.lit(f"({ANY})"), 1)
     kept = lambda g: F.array(F.struct(g.alias("text"), F.lit(None).cast("string").alias("kind"))).cast(PIECES)
     between = lambda n: F.transform(gaps, lambda g: F.when(F.size(n) > 0, bare_pieces(g, n)).otherwise(kept(g)))
-    cut = F.transform(F.array(full_names(plain)), lambda n: F.struct(between(n).alias("between"), found.alias("found")))[0]
+    cut = F.transform(F.array(mentioned), lambda m: F.struct(_mention_pieces(m).alias("found"), full_names(m).alias("names")))[0]
+    cut = F.transform(F.array(cut), lambda c: F.struct(between(c["names"]).alias("between"), c["found"].alias("found")))[0]
     cut = F.when(some, F.transform(F.array(cut), lambda c: F.struct(
         F.flatten(F.zip_with(c["between"], c["found"], lambda g, p: F.concat(g, F.coalesce(p, F.array().cast(PIECES))))).alias("pieces"),
         # A full name without a title has one surname.
