@@ -4,10 +4,10 @@ A document is the set of its word shingles, and has a signature of minwise value
 node and branches a node by some randomly chosen coordinates of the signature: documents with the same value there go to
 one child. A pair of similarity `s` shares a child with a chance that grows with `s`, while unlike documents part at once.
 Which coordinates a node takes depends on its path alone, so the first levels of all trees are worked out in the scan.
-Of nodes with the same members one is kept. Small nodes are compared exhaustively. Members of a large node are first
-compared with the member that is nearest to what most of the node have in common; large nodes that do not hang together
-then are branched further, and what is left of them at the last level is compared exhaustively on full sets, block by
-block. Trees are independent and repeated to reach the target recall. Likely pairs are confirmed on the full sets.
+Of nodes with the same members one is kept. Small nodes are compared exhaustively, large ones are branched further. Members
+of a node that is still large at the last level are first compared with the member that is nearest to what most of the node
+have in common; what does not hang together then is compared exhaustively on full sets, block by block. Trees are
+independent and repeated to reach the target recall. Likely pairs are confirmed on the full sets.
 Documents with equal sets are one class from the start, so exact copies, however many, add nothing to any node.
 """
 
@@ -156,9 +156,10 @@ def _counted(members: DataFrame) -> DataFrame:
 
 
 def _small_pairs(nodes: DataFrame, classes: DataFrame, small: int, least: float, apart: bool) -> DataFrame:
-    """(a, b): likely pairs within small nodes (node, c, part, k), which are compared exhaustively."""
+    """(a, b): likely pairs within small nodes (node, c, part, k), which are compared exhaustively, but with `apart` those of one part."""
     lists = [F.collect_list(x).alias(y) for x, y in (("c", "ids"), ("part", "parts"), ("bits", "bits"))]
     few = nodes.where(F.col("k") <= small).join(classes.select("c", "bits"), "c").groupBy("node").agg(*lists)
+    few = few.where(F.array_min("parts") < F.array_max("parts")) if apart else few
     return few.mapInArrow(_node_pairs(least, apart), PAIRS).distinct()
 
 
@@ -352,27 +353,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         classes = materialize(some.groupBy("c").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("nodes").alias("nodes")), "set-classes")
         nodes = _counted(classes.select(F.explode("nodes").alias("node"), "c", F.col("c").alias("part")))
         large = nodes.where(F.col("k") > small)
+        for _ in range(further):
+            if large.isEmpty():
+                break
+            now = _counted(materialize(_branched(large, classes), "children"))
+            nodes, large = nodes.where(F.col("k") <= small).unionByName(now), now.where(F.col("k") > small)
         pairs = _small_pairs(nodes, classes, small, least, False)
         crowds = not large.isEmpty()
         if crowds:
             pairs = pairs.unionByName(_head_pairs(large, classes, least)).distinct()
         found = _links(rows, classes, materialize(pairs, "pairs"), k, num, den)
-        parts = materialize(components(found, "a", "b"), "parts")
-        # What is still apart: likely pairs of small nodes, children of large nodes, and blocks of those at the last level.
-        known = parts.select(F.col("node").alias("c"), "component")
-        now = nodes.drop("part").join(known, "c", "left").withColumn("part", F.coalesce("component", "c")).drop("component", "k")
-        now = _counted(now)
+        known = materialize(components(found, "a", "b"), "parts").select(F.col("node").alias("c"), "component")
+        # What is still apart: likely pairs of small nodes, and blocks of large nodes.
+        now = nodes.drop("part").join(known, "c", "left").withColumn("part", F.coalesce("component", "c")).drop("component")
         apart = _small_pairs(now, classes, small, least, True)
-        large = now.where(F.col("k") > small)
-        for _ in range(further if crowds else 0):
-            if large.isEmpty():
-                break
-            now = _counted(_branched(large, classes))
-            apart = apart.unionByName(_small_pairs(now, classes, small, least, True))
-            large = now.where(F.col("k") > small)
-        found = found.unionByName(_links(rows, classes, materialize(apart.distinct(), "pairs"), k, num, den))
+        found = found.unionByName(_links(rows, classes, materialize(apart, "pairs"), k, num, den))
         if crowds:
-            found = found.unionByName(_crowded(large, rows, classes, k, num, den))
+            found = found.unionByName(_crowded(now.where(F.col("k") > small), rows, classes, k, num, den))
         parts = components(found, "a", "b").withColumnRenamed("node", "c")
     member = classes.select("c", "rep").join(parts, "c", "left").withColumn("component", F.coalesce("component", "c"))
     lowest = member.groupBy("component").agg(F.min("rep").alias("component_id"))
