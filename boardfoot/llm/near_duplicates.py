@@ -4,10 +4,11 @@ A document is the set of its word shingles, and has a signature of minwise value
 node and branches a node by some randomly chosen coordinates of the signature: documents with the same value there go to
 one child. A pair of similarity `s` shares a child with a chance that grows with `s`, while unlike documents part at once.
 Which coordinates a node takes depends on its path alone, so the first levels of all trees are worked out in the scan.
-Of nodes with the same members one is kept. Small nodes are compared exhaustively. Members of a large node are first
-compared with the member that is nearest to what most of the node have in common; large nodes that do not hang together
-then are branched further, and what is left of them at the last level is compared exhaustively on full sets, block by
-block. Trees are independent and repeated to reach the target recall. Likely pairs are confirmed on the full sets.
+Of nodes with the same members one is kept. Small nodes are compared exhaustively, once: likely pairs that a node's
+forest does not need wait until it is known whether they still are apart. Members of a large node are first compared with
+the member that is nearest to what most of the node have in common; then large nodes are branched further, of which those
+that do not hang together are kept, and what is left of them at the last level is compared exhaustively on full sets, block
+by block. Trees are independent and repeated to reach the target recall. Likely pairs are confirmed on the full sets.
 Documents with equal sets are one class from the start, so exact copies, however many, add nothing to any node.
 """
 
@@ -123,51 +124,52 @@ def _least(threshold: float) -> float:
     return threshold - 4 * (threshold * (1 - threshold) / WIDTH) ** 0.5
 
 
-def _node_pairs(least: float, apart: bool):
-    """Pairs of a node's members whose signatures agree in a share of `least`: a forest of the likest, or with `apart` all
-    whose members are in different parts so far."""
+def _node_pairs(least: float):
+    """Pairs of a node's members in different parts whose signatures agree in a share of `least`; `first` are those of a
+    forest of the likest."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            left, right = [], []
+            left, right, first = [], [], []
             for ids, parts, sig in zip(b.column("ids").to_pylist(), b.column("parts").to_pylist(), b.column("bits").to_pylist()):
                 m, parts = _rows_of(sig), np.array(parts)
                 same = (m[:, None, :] == m[None, :, :]).sum(axis=2)
-                likely = np.triu(same >= least * WIDTH, 1)
-                i, j = np.nonzero(likely & (parts[:, None] != parts) if apart else likely)
+                i, j = np.nonzero(np.triu(same >= least * WIDTH, 1) & (parts[:, None] != parts))
                 root = list(range(len(ids)))
                 for p in np.argsort(-same[i, j], kind="stable"):
                     low, high = sorted((root[i[p]], root[j[p]]))
-                    if apart or low != high:
-                        left.append(ids[i[p]])
-                        right.append(ids[j[p]])
-                        root = root if apart else [low if r == high else r for r in root]
-            yield _as_pairs(np.array(left, np.int64), np.array(right, np.int64))
+                    left.append(ids[i[p]])
+                    right.append(ids[j[p]])
+                    first.append(low != high)
+                    if low != high:
+                        root = [low if r == high else r for r in root]
+            found = _as_pairs(np.array(left, np.int64), np.array(right, np.int64))
+            yield pa.RecordBatch.from_arrays([*found.columns, pa.array(first, pa.bool_())], ["a", "b", "first"])
 
     return pairs
 
 
 def _counted(members: DataFrame) -> DataFrame:
-    """(node, c, part, k) of (node, c, part): nodes with two parts or more. Of several nodes with the same members one is kept."""
+    """`members` (node, c, part, ...) with k, of nodes with two parts or more. Of several nodes with the same members one is kept."""
     sums = [F.bit_xor(F.xxhash64(F.lit(i), "c")).alias(f"x{i}") for i in (1, 2)]
     counts = members.groupBy("node").agg(F.count("*").alias("k"), *sums, F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
     kept = materialize(counts.groupBy("k", "x1", "x2").agg(F.min("node").alias("node")).select("node", "k"), "node-counts")
-    return materialize(members.join(kept, "node"), "nodes")
+    return members.join(kept, "node")
 
 
-def _small_pairs(nodes: DataFrame, classes: DataFrame, small: int, least: float, apart: bool) -> DataFrame:
-    """(a, b): likely pairs within small nodes (node, c, part, k), which are compared exhaustively."""
+def _small_pairs(nodes: DataFrame, small: int, least: float) -> DataFrame:
+    """(a, b, first): likely pairs within small nodes (node, c, part, bits, k), which are compared exhaustively; `first` are
+    those that some node's forest takes."""
     lists = [F.collect_list(x).alias(y) for x, y in (("c", "ids"), ("part", "parts"), ("bits", "bits"))]
-    few = nodes.where(F.col("k") <= small).join(classes.select("c", "bits"), "c").groupBy("node").agg(*lists)
-    return few.mapInArrow(_node_pairs(least, apart), PAIRS).distinct()
+    few = nodes.where(F.col("k") <= small).groupBy("node").agg(*lists)
+    return few.mapInArrow(_node_pairs(least), f"{PAIRS}, first boolean").groupBy("a", "b").agg(F.max("first").alias("first"))
 
 
-def _head_pairs(large: DataFrame, classes: DataFrame, least: float, sample: int = 64) -> DataFrame:
-    """(a, b): each member of a large node with the node's head, if that is likely. The head is the member nearest to the
-    values that are most common among about `sample` members."""
-    bits = classes.select("c", "bits")
+def _head_pairs(large: DataFrame, least: float, sample: int = 64) -> DataFrame:
+    """(a, b): each member of a large node (node, c, bits, k) with the node's head, if that is likely. The head is the member
+    nearest to the values that are most common among about `sample` members."""
     chance = (F.lit(float(1 << 30)) * sample / F.col("k")).cast("long")
-    some = large.where(F.pmod(F.xxhash64(F.lit(6), "node", "c"), F.lit(1 << 30)) < chance).join(bits, "c").groupBy("node").agg(F.collect_list("bits").alias("bits"))
+    some = large.where(F.pmod(F.xxhash64(F.lit(6), "node", "c"), F.lit(1 << 30)) < chance).groupBy("node").agg(F.collect_list("bits").alias("bits"))
 
     def usual(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -180,32 +182,33 @@ def _head_pairs(large: DataFrame, classes: DataFrame, least: float, sample: int
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             same = (_rows_of(b.column("usual").to_pylist()) == _rows_of(b.column("bits").to_pylist())).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("c"), pa.array(same.astype(np.int64))], ["node", "c", "same"])
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("c"), b.column("bits"), pa.array(same.astype(np.int64))], ["node", "c", "bits", "same"])
 
     usual_of = materialize(some.mapInArrow(usual, "node long, usual binary"), "usual")
-    scored = large.select("node", "c").join(usual_of, "node").join(bits, "c").select("node", "c", "usual", "bits").mapInArrow(agree, "node long, c long, same long")
-    heads = materialize(scored.groupBy("node").agg(F.max_by("c", F.struct("same", F.xxhash64("c"))).alias("head")), "heads")
-    pairs = large.select("node", "c").join(heads, "node").where("c <> head").select("c", "head").distinct()
+    member = large.select("node", "c", "bits")
+    scored = member.join(usual_of, "node").mapInArrow(agree, "node long, c long, bits binary, same long")
+    nearest = scored.groupBy("node").agg(F.max_by(F.struct("c", "bits"), F.struct("same", F.xxhash64("c"))).alias("head"))
+    heads = materialize(nearest.select("node", F.col("head.c").alias("head"), F.col("head.bits").alias("y")), "heads")
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = (_rows_of(b.column("x").to_pylist()) == _rows_of(b.column("y").to_pylist())).sum(axis=1) >= least * WIDTH
+            good = (_rows_of(b.column("bits").to_pylist()) == _rows_of(b.column("y").to_pylist())).sum(axis=1) >= least * WIDTH
             yield _as_pairs(b.column("c").to_numpy()[good], b.column("head").to_numpy()[good])
 
-    pairs = pairs.join(bits.withColumnRenamed("bits", "x"), "c").join(bits.select(F.col("c").alias("head"), F.col("bits").alias("y")), "head")
-    return pairs.select("c", "head", "x", "y").mapInArrow(likely, PAIRS).distinct()
+    pairs = member.join(heads, "node").where("c <> head").select("c", "head", "bits", "y")
+    return pairs.mapInArrow(likely, PAIRS).distinct()
 
 
-def _branched(large: DataFrame, classes: DataFrame) -> DataFrame:
-    """(node, c, part): the children of large nodes, by one coordinate each, so that there are no more members than before."""
+def _branched(large: DataFrame) -> DataFrame:
+    """(node, c, part, n, bits): the children of large nodes, by one coordinate each, so that there are no more members than before."""
 
     def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             owner, node = children(np.arange(b.num_rows), b.column("node").to_numpy().view(U64), _rows_of(b.column("bits").to_pylist()), 0.0)
             at = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), b.column("c").take(at), b.column("part").take(at)], ["node", "c", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *(b.column(x).take(at) for x in ("c", "part", "n", "bits"))], ["node", "c", "part", "n", "bits"])
 
-    return large.join(classes.select("c", "bits"), "c").select("node", "c", "part", "bits").mapInArrow(branch, "node long, c long, part long")
+    return large.select("node", "c", "part", "n", "bits").mapInArrow(branch, "node long, c long, part long, n long, bits binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -309,18 +312,17 @@ def _block_links(least: float, num: int, den: int):
     return links
 
 
-def _crowded(nodes: DataFrame, rows: DataFrame, classes: DataFrame, k: int, num: int, den: int, block: int = 256, room: int = 1 << 22) -> DataFrame:
-    """(a, b): links between members of a large node that are in different components so far, all of them compared.
+def _crowded(large: DataFrame, rows: DataFrame, classes: DataFrame, k: int, num: int, den: int, block: int = 256, room: int = 1 << 22) -> DataFrame:
+    """(a, b): links between members of a large node (node, c, part, n, bits) that are in different components so far, all of them compared.
 
     A node's members are dealt by hash to blocks of about `block` members or `room` bytes of sets. Blocks of its largest component
     meet only the blocks of the others, so a node costs what is not joined yet times its size."""
-    large = nodes.select("node", "c", "part").join(classes.select("c", "n", "bits"), "c")
     sizes = large.groupBy("node", "part").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
     stats = sizes.groupBy("node").agg(F.max_by("part", "m").alias("main"), F.max("m").alias("m"), F.sum("m").alias("k"), F.max_by("w", "m").alias("w"), F.sum("w").alias("all"), F.count("*").alias("p")).where("p > 1")
     blocks = lambda m, w: F.ceil(F.greatest(m / block, w * 8 / room, F.lit(1.0))).cast("int")
     stats = materialize(stats.select("node", "main", blocks(F.col("m"), F.col("w")).alias("nm"), blocks(F.col("k") - F.col("m"), F.col("all") - F.col("w")).alias("ns")), "mixed-nodes")
     if stats.isEmpty():
-        return nodes.sparkSession.createDataFrame([], PAIRS)
+        return large.sparkSession.createDataFrame([], PAIRS)
     own = F.col("part") == F.col("main")
     h = F.xxhash64(F.lit("block"), "c")
     at = F.when(own, F.col("ns") + F.pmod(h, F.col("nm"))).otherwise(F.pmod(h, F.col("ns"))).cast("int")
@@ -329,7 +331,7 @@ def _crowded(nodes: DataFrame, rows: DataFrame, classes: DataFrame, k: int, num:
     sets = _sets(rows, classes, member.select("c").distinct(), k)
     listed = [F.collect_list(x).alias(y) for x, y in (("c", "ids"), ("part", "parts"), ("at", "at"), ("bits", "bits"), ("items", "items"))]
     pairs = member.join(sets, "c").groupBy("node", F.least("at", "o").alias("x"), F.greatest("at", "o").alias("y")).agg(*listed)
-    with small_batches(nodes.sparkSession, 2):
+    with small_batches(large.sparkSession, 2):
         return materialize(pairs.mapInArrow(_block_links(_least(num / den), num, den), PAIRS).distinct(), "links")
 
 
@@ -351,29 +353,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         some = sketches.where("n > 0 and id is not null")
         classes = materialize(some.groupBy("c").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("nodes").alias("nodes")), "set-classes")
         nodes = _counted(classes.select(F.explode("nodes").alias("node"), "c", F.col("c").alias("part")))
+        nodes = materialize(nodes.join(classes.select("c", "n", "bits"), "c"), "nodes")
         large = nodes.where(F.col("k") > small)
-        pairs = _small_pairs(nodes, classes, small, least, False)
+        close = materialize(_small_pairs(nodes, small, least), "close-pairs")
+        pairs = close.where("first").select("a", "b")
         crowds = not large.isEmpty()
         if crowds:
-            pairs = pairs.unionByName(_head_pairs(large, classes, least)).distinct()
+            pairs = pairs.unionByName(_head_pairs(large, least)).distinct()
         found = _links(rows, classes, materialize(pairs, "pairs"), k, num, den)
         parts = materialize(components(found, "a", "b"), "parts")
-        # What is still apart: likely pairs of small nodes, children of large nodes, and blocks of those at the last level.
-        known = parts.select(F.col("node").alias("c"), "component")
-        now = nodes.drop("part").join(known, "c", "left").withColumn("part", F.coalesce("component", "c")).drop("component", "k")
-        now = _counted(now)
-        apart = _small_pairs(now, classes, small, least, True)
-        large = now.where(F.col("k") > small)
-        for _ in range(further if crowds else 0):
-            if large.isEmpty():
-                break
-            now = _counted(_branched(large, classes))
-            apart = apart.unionByName(_small_pairs(now, classes, small, least, True))
-            large = now.where(F.col("k") > small)
-        found = found.unionByName(_links(rows, classes, materialize(apart.distinct(), "pairs"), k, num, den))
+        # What is still apart: the other likely pairs of small nodes, children of large nodes, and blocks of those at the last level.
+        apart = close.where("not first").select("a", "b")
+        for end in ("a", "b"):
+            known = parts.select(F.col("node").alias(end), F.col("component").alias(f"part_{end}"))
+            apart = apart.join(known, end, "left").withColumn(f"part_{end}", F.coalesce(f"part_{end}", end))
+        apart = apart.where("part_a <> part_b").select("a", "b")
+        if crowds:
+            known = parts.select(F.col("node").alias("c"), "component")
+            large = large.join(known, "c", "left").withColumn("part", F.coalesce("component", "c"))
+            for _ in range(further):
+                # A node whose members hang together has such children, which are not kept.
+                now = materialize(_counted(materialize(_branched(large), "children")), "nodes")
+                apart = apart.unionByName(_small_pairs(now, small, least).select("a", "b"))
+                large = now.where(F.col("k") > small)
+                if large.isEmpty():
+                    break
+            apart = apart.distinct()
+        edges = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        edges = edges.unionByName(_links(rows, classes, materialize(apart, "pairs"), k, num, den))
         if crowds:
-            found = found.unionByName(_crowded(large, rows, classes, k, num, den))
-        parts = components(found, "a", "b").withColumnRenamed("node", "c")
+            edges = edges.unionByName(_crowded(large, rows, classes, k, num, den))
+        parts = components(edges, "a", "b").withColumnRenamed("node", "c")
     member = classes.select("c", "rep").join(parts, "c", "left").withColumn("component", F.coalesce("component", "c"))
     lowest = member.groupBy("component").agg(F.min("rep").alias("component_id"))
     found = member.join(lowest, "component").select("c", "component_id")

@@ -80,3 +80,57 @@ def test_a_hub_and_its_variants(spark):
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def joined_by_node(spark, since):
+    """Rows that joins on `node` made in the executions after `since`, and the last execution."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs, rows = store.executionsList(), 0
+    ids = [runs.apply(i).executionId() for i in range(runs.size())]
+    for run in (i for i in ids if i > since):
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in map(nodes.apply, range(nodes.size())):
+            if re.search(r"Join \[node#\d+L?\], \[node#\d+L?\], \w+", node.desc()):
+                metrics = [node.metrics().apply(i) for i in range(node.metrics().size())]
+                found = [values.get(m.accumulatorId()) for m in metrics if m.name() == "number of output rows"]
+                rows += sum(int(v.get().replace(",", "")) for v in found if v.isDefined())
+    return rows, max(ids, default=-1)
+
+
+def triples(n):
+    """Texts in threes that are alike enough to be compared and too unlike to link, and in threes that link."""
+    r = random.Random(n)
+    rows = []
+    for i in range(n):
+        base = [f"w{i}-{j}" for j in range(100)]
+        for v in range(3):
+            c = list(base)
+            for p in r.sample(range(3, 97, 4), 4 if i % 2 else 1):
+                c[p] = f"x{v}"
+            rows.append((3 * i + v, " ".join(c)))
+    return rows
+
+
+def crowd(n):
+    """Variants of one text, no two of which are alike enough to link."""
+    r = random.Random(n)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(n):
+        c = list(base)
+        for p in r.sample(range(3, 197), 5):
+            c[p] = f"x{i}"
+        rows.append((i, " ".join(c)))
+    return rows
+
+
+@pytest.mark.parametrize("rows, most", [(triples(80), 2.8), (crowd(240), 74)])
+def test_nodes_are_joined_once(spark, rows, most):
+    """Small nodes are not joined again once they have been compared, large ones only in passes whose rows a document do not grow with the group."""
+    since = joined_by_node(spark, -1)[1]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=3, num=85).collect()
+    made = joined_by_node(spark, since)[0] / len(rows)
+    want = brute(rows, 3, 85, 100)
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == want
+    assert 0 < made <= most, made
