@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boardfoot.llm.range_join import matrix, unit, usable
-from boardfoot.plans.shared import materialize
+from boardfoot.plans.shared import materialize, small_batches
 
 CENTRES, PART = 16, 2
 #: Rows beyond k that a block hands on, for scores that differ only by rounding; scores are compared to so many digits there.
 SPARE, DIGITS = 16, 12
+#: Rows that are encoded, and queries that have their tables, at a time.
+ENCODED, TABLED = 1024, 256
 
 
 def _parts(x: np.ndarray) -> np.ndarray:
@@ -72,7 +74,7 @@ def fit_centres(x: np.ndarray, ratio: float, rounds: int = 6, seed: int = 2) ->
     return centres
 
 
-def nearest(rows: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = 128, sample: int = 10_000, parallel_at: float = 0.2, block: int = 1 << 16, margin: float = 3.0) -> DataFrame:
+def nearest(rows: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = 128, sample: int = 10_000, parallel_at: float = 0.2, block: int = 1 << 13, lot: int = 1 << 10, margin: float = 3.0) -> DataFrame:
     """(query_id, rank, vec_id, score): of each row whose id is a multiple of `every`, the k other rows of largest cosine found.
 
     Score is the cosine of the original vectors in double precision; ties go to the smaller id. Vectors that are null, zero
@@ -80,7 +82,8 @@ def nearest(rows: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id"
     length. If ids repeat, rows of the query's own id are no candidates. Centres are fitted on at most `sample` rows, chosen by the hash of
     the id; all rows are encoded. Of a block of up to `block` vectors the best `rerank` codes are scored exactly for each query, and then
     every code whose sum is not below the k-th exact score by more than `margin` times the root mean square of those codes' errors:
-    there is no cap. Work is the stated queries against all codes; what leaves a block is `k` rows and SPARE more a query.
+    there is no cap. Work is the stated queries against all codes; what leaves a block is `k` rows and SPARE more a query. A task holds
+    one block and up to `lot` queries at a time, however many there are of either.
     `parallel_at` is the cosine from which scores matter; it sets the weight of errors along the vector.
     """
     spark = rows.sparkSession
@@ -109,20 +112,20 @@ def nearest(rows: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id"
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in (i[by_id], np.ascontiguousarray(c[by_id].T), x[by_id])], ["ids", "codes", "units"])
 
-        for b in batches:
-            if b.num_rows:
-                x = unit(matrix(b.column("vector")))
-                found = anisotropic_encode(x, shared.value, max(1.0, ratio))
-                held.append((b.column("id").to_numpy(), found[:, ::2] << 4 | found[:, 1::2], x))
-            if sum(len(h[0]) for h in held) >= block:
+        size = min(ENCODED, block)
+        for b in (b.slice(s, size) for b in batches for s in range(0, b.num_rows, size)):
+            if sum(len(h[0]) for h in held) + b.num_rows > block:
                 yield flush()
+            x = unit(matrix(b.column("vector")))
+            found = anisotropic_encode(x, shared.value, max(1.0, ratio))
+            held.append((b.column("id").to_numpy(), found[:, ::2] << 4 | found[:, 1::2], x))
         if held:
             yield flush()
 
     def lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in range(0, b.num_rows, 256):
-                part = b.slice(s, 256)
+            for s in range(0, b.num_rows, lot):
+                part = b.slice(s, lot)
                 yield pa.RecordBatch.from_arrays([pa.array([part.column("id").to_numpy().tobytes()], pa.binary()), pa.array([matrix(part.column("vector")).tobytes()], pa.binary())], ["queries", "vectors"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,13 +136,14 @@ def nearest(rows: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id"
                 codes = np.frombuffer(b.column("codes")[r].as_py(), np.uint8).reshape(-1, len(ids))
                 units = np.frombuffer(b.column("units")[r].as_py()).reshape(len(ids), -1)
                 wanted = unit(np.frombuffer(b.column("vectors")[r].as_py()).reshape(len(q), -1))
-                table = np.einsum("qmp,mcp->qmc", _parts(wanted), centres).astype(np.float32)
-                pair = (table[:, ::2, :, None] + table[:, 1::2, None, :]).reshape(len(q), len(codes), 256)
                 out_q, out_v, out_s = [], [], []
                 for i, query in enumerate(q):
-                    rough = pair[i, 0][codes[0]]
+                    if i % TABLED == 0:
+                        table = np.einsum("qmp,mcp->qmc", _parts(wanted[i : i + TABLED]), centres).astype(np.float32)
+                        pair = (table[:, ::2, :, None] + table[:, 1::2, None, :]).reshape(len(table), len(codes), 256)
+                    rough = pair[i % TABLED, 0][codes[0]]
                     for j in range(1, len(codes)):
-                        rough += pair[i, j][codes[j]]
+                        rough += pair[i % TABLED, j][codes[j]]
                     others = np.flatnonzero(ids != query)
                     if len(others) > rerank:
                         some = others[np.argpartition(rough[others], len(others) - rerank)[len(others) - rerank :]]
@@ -159,7 +163,9 @@ def nearest(rows: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id"
     queries = fit.where(F.col("id") % every == 0)
     asked = materialize(queries.mapInArrow(lots, "queries binary, vectors binary"), "queries")
     # A stated set of queries against all rows, block by block: some rows of this product, each a block of either side.
-    found = codes.crossJoin(asked).mapInArrow(scan, "query_id long, id long, near double")
+    # A row goes to Python by itself: a batch of them would hold as many copies of a block as there are lots of queries.
+    with small_batches(spark, 1):
+        found = materialize(codes.crossJoin(asked).mapInArrow(scan, "query_id long, id long, near double"), "near")
     by_near = Window.partitionBy("query_id").orderBy(F.desc("near"), "id")
     few = found.withColumn("r", F.row_number().over(by_near)).where(F.col("r") <= k + SPARE).select("query_id", "id").distinct()
     few = few.join(fit, "id").join(queries.select(F.col("id").alias("query_id"), F.col("vector").alias("query")), "query_id")

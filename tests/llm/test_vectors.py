@@ -87,3 +87,26 @@ def test_nearest_in_a_dense_group(spark, near, n):
         want = np.lexsort((np.arange(n), -score))[:5]
         shares.append(len(set(want.tolist()) & set(found.values())) / 5)
     assert len(got) == n // 50 and min(shares) >= 0.8 and np.mean(shares) >= 0.99
+
+
+def test_a_task_holds_one_block_at_a_time(spark, monkeypatch):
+    """Blocks keep their size though a batch holds more rows, and pairs of blocks go to Python one by one."""
+    from boardfoot.llm import nearest as module
+
+    kept, rows = {}, []
+
+    def write(df, name, to=module.materialize):
+        rows.append(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+        kept[name] = to(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(module, "materialize", write)
+    v = vectors(1000, 5)
+    df = spark.createDataFrame([(i, list(map(float, x))) for i, x in enumerate(v)], "vec_id long, embedding array<double>").coalesce(1)
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in nearest(df, every=10, block=300, lot=30).collect()}
+    assert [len(r["ids"]) // 8 for r in kept["codes"].collect()] == [300, 300, 300, 100]
+    assert max(len(r["queries"]) // 8 for r in kept["queries"].collect()) == 30
+    assert rows[list(kept).index("near")] == "1"
+    u = unit(v)
+    hits = [got[q, 1] == np.lexsort((np.arange(1000), -np.where(np.arange(1000) == q, -9, np.round(u @ u[q], 12))))[0] for q in range(0, 1000, 10)]
+    assert np.mean(hits) > 0.95
