@@ -9,7 +9,10 @@ from boardfoot.functions.normalize import normalize_grade, normalize_species, no
 from boardfoot.functions.text import filled, strip
 from boardfoot.operators.cleaning import is_noise
 from boardfoot.operators.sheets import csv_field
-from boardfoot.plans.shared import materialize
+from boardfoot.plans.shared import broadcast_if_small, materialize, once_each
+
+#: Pieces of files (some 100 bytes each) up to which their sums are broadcast to the lines.
+PIECES = 200_000
 
 
 def read_csv_cells(spark: SparkSession, path: str) -> DataFrame:
@@ -31,23 +34,26 @@ def csv_records(lines: DataFrame) -> DataFrame:
     counted from 0; blank ones are none.
 
     Whether a quote is open before a line is the parity of all quotes before it in its file: those before it in its piece, which
-    is as much as a task reads, and those of the pieces before, which are sums by piece. Records are numbered in the same way.
+    is as much as a task reads, and those of the pieces before, which are sums by piece. Records are numbered in the same way. The
+    sums are a row a piece, and what is in a piece is dealt and sorted once. A record is blank if the line it begins with is.
     """
     line = F.regexp_replace("line", r"\r$", "")
     lines = lines.withColumns({"line": line, "quotes": F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))})
-
-    def running(df: DataFrame, value: Column, name: str) -> DataFrame:
-        """`df` with the sum of `value` over the lines before."""
-        inside = F.sum(value).over(Window.partitionBy("file", "piece").orderBy("place")) - value
-        sums = df.groupBy("file", "piece").agg(F.sum(value).alias("total"))
-        sums = sums.select("file", "piece", (F.sum("total").over(Window.partitionBy("file").orderBy("piece")) - F.col("total")).alias("before"))
-        return df.withColumn(name, inside).join(sums, ["file", "piece"]).withColumn(name, F.col(name) + F.col("before")).drop("before")
-
-    lines = running(lines, F.col("quotes"), "open").withColumn("starts", F.when(F.col("open") % 2 == 0, 1).otherwise(0))
-    lines = running(lines, F.col("starts"), "record").withColumn("record", F.col("record") + F.col("starts") - 1)
+    inside = Window.partitionBy("file", "piece").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def before(value: Column, of: DataFrame, name: str) -> DataFrame:
+        """(file, piece) with the sum of `value` over the pieces before, as `name`."""
+        sums = materialize(of.groupBy("file", "piece").agg(F.sum(value).alias("total")), "pieces")
+        earlier = F.sum("total").over(Window.partitionBy("file").orderBy("piece")) - F.col("total")
+        return broadcast_if_small(sums.select("file", "piece", earlier.alias(name)), PIECES)
+
+    lines = lines.withColumn("open", F.sum("quotes").over(inside) - F.col("quotes"))
+    lines = lines.join(before(F.col("quotes"), lines, "open_before"), ["file", "piece"]).withColumn("even", (F.col("open") + F.col("open_before")) % 2 == 0)
+    lines = lines.where(~F.col("even") | (strip(F.col("line")) != "")).withColumn("starts", F.when(F.col("even"), 1).otherwise(0))
+    starts = before(F.col("starts"), lines, "starts_before")
+    lines = lines.withColumn("record", F.sum("starts").over(inside)).join(starts, ["file", "piece"]).withColumn("record", F.col("record") + F.col("starts_before") - 1)
     parts = F.sort_array(F.collect_list(F.struct("piece", "place", "line")))
-    whole = lines.groupBy("file", "record").agg(F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("text")).where(strip(F.col("text")) != "")
-    return whole
+    return lines.groupBy("file", "record").agg(F.array_join(parts["line"], "\n").alias("text"))
 
 
 def record_cells(records: DataFrame) -> DataFrame:
@@ -55,20 +61,24 @@ def record_cells(records: DataFrame) -> DataFrame:
     Quoted commas and line breaks stay in their cell."""
     cells = lambda text: F.regexp_extract_all(F.concat(F.lit(","), text), F.lit(r""",((?:"[^"]*+(?:""[^"]*+)*+"|[^,]*))"""), 1)
     bare = lambda x: F.replace(F.regexp_replace(strip(x), '^"|"$', ""), F.lit('""'), F.lit('"'))
-    place = F.row_number().over(Window.partitionBy("file").orderBy("record"))
-    rows = records.withColumn("place", place)
-    heads = rows.where("place = 1").select("file", cells(F.col("text")).alias("heads"))
-    body = rows.where("place > 1").select("file", (F.col("place") - 2).alias("source_row"), F.posexplode(cells(F.col("text"))).alias("col", "value"))
-    long = body.join(heads, "file")
-    return long.select("file", "source_row", "col", bare(F.try_element_at("heads", F.col("col") + 1)).alias("header"), filled(bare(F.col("value"))).alias("value")).where("value is not null")
+    records = materialize(records, "csv-records")
+    heads = records.where("record = 0").select("file", F.transform(cells(F.col("text")), bare).alias("heads"))
+    body = records.where("record > 0").select("file", (F.col("record") - 1).alias("source_row"), F.posexplode(cells(F.col("text"))).alias("col", "value"))
+    long = body.join(broadcast_if_small(materialize(heads, "csv-heads"), PIECES), "file")
+    return long.select("file", "source_row", "col", F.try_element_at("heads", F.col("col") + 1).alias("header"), filled(bare(F.col("value"))).alias("value")).where("value is not null")
 
 
 def csv_rows(cells: DataFrame) -> DataFrame:
-    """Product rows of CSV cells: fields by their header, later columns first, noise left out."""
-    c = cells.where(~is_noise(F.col("value"))).withColumn("field", csv_field(F.col("header"))).where("field is not null")
+    """Product rows of CSV cells: fields by their header, later columns first, noise left out. What a cell says is worked out once
+    a different cell, and what a field is spelled like once a different text."""
+    c = once_each(cells, ["header", "value"], {"field": F.when(~is_noise(F.col("value")), csv_field(F.col("header")))}).where("field is not null")
     pick = lambda f: F.max_by("value", F.when(F.col("field") == f, F.col("col"))).alias(f)
     wide = c.groupBy("file", "source_row").agg(*[pick(f) for f in ("species", "thickness", "grade", "quantity", "product", "price", "length")])
     number = F.replace(F.col("quantity"), F.lit(","), F.lit("")).try_cast("double")
     feet = F.concat(F.format_number(number.cast("long"), 0), F.lit(" BF"))
-    out = wide.select("file", "source_row", normalize_species(F.col("species")).alias("species"), normalize_thickness(F.col("thickness")).alias("thickness"), normalize_grade(F.col("grade")).alias("grade"), F.coalesce(feet, "quantity").alias("quantity"), number.alias("quantity_numeric"), "product", "price", "length")
+    out = materialize(wide, "csv-rows")
+    for k, normal in (("species", normalize_species), ("thickness", normalize_thickness), ("grade", normalize_grade)):
+        out = once_each(out, [k], {f"{k}_": normal(F.col(k))})
+    out = once_each(out, ["quantity"], {"quantity_": F.coalesce(feet, "quantity"), "quantity_numeric": number})
+    out = out.select("file", "source_row", *[F.col(f"{k}_").alias(k) for k in ("species", "thickness", "grade", "quantity")], "quantity_numeric", "product", "price", "length")
     return out.withColumn("product", F.coalesce("product", filled(F.concat_ws(" ", "thickness", "grade")))).where("product is not null")
