@@ -39,11 +39,19 @@ def is_all_species(x: Column) -> Column:
     return F.size(F.filter(parts, has_species_word)) >= F.size(parts) * 0.8
 
 
+def may_be_stock(x: Column) -> Column:
+    return ~is_junk_line(x) & (F.length(x) >= 4)
+
+
+def is_shouted(x: Column) -> Column:
+    """A long title in capitals."""
+    return (x == F.upper(x)) & ~x.rlike(r"\d") & (F.length(x) > 30) & ~has_species_word(x)
+
+
 def clean_lines(lines: DataFrame) -> DataFrame:
     """Lines (line_no, text) that may be stock: no junk, 4 characters, no long title in capitals below the head."""
     x = F.col("text")
-    shouted = (F.col("line_no") > 3) & (x == F.upper(x)) & ~x.rlike(r"\d") & (F.length(x) > 30) & ~has_species_word(x)
-    return lines.where(~is_junk_line(x) & (F.length(x) >= 4) & ~shouted)
+    return lines.where(may_be_stock(x) & ~((F.col("line_no") > 3) & is_shouted(x)))
 
 
 def is_bad_mill_name(x: Column) -> Column:

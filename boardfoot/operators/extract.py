@@ -10,12 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boardfoot.functions import vocabulary as V
-from boardfoot.functions.normalize import normalize_species, product_string
-from boardfoot.operators.layout import column_boundaries, word_lines, words_to_columns
-from boardfoot.operators.lines import PARTS, carry_species, header_text, is_species_header, parse_lists, parse_product_line
-from boardfoot.operators.scoring import classify, dedupe_rows, is_candidate, parse_report, pick_strategy, row_score
-from boardfoot.operators.tables import grid_rows
-from boardfoot.plans.shared import materialize
+from boardfoot.operators.layout import column_texts
+from boardfoot.operators.lines import carry_species, parse_lists, scored_products, text_facts
+from boardfoot.operators.scoring import dedupe_rows, parse_report, pick_strategy
+from boardfoot.operators.tables import scored_rows
+from boardfoot.plans.shared import materialize, once_each
 
 SCHEMA = (
     ("upload_id", "long"), ("method", "string"), ("source_row", "int"), ("species", "string"), ("thickness", "string"), ("grade", "string"), ("quantity", "string"),
@@ -27,12 +26,9 @@ NO_STRUCTURE = "Could not auto-parse structure. Try AI parsing."
 
 
 def _branch(rows: DataFrame, method: str, *order: str) -> DataFrame:
-    """Rows of one extraction in the common columns, numbered in `order` and scored if they are not yet."""
+    """Rows of one extraction in the common columns, numbered in `order` if they are not yet."""
     if "source_row" not in rows.columns:
         rows = rows.withColumn("source_row", F.row_number().over(Window.partitionBy("upload_id").orderBy(*order)) - 1)
-    if "confidence" not in rows.columns:
-        fields = {k: F.col(k) for k, _ in SCHEMA if k in rows.columns and k not in ("upload_id", "product")}
-        rows = rows.withColumn("confidence", row_score(fields)).withColumn("class", classify(F.col("confidence")))
     rows = rows.withColumn("method", F.lit(method))
     return rows.select(*[(F.col(k) if k in rows.columns else F.lit(None)).cast(kind).alias(k) for k, kind in SCHEMA])
 
@@ -44,20 +40,14 @@ def text_branch(lines: DataFrame) -> DataFrame:
 
 def columns_branch(words: DataFrame) -> DataFrame:
     """Rows of words with places (upload_id, page, seq, x0, top, text), column by column; files of one column have none."""
-    lines = word_lines(words)
-    several = column_boundaries(lines).where(F.size("bounds") > 1).select("upload_id")
-    texts = words_to_columns(words).join(several, "upload_id", "left_semi")
-    header = F.when(is_species_header(F.col("text")), normalize_species(header_text(F.col("text"))))
-    rows = carry_species(texts.withColumn("header", header), "y", by=("upload_id", "col"))
-    rows = parse_product_line(rows.where(F.col("header").isNull() & is_candidate(F.col("text"), 0.15))).where("format is not null")
-    fields = {k: F.col(k) for k in (*PARTS, "species")}
-    rows = rows.withColumns({"product_normalized": product_string(fields, F.col("product")), "raw_text": F.col("text")})
-    return _branch(rows, "columns", "y", "col")
+    kept = once_each(column_texts(words), ["text"], text_facts).where(F.col("header").isNotNull() | F.col("likely"))
+    rows = carry_species(kept.repartition("upload_id"), "y", by=("upload_id", "col")).where(F.col("header").isNull())
+    return _branch(scored_products(rows, kept).withColumn("raw_text", F.col("text")), "columns", "y", "col")
 
 
 def tables_branch(grid: DataFrame) -> DataFrame:
     """Rows of table cells (upload_id, table_no, row, col, value)."""
-    return _branch(grid_rows(grid), "table", "table_no", "row", "part")
+    return _branch(scored_rows(grid), "table", "table_no", "row", "part")
 
 
 def extractions(lines: DataFrame, words: DataFrame | None = None, grid: DataFrame | None = None) -> DataFrame:

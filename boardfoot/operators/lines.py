@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from boardfoot.functions import vocabulary as V
 from boardfoot.functions.normalize import normalize_grade, normalize_species, normalize_thickness, product_string
 from boardfoot.functions.text import filled, found, let, strip, title
-from boardfoot.operators.cleaning import clean_lines, is_noise
+from boardfoot.operators.cleaning import is_noise, is_shouted, may_be_stock
 from boardfoot.operators.scoring import classify, dedupe_rows, is_candidate, row_score
+from boardfoot.plans.shared import materialize, once_each
 
 PARTS = ("thickness", "grade", "quantity", "quantity_numeric", "description", "length", "surface", "color", "cut_type", "treatment")
 
@@ -37,13 +38,16 @@ def split_multicolumn(x: Column) -> Column:
     return let(parts, lambda p: F.when(several & (F.size(p) >= 2), p).otherwise(F.array(x)))
 
 
-def segments(lines: DataFrame) -> DataFrame:
-    """(upload_id, line_no, seg, text, header): pieces of each line. A line of headers only is its first header."""
-    x = F.col("text")
+def pieces(x: Column) -> Column:
+    """The pieces of a line."""
     parts = F.filter(F.transform(F.split(x, r"\s{3,}"), strip), lambda s: s != "")
     heads = let(parts, lambda p: F.when(F.forall(p, is_species_header) & (F.size(p) > 0), F.slice(p, 1, 1)))
-    pieces = F.coalesce(heads, F.when(is_species_header(x), F.array(x)), split_multicolumn(x))
-    out = lines.select("upload_id", "line_no", F.posexplode(pieces).alias("seg", "text"))
+    return F.coalesce(heads, F.when(is_species_header(x), F.array(x)), split_multicolumn(x))
+
+
+def segments(lines: DataFrame) -> DataFrame:
+    """(upload_id, line_no, seg, text, header): pieces of each line. A line of headers only is its first header."""
+    out = lines.select("upload_id", "line_no", F.posexplode(pieces(F.col("text"))).alias("seg", "text"))
     return out.withColumn("header", F.when(is_species_header(F.col("text")), normalize_species(header_text(F.col("text")))))
 
 
@@ -101,16 +105,43 @@ def parse_product_line(df: DataFrame, text: str = "text") -> DataFrame:
     return df.drop("_rest", "_tail", "_end")
 
 
+def text_facts(texts: DataFrame) -> DataFrame:
+    """`texts` with header, the species that a text heads a section with, and likely, whether it looks like stock."""
+    x = F.col("text")
+    return texts.withColumns({"header": F.when(is_species_header(x), normalize_species(header_text(x))), "likely": is_candidate(x, 0.15)})
+
+
+def scored_products(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """Those `rows` (text, species) that are product lines, with their fields and confidence. What a text says is worked out once a
+    different text; the texts are all in `of`. Of the species the score asks only whether there is one, so a text has both scores."""
+
+    def said(texts: DataFrame) -> DataFrame:
+        found = parse_product_line(texts).where(F.col("format").isNotNull())
+        fields = {k: F.col(k) for k in PARTS} | {"raw_text": F.col("text")}
+        return found.withColumns({"_named": row_score(fields | {"species": F.lit("x")}), "_bare": row_score(fields)})
+
+    rows = once_each(rows, ["text"], said, of)
+    confidence = F.when(filled(F.col("species")).isNotNull(), F.col("_named")).otherwise(F.col("_bare"))
+    fields = {k: F.col(k) for k in (*PARTS, "species")}
+    rows = rows.withColumns({"confidence": confidence, "product_normalized": product_string(fields, F.col("product"))}).drop("_named", "_bare", "likely")
+    return rows.withColumn("class", classify(F.col("confidence")))
+
+
 def parse_lists(lines: DataFrame) -> DataFrame:
-    """Lines (upload_id, line_no, text) of stock lists to scored product rows, in one shuffle on upload_id."""
-    lines = clean_lines(lines).repartition("upload_id")
-    rows = carry_species(segments(lines), "line_no", "seg").where(F.col("header").isNull() & is_candidate(F.col("text"), 0.15))
-    rows = parse_product_line(rows).where(F.col("format").isNotNull())
+    """Lines (upload_id, line_no, text) of stock lists to scored product rows, in one shuffle on upload_id.
+
+    Lines are written once, and what depends on their text alone is worked out once a different text. Only headers and what looks
+    like stock is shuffled.
+    """
+    lines = materialize(lines.select("upload_id", "line_no", "text"), "lines")
+    x = F.col("text")
+    kept = once_each(lines, ["text"], {"_kept": may_be_stock(x), "_shouted": is_shouted(x), "_pieces": pieces(x)})
+    kept = kept.where(F.col("_kept") & ~((F.col("line_no") > 3) & F.col("_shouted"))).select("upload_id", "line_no", F.posexplode("_pieces").alias("seg", "text"))
+    kept = once_each(kept, ["text"], text_facts).where(F.col("header").isNotNull() | F.col("likely"))
+    rows = carry_species(kept.repartition("upload_id"), "line_no", "seg").where(F.col("header").isNull())
+    rows = scored_products(rows, kept)
     order = Window.partitionBy("upload_id").orderBy("line_no", "seg")
-    rows = rows.withColumn("source_row", (F.row_number().over(order) - 1).cast("int"))
-    fields = {k: F.col(k) for k in (*PARTS, "species")} | {"raw_text": F.col("text")}
-    rows = rows.withColumn("confidence", row_score(fields)).withColumn("product_normalized", product_string(fields, F.col("product")))
-    return rows.withColumn("class", classify(F.col("confidence")))
+    return rows.withColumn("source_row", (F.row_number().over(order) - 1).cast("int"))
 
 
 def ingest(lines: DataFrame) -> DataFrame:

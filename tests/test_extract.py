@@ -63,3 +63,15 @@ def test_wide_tables(spark):
 def test_no_files(spark):
     empty = spark.createDataFrame([], GRID)
     assert tables.grid_rows(empty).collect() == []
+
+
+def test_each_text_is_parsed_once(spark, monkeypatch):
+    from boardfoot.operators import lines
+
+    parsed, real = [], lines.parse_product_line
+    monkeypatch.setattr(lines, "parse_product_line", lambda df, text="text": parsed.append(df.count()) or real(df, text))
+    texts = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("line_no"), F.lit(x).alias("text")) for i, x in enumerate(("CHERRY", "4/4 FAS 300'", "8/4 #1C 500'", "call us"))]))
+    got = lines.parse_lists(spark.range(300).select(F.col("id").alias("upload_id"), texts.alias("l")).select("upload_id", "l.*"))
+    rows = got.groupBy("species", "thickness", "source_row", "class").count().collect()
+    assert sorted(map(tuple, rows)) == [("Cherry", "4/4", 0, "accept", 300), ("Cherry", "8/4", 1, "accept", 300)]
+    assert sum(parsed) <= 3  # the different texts that are likely or headers, not 600 lines
