@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boardfoot.functions.normalize import normalize_grade, normalize_species, normalize_thickness
@@ -51,10 +51,23 @@ def header_fields(cells: DataFrame) -> DataFrame:
 
 
 def table_rows(cells: DataFrame) -> DataFrame:
-    """Rows of headed sheets with a column a field; noise cells are left out. A row of a species alone heads those below."""
-    fields = header_fields(cells)
-    body = cells.join(fields, ["upload_id", "col"]).where((F.col("row") > F.col("header_row")) & ~is_noise(F.col("value")))
-    wide = body.groupBy("upload_id", "row").agg(*[F.min_by("value", F.when(F.col("field") == k, F.col("col"))).alias(k) for k, _ in HEADERS], F.min_by("num_value", F.when(F.col("field") == "quantity", F.col("col"))).alias("quantity_numeric"))
+    """Rows of headed sheets with a column a field; noise cells are left out. A row of a species alone heads those below.
+
+    A row's cells are one array, and its sheet's header is found among the sheet's rows, so cells are read once and are dealt by
+    sheet at most.
+    """
+    v = F.col("value")
+    marked = F.coalesce(F.lower(strip(v)).rlike(HEADER_MARK), F.lit(False))
+    rows = cells.select("upload_id", "row", F.struct("col", "value", "num_value", is_noise(v).alias("noise"), marked.alias("marked")).alias("cell"))
+    rows = rows.groupBy("upload_id", "row").agg(F.sort_array(F.collect_list("cell")).alias("cells"))
+    low = lambda c: F.lower(strip(c["value"]))
+    named = F.transform("cells", lambda c: F.struct(c["col"].alias("col"), F.coalesce(*[F.when(low(c).rlike(p), F.lit(k)) for k, p in HEADERS]).alias("field")))
+    head = F.when(F.col("row").between(1, 14) & (F.size(F.filter("cells", lambda c: c["marked"])) >= 2), F.struct("row", named.alias("fields")))
+    rows = rows.withColumn("head", F.min(head).over(Window.partitionBy("upload_id"))).where(F.col("row") > F.col("head.row"))
+    at = lambda k: F.filter("head.fields", lambda f: f["field"] == k)["col"]
+    first = lambda k: F.get(F.filter("cells", lambda c: ~c["noise"] & F.array_contains(at(k), c["col"])), F.lit(0))
+    wide = rows.select("upload_id", "row", *[first(k)["value"].alias(k) for k, _ in HEADERS], first("quantity")["num_value"].alias("quantity_numeric"))
+    wide = wide.where(F.coalesce(*[F.col(k) for k, _ in HEADERS]).isNotNull())
     alone = F.col("own").isNotNull() & F.coalesce("thickness", "grade", "quantity", "product").isNull()
     wide = wide.withColumnRenamed("species", "own").withColumn("header", F.when(alone, normalize_species(F.col("own"))))
     wide = carry_species(wide, "row")

@@ -301,16 +301,16 @@ def a16_first_numeric_cell(t):
 def headed_cells(t) -> DataFrame:
     """Products as worksheets with a header in row 3 below the mill's name and address."""
     p = t("fx_products")
-    row = (F.col("source_row") + 3).cast("int")
+    cell = lambda r, c, v, n: F.struct(r.cast("int").alias("row"), F.lit(c).alias("col"), v.alias("value"), n.cast("double").alias("num_value"))
+    none = F.lit(None)
+    named = lambda r, c, v: cell(F.lit(r), c, F.lit(v), none)
     cols = ((1, "Species", "species"), (2, "Thickness", "thickness"), (3, "Grade", "grade"), (4, "Qty BF", "quantity"), (5, "Price", "color"))
-    body = None
-    for i, _, c in cols:
-        x = p.select("upload_id", row.alias("row"), F.lit(i).alias("col"), F.col(c).alias("value"), (F.col("quantity_numeric") if i == 4 else F.lit(None)).cast("double").alias("num_value"))
-        body = x if body is None else body.unionByName(x)
-    named = lambda r, c, v: F.struct(F.lit(r).alias("row"), F.lit(c).alias("col"), F.lit(v).alias("value"))
     heads = [named(1, 1, "Springfield Lumber Co."), named(2, 1, "sales@mill.example.com"), named(2, 2, "Springfield, PA 12345"), *[named(3, i, h) for i, h, _ in cols]]
-    top = p.select("upload_id").distinct().select("upload_id", F.explode(F.array(*heads)).alias("h")).select("upload_id", "h.*", F.lit(None).cast("double").alias("num_value"))
-    return top.unionByName(body.where("value is not null"))
+    body = [cell(F.col("source_row") + 3, i, F.col(c), F.col("quantity_numeric") if i == 4 else none) for i, _, c in cols]
+    # Every upload has a first row, which brings the header along: products are read once.
+    cells = F.array(*body)
+    cells = F.when(F.col("source_row") == 1, F.concat(F.array(*heads), cells)).otherwise(cells)
+    return p.select("upload_id", F.explode(cells).alias("c")).select("upload_id", "c.*").where("value is not null")
 
 
 @query("fx_products", "SELECT DISTINCT upload_id, 3 AS header_row FROM fx_products")

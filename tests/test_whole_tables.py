@@ -34,3 +34,11 @@ def t(spark):
 )
 def test_takes_all_rows(t, query, value, want):
     assert query(t).agg(F.expr(value)).first()[0] == want
+
+
+def test_sheets_are_dealt_once(spark):
+    """Products are read and dealt once for all cells, headers and rows of their sheets."""
+    df = Q.QUERIES["x14_table_rows"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and plan.count("FileScan") == 1
+    assert df.count() == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
