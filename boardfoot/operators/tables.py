@@ -76,11 +76,10 @@ def grid_rows(grid: DataFrame, least: int = WIDE) -> DataFrame:
     data = grid.where("row > 0")
     cell = F.struct("col", "value")
     rows = data.groupBy(*KEY, "row").agg(F.sort_array(F.collect_list(F.when(F.col("value").isNotNull(), cell))).alias("cells"))
-    rows = rows.select(*KEY, "row", F.col("cells.col").alias("cols"), F.col("cells.value").alias("values")).withColumn("raw_text", F.array_join("values", " | "))
+    rows = rows.select(*KEY, "row", F.col("cells.col").alias("cols"), F.col("cells.value").alias("values")).withColumn("raw_text", F.array_join("values", " | ")).where(~is_noise(F.col("raw_text")))
     get = lambda k: filled(strip(F.get("values", F.array_position("cols", F.col(f"c_{k}")).cast("int") - 1))).alias(k)
     rows = rows.join(table_maps(grid, least), KEY).select(*KEY, "row", "part", "species", *[get(k) for k in NAMES], "raw_text")
     rows = materialize(rows.where(F.coalesce("thickness", "grade", "description", "quantity").isNotNull()), "table-texts")
-    rows = once_each(rows, ["raw_text"], {"_noise": is_noise(F.col("raw_text"))}).where(~F.col("_noise")).drop("_noise")
     again = F.coalesce(F.col("thickness").rlike("(?i)(grade|species|description|thick|qty)"), F.lit(False))
     rows = once_each(rows, ["thickness"], {"_again": again, "_thickness": normalize_thickness(found(F.col("thickness"), r"^(\d+/\d+)", 1))}).where(~F.col("_again"))
     number, quantity = quantity_of(F.col("quantity"))

@@ -75,3 +75,12 @@ def test_each_text_is_parsed_once(spark, monkeypatch):
     rows = got.groupBy("species", "thickness", "source_row", "class").count().collect()
     assert sorted(map(tuple, rows)) == [("Cherry", "4/4", 0, "accept", 300), ("Cherry", "8/4", 1, "accept", 300)]
     assert sum(parsed) <= 3  # the different texts that are likely or headers, not 600 lines
+
+
+def test_tables_do_not_meet_by_name(spark):
+    """A table's header is one array: tables are dealt by table only, never by what their headers say."""
+    grid = spark.createDataFrame([(1, 0, 0, 0, "Thickness"), (1, 0, 0, 1, "Ash Grade"), (1, 0, 1, 0, "4/4"), (1, 0, 1, 1, "FAS")], GRID)
+    maps = tables.table_maps(grid)
+    plan = maps._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Window" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert [(r["part"], r["species"], r["c_thickness"], r["c_grade"], r["c_quantity"]) for r in maps.collect()] == [(0, "Ash", 0, 1, None)]
